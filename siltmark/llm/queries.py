@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import packing, sharding
+from . import langid, packing, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,14 @@ def tokenizer_file(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.detect(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer_file()
     return packing.pack(table(spark, sf_dir, "documents"), path, pattern)
@@ -32,6 +40,8 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_language": op1_language,
+    "op2_toxicity": op2_toxicity,
     "op6_packing": op6_packing,
     "op8_sharding": op8_sharding,
 }
