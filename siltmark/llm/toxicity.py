@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bigru import Adam, Params, both, both_back, recurrent, scattered, sigmoid, softmax
-from .common import _LOWER, arrow_rows, in_pieces, mix, text_bytes, words_of
+from .common import _LOWER, _SPACE, arrow_rows, in_pieces, mix, text_bytes, words_of
 from .langid import bounded_sample, remainder
 
-WORDS, CHARS, WIDTH = 1 << 13, 1 << 12, 4
+WORDS, CHARS, LONG, WIDTH = 1 << 15, 1 << 12, 1 << 17, 4
+#: Inputs of a word: its own row, the mean row of its characters, and the largest odds of six bytes that begin in it or just before it.
+INPUTS = 2 * WIDTH + 1
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
@@ -30,37 +32,48 @@ class Model:
 
 @dataclass
 class Texts:
-    """Words of some texts: their buckets, spans, and the bucket of the three characters around each byte."""
+    """Words of some texts: their buckets, spans, and the buckets of the three characters around each byte and of the six from the one before it."""
 
     word: np.ndarray
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
     chars: np.ndarray
+    long: np.ndarray
 
 
 def read(data: np.ndarray, offsets: np.ndarray) -> Texts:
     start, end, hashes, first = words_of(data, offsets, lower=True)
-    low = np.zeros(len(data) + 2, np.uint32)
-    low[1:-1] = _LOWER[data]
-    three = low[:-2] * np.uint32(0x9E3779B1) + low[1:-1] * np.uint32(0x85EBCA6B) + low[2:] * np.uint32(0xC2B2AE35)
+    low = np.full(len(data) + 6, 32, np.uint32)
+    low[1 : len(data) + 1] = _LOWER[data]
+    low[1 : len(data) + 1][_SPACE[data]] = 32
+    low[0] = 32
+    n = len(data)
+    three = low[:n] * np.uint32(0x9E3779B1) + low[1 : n + 1] * np.uint32(0x85EBCA6B) + low[2 : n + 2] * np.uint32(0xC2B2AE35)
     three ^= three >> np.uint32(15)
     three *= np.uint32(0x2C1B3C6D)
-    return Texts((mix(hashes, 5) % np.uint64(WORDS)).astype(np.int32), start, end, first, (three >> np.uint32(20)).astype(np.int16))
+    six = low[:n].copy()
+    for k in range(1, 6):
+        six *= np.uint32(0x01000193)
+        six ^= low[k : n + k]
+    six ^= six >> np.uint32(16)
+    six *= np.uint32(0x7FEB352D)
+    return Texts((mix(hashes, 5) % np.uint64(WORDS)).astype(np.int32), start, end, first, (three >> np.uint32(20)).astype(np.int16), (six >> np.uint32(15)).astype(np.int32))
 
 
 def inputs(p: Params, t: Texts) -> np.ndarray:
     """(2 * WIDTH, words): the word's own row and the mean row of its characters."""
     if not len(t.word):
-        return np.zeros((2 * WIDTH, 0), np.float32)
+        return np.zeros((INPUTS, 0), np.float32)
     bounds = np.empty(2 * len(t.start), np.int64)
     bounds[0::2], bounds[1::2] = t.start, t.end
-    out = np.empty((2 * WIDTH, len(t.word)), np.float32)
+    out = np.empty((INPUTS, len(t.word)), np.float32)
     size = (t.end - t.start).astype(np.float32)
     for k in range(WIDTH):
         out[k] = p["words"][k][t.word]
         row = np.append(p["chars"][k][t.chars], np.float32(0))
         out[WIDTH + k] = np.add.reduceat(row, bounds)[0::2] / size
+    out[2 * WIDTH] = np.maximum.reduceat(np.append(p["long"][t.long], np.float32(0)), bounds)[0::2]
     return out
 
 
@@ -134,8 +147,8 @@ def _learn(p: Params, opt: Adam, t: Texts, at: np.ndarray, size: np.ndarray, y:
     ids = np.where(inside, at + steps, 0)
     flat = ids.ravel()
     used, back = np.unique(flat, return_inverse=True)
-    part = Texts(t.word[used], t.start[used], t.end[used], t.first, t.chars)
-    x = inputs(p, part)[:, back].reshape(2 * WIDTH, window, -1) * inside
+    part = Texts(t.word[used], t.start[used], t.end[used], t.first, t.chars, t.long)
+    x = inputs(p, part)[:, back].reshape(INPUTS, window, -1) * inside
     x = x.transpose(1, 0, 2)
     states, saved = both(p["if"] @ x + p["bf"][:, None], p["ib"] @ x + p["bb"][:, None], p, keep=True)
     e = np.einsum("h,thn->tn", p["attend"], states)
@@ -153,9 +166,9 @@ def _learn(p: Params, opt: Adam, t: Texts, at: np.ndarray, size: np.ndarray, y:
     for k, g in (("f", df), ("b", db)):
         grads["i" + k] = np.einsum("tgn,txn->gx", g, x, optimize=True)
         grads["b" + k] = g.sum((0, 2))
-    dx = (dx * inside[:, None]).transpose(1, 0, 2).reshape(2 * WIDTH, -1)
+    dx = (dx * inside[:, None]).transpose(1, 0, 2).reshape(INPUTS, -1)
     grads["words"] = scattered(t.word[flat], dx[:WIDTH], WORDS)
-    by_word = scattered(back.ravel(), dx[WIDTH:], len(used))
+    by_word = scattered(back.ravel(), dx[WIDTH : 2 * WIDTH], len(used))
     n = part.end - part.start
     which = np.repeat(np.arange(len(used)), n)
     byte = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + part.start[which]
@@ -170,12 +183,12 @@ def _log_odds(ids: np.ndarray, owner: np.ndarray, y: np.ndarray, size: int) -> n
     toxic = np.bincount(pairs // len(y), weights=y[pairs % len(y)], minlength=size)
     a, b = y.sum(), len(y) - y.sum()
     odds = np.log((toxic + 0.5) / (a + 1)) - np.log((held - toxic + 0.5) / (b + 1))
-    return (odds * held / (held + 5)).clip(-3, 3).astype(np.float32)
+    return (odds * held / (held + 10)).clip(-3, 3).astype(np.float32)
 
 
 def fit(
     rows: DataFrame, toxic_rows: int = 900, clean_rows: int = 1100, sample_bytes: int = 1 << 15,
-    window: int = 24, hidden: int = 10, rounds: int = 4, rate: float = 0.01, seed: int = 3,
+    window: int = 24, hidden: int = 10, rounds: int = 8, rate: float = 0.01, seed: int = 3,
 ) -> Model:
     """Fit on a bounded sample of rows (doc_id, text, toxic): about so many toxic and clean ones of at most `sample_bytes` bytes.
 
@@ -186,8 +199,8 @@ def fit(
     got = got.sort_values(["toxic", "text"], kind="stable")
     rng = np.random.default_rng(seed)
     h = hidden
-    p: Params = {"words": rng.normal(0, 0.05, (WIDTH, WORDS)), "chars": rng.normal(0, 0.05, (WIDTH, CHARS)), "uf": recurrent(rng, h), "ub": recurrent(rng, h), "attend": rng.normal(0, 0.3, 2 * h), "out": rng.normal(0, 0.3, 2 * h), "bias": np.zeros(1)}
-    p |= {k: rng.normal(0, 0.5, (3 * h, 2 * WIDTH)) for k in ("if", "ib")} | {k: np.zeros(3 * h) for k in ("bf", "bb")}
+    p: Params = {"words": rng.normal(0, 0.05, (WIDTH, WORDS)), "chars": rng.normal(0, 0.05, (WIDTH, CHARS)), "uf": recurrent(rng, h), "ub": recurrent(rng, h), "attend": rng.normal(0, 0.3, 2 * h), "out": rng.normal(0, 0.3, 2 * h), "bias": np.zeros(1), "long": np.zeros(LONG)}
+    p |= {k: rng.normal(0, 0.5, (3 * h, INPUTS)) for k in ("if", "ib")} | {k: np.zeros(3 * h) for k in ("bf", "bb")}
     p = {k: v.astype(np.float32) for k, v in p.items()}
     y = got["toxic"].to_numpy(np.float32)
     data, offsets = text_bytes(pa.array(got["text"], pa.string()))
@@ -198,8 +211,10 @@ def fit(
     word_owner = np.repeat(np.arange(len(y)), np.diff(t.first))
     p["words"][0] = _log_odds(t.word, word_owner, y, WORDS)
     p["chars"][0] = 0.5 * _log_odds(t.chars, np.repeat(np.arange(len(y)), np.diff(offsets)), y, CHARS)
-    opt = Adam(p, rate)
-    lead = p["words"][0][t.word]
+    p["long"] = _log_odds(t.long, np.repeat(np.arange(len(y)), np.diff(offsets)), y, LONG)
+    opt = Adam({k: v for k, v in p.items() if k != "long"}, rate)
+    x = inputs(p, t)
+    lead = x[0] + x[2 * WIDTH]
     suspicion = np.array([lead[a : a + n].max() for a, n in zip(at, size, strict=True)])
     texts = np.unique(owner)
 
@@ -218,8 +233,8 @@ def fit(
             _learn(p, opt, t, at[k], size[k], y[owner[k]], window, 1 - 0.9 * r / rounds)
         suspicion = window_logits(p, inputs(p, t), at, size, window)
     best, yy = suspicion[worst(suspicion)].astype(float), y[texts].astype(float)
-    # one logistic unit turns a text's largest logit into a probability at the two labels' equal weight
-    weight = np.where(yy > 0, 0.5 / max(yy.sum(), 1), 0.5 / max((1 - yy).sum(), 1))
+    # one logistic unit turns a text's largest logit into a probability, clean texts weighing 7 to 3 as they are more frequent than in the sample
+    weight = np.where(yy > 0, 0.3 / max(yy.sum(), 1), 0.7 / max((1 - yy).sum(), 1))
     slope, shift = 1.0, 0.0
     for _ in range(200):
         q = 1 / (1 + np.exp(-np.clip(slope * best + shift, -30, 30)))
