@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import jaccard, langid, packing, sharding, substring, toxicity
+from . import decontam, jaccard, langid, packing, sharding, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
     "op2_toxicity": op2_toxicity,
     "op3_jaccard": op3_jaccard,
+    "op4_decontamination": op4_decontamination,
     "op5_substring": op5_substring,
     "op6_packing": op6_packing,
     "op8_sharding": op8_sharding,
