@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontam, jaccard, langid, packing, sharding, substring, toxicity
+from . import decontam, jaccard, langid, neardup, packing, sharding, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
     "op2_toxicity": op2_toxicity,
@@ -59,5 +63,6 @@ QUERIES: dict[str, Query] = {
     "op5_substring": op5_substring,
     "op6_packing": op6_packing,
     "op8_sharding": op8_sharding,
+    "op9_neardup": op9_neardup,
 }
 SQL: dict[str, str] = {}
