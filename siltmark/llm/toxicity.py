@@ -121,12 +121,13 @@ def window_logits(p: Params, x: np.ndarray, at: np.ndarray, size: np.ndarray, wi
     """One logit for each window: attention over its positions, then a linear unit."""
     out = np.empty(len(at), np.float32)
     h = p["uf"].shape[1]
-    forward, backward = project(p, x, "f"), project(p, x, "b")
     heads = np.stack([p["attend"], p["out"]])
     for i in range(0, len(at), batch):
         a, n = at[i : i + batch], size[i : i + batch]
         t = np.arange(window)[:, None]
-        ids = np.where(t < n, a + t, x.shape[1])
+        lo, hi = int(a.min()), int((a + n).max())  # windows are in the order of their words
+        forward, backward = project(p, x[:, lo:hi], "f"), project(p, x[:, lo:hi], "b")
+        ids = np.where(t < n, a - lo + t, hi - lo)
         ahead = np.empty((window, 2, len(a)), np.float32)
         for k, s in enumerate(_steps(forward, p["uf"], ids)):
             np.matmul(heads[:, :h], s, out=ahead[k])
@@ -178,7 +179,7 @@ def _learn(p: Params, opt: Adam, t: Texts, at: np.ndarray, size: np.ndarray, y:
 
 def _log_odds(ids: np.ndarray, owner: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
     """Smoothed log odds of label 1 by how many texts of each label hold an id."""
-    pairs = np.unique(ids.astype(np.int64) * len(y) + owner)
+    pairs = np.unique(ids.astype(np.int64) * len(y) + owner.astype(np.int32))
     held = np.bincount(pairs // len(y), minlength=size)
     toxic = np.bincount(pairs // len(y), weights=y[pairs % len(y)], minlength=size)
     a, b = y.sum(), len(y) - y.sum()
