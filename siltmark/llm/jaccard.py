@@ -17,8 +17,8 @@ from .exchange import BLOCKS, answered, blocks, chunked, distinct_with_owners, h
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("shingles", pa.binary())])
 SETS = "doc_id long, n_shingles long, digest binary, shingles binary"
-_LISTS = pa.schema([("e", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("taken", pa.int64())])
-LISTS = "e long, rep long, n long, shared long, taken long"
+_LISTS = pa.schema([("e", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("taken", pa.int64()), ("pos", pa.int64())])
+LISTS = "e long, rep long, n long, shared long, taken long, pos long"
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -137,7 +137,7 @@ def inverted_lists(classes: DataFrame, percent: int, hashes_a_chunk: int = 1 <<
         take = (nth < prefix[owner]) & (rare[order] > 0)
         o = owner[take]
         return pa.table(
-            [pa.array(flat[order][take].view(np.int64)), pa.array(left.column("rep").to_numpy()[o]), pa.array(sizes[o]), pa.array((sizes - alone)[o]), pa.array(np.maximum(0, prefix - alone)[o])], schema=_LISTS
+            [pa.array(flat[order][take].view(np.int64)), pa.array(left.column("rep").to_numpy()[o]), pa.array(sizes[o]), pa.array((sizes - alone)[o]), pa.array(np.maximum(0, prefix - alone)[o]), pa.array(nth[take])], schema=_LISTS
         )
 
     rare = answered(dealt.groupBy("chunk").applyInArrow(ask, BLOCKS), 1, rarity, np.uint32)
@@ -233,11 +233,16 @@ def _leaders(lists: DataFrame, percent: int, by: str) -> DataFrame:
 
 
 def _all_across(lists: DataFrame, percent: int) -> DataFrame:
-    """All pairs that meet in a list, lie in different components and can link."""
-    x = lists.select("e", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("shared").alias("sa"), F.col("taken").alias("ta"))
-    y = lists.select("e", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("shared").alias("sb"), F.col("taken").alias("tb"))
-    met = x.join(y, "e").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _possible(percent, F.col("na"), F.col("nb"), F.col("sa"), F.col("sb")))
-    return _pairs(met.drop("e", "ca", "cb"), percent)
+    """All pairs that meet in a list, lie in different components and can link.
+
+    Sets that link have their first common shingle, in the order of rarity, no further from the start than what they may lack allows.
+    """
+    x = lists.select("e", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("shared").alias("sa"), F.col("pos").alias("pa"))
+    y = lists.select("e", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("shared").alias("sb"), F.col("pos").alias("pb"))
+    least = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
+    near = (F.col("pa") <= F.col("na") - least) & (F.col("pb") <= F.col("nb") - least)
+    met = x.join(y, "e").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near & _possible(percent, F.col("na"), F.col("nb"), F.col("sa"), F.col("sb")))
+    return met.select("a", "b").distinct()
 
 
 def _across(lists: DataFrame, comp: DataFrame) -> DataFrame:
@@ -247,7 +252,7 @@ def _across(lists: DataFrame, comp: DataFrame) -> DataFrame:
     return checkpointed(own.join(mixed, "e", "left_semi"))
 
 
-def join(docs: DataFrame, words: int = 5, percent: int = 75, chunk_bytes: int = 8 << 20, hashes_a_bucket: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text", rounds: tuple[str, ...] = ("min", "max", "min")) -> DataFrame:
+def join(docs: DataFrame, words: int = 5, percent: int = 75, chunk_bytes: int = 8 << 20, hashes_a_bucket: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text", rounds: tuple[str, ...] = ("min", "max")) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and class_id.
 
     Texts are lower-cased (A-Z); a set holds the distinct spans of `words` words, or the whole sequence if there are fewer. Documents
@@ -274,8 +279,10 @@ def join(docs: DataFrame, words: int = 5, percent: int = 75, chunk_bytes: int =
     lists = _across(lists, comp)
     links = links.unionByName(verified(_all_across(lists, percent), classes, percent))
     comp = connected(links).select(F.col("id").alias("class_id"), "component")
-    out = sets.select("doc_id", "n_shingles", "digest").join(to_class.withColumnRenamed("rep", "class_id"), "digest", "left").join(comp, "class_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    several = sets.filter("digest is not null").select("doc_id", "n_shingles", "digest").join(to_class.withColumnRenamed("rep", "class_id"), "digest").join(comp, "class_id", "left")
+    several = several.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id")
+    alone = sets.filter("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
+    return several.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
