@@ -85,6 +85,8 @@ def overlaps(ix: Index, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray,
     h = spans_hash(word, at, at + least, 1)
     lo = np.searchsorted(ix.seed, h, "left")
     hit = ix.seed[np.minimum(lo, len(ix.seed) - 1)] == h
+    if not hit.any():
+        return []
     at, lo, h = at[hit], lo[hit], h[hit]
     count = np.searchsorted(ix.seed, h, "right") - lo
     t = np.repeat(at, count)
@@ -92,7 +94,7 @@ def overlaps(ix: Index, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray,
     item = np.searchsorted(ix.first, i, "right") - 1
     order = np.lexsort((i, item, doc[t]))
     t, i, item = t[order], i[order], item[order]
-    new = np.flatnonzero(np.concatenate([[True], (doc[t][1:] != doc[t][:-1]) | (item[1:] != item[:-1])])) if len(t) else []
+    new = np.flatnonzero(np.concatenate([[True], (doc[t][1:] != doc[t][:-1]) | (item[1:] != item[:-1])]))
     out = []
     for a, b in zip(new, [*new[1:], len(t)], strict=True):
         d, k = int(doc[t[a]]), int(item[a])
