@@ -68,34 +68,45 @@ def lag_behind(current: Column, latest: Column) -> Column:
     return F.when(major > 0, "major").when((major == 0) & (minor > 0), "minor")
 
 
-# Licence name prefixes and how binding each is, 0 permissive to 3 network copyleft; the longest prefix decides.
-LICENCES = (
-    ("mit", 0), ("apache", 0), ("bsd", 0), ("isc", 0), ("0bsd", 0), ("unlicense", 0), ("cc0", 0), ("cc-by", 0), ("zlib", 0), ("wtfpl", 0), ("python", 0), ("psf", 0),
-    ("mpl", 1), ("lgpl", 1), ("epl", 1), ("cddl", 1), ("gpl", 2), ("agpl", 3), ("sspl", 3),
-)
-LICENCE_CLASSES = ("permissive", "weak-copyleft", "copyleft", "network-copyleft")
-
+# Classes of licences from the mildest to the strictest, and the class of each name prefix; the longest prefix that fits decides.
+LICENCE_CLASSES = ("permissive", "unknown", "weak-copyleft", "proprietary", "strong-copyleft", "network-copyleft")
+LICENCES = {
+    "permissive": "mit bsd apache isc 0bsd unlicense cc0 cc-by wtfpl zlib python-2 postgresql blueoak ms-pl",
+    "weak-copyleft": "lgpl mpl epl eupl cddl cpl ms-rl cc-by-sa artistic",
+    "proprietary": "unlicensed proprietary commercial",
+    "strong-copyleft": "gpl cecill",
+    "network-copyleft": "agpl sspl osl",
+}
 
-def licence_rank(expression: Column) -> Column:
-    """How binding a licence expression is: the mildest side of OR, the strictest of AND; null if any needed part is unknown."""
 
-    def one(name: Column) -> Column:
-        n = F.lower(F.trim(F.regexp_replace(name, r"[()]", "")))
-        out = F.lit(None).cast("int")
-        for prefix, rank in sorted(LICENCES, key=lambda x: len(x[0])):
-            out = F.when(n.startswith(prefix), rank).otherwise(out)
+def licence_class(expression: Column) -> Column:
+    """Class of a licence expression: the mildest side of OR, the strictest of AND; unknown if nothing is declared or recognised."""
+
+    def rank(name: Column) -> Column:
+        n = F.lower(F.trim(F.regexp_replace(F.trim(name), r"^\(|\)$", "")))
+        out = F.when(n.startswith("see license"), LICENCE_CLASSES.index("proprietary")).otherwise(LICENCE_CLASSES.index("unknown"))
+        pairs = [(p, LICENCE_CLASSES.index(c)) for c, names in LICENCES.items() for p in names.split()]
+        for prefix, k in sorted(pairs, key=lambda x: len(x[0])):
+            out = F.when(n.startswith(prefix), k).otherwise(out)
         return out
 
-    def strictest(part: Column) -> Column:
-        ranks = F.transform(F.split(part, r"(?i)\s+and\s+"), one)
-        return F.when(F.forall(ranks, lambda r: r.isNotNull()), F.array_max(ranks))
+    sides = F.transform(F.split(F.coalesce(expression, F.lit("")), r"(?i)\s+or\s+"), lambda side: F.array_max(F.transform(F.split(side, r"(?i)\s+and\s+"), rank)))
+    return F.element_at(F.array(*map(F.lit, LICENCE_CLASSES)), F.array_min(sides) + 1)
 
-    sides = F.transform(F.split(expression, r"(?i)\s+or\s+"), strictest)
-    return F.array_min(F.filter(sides, lambda r: r.isNotNull()))
 
+# Sentences by which a licence file is recognised, in order, in its first 4000 characters.
+LICENCE_TEXTS = (
+    (r"(?i)GNU AFFERO GENERAL PUBLIC LICENSE", "AGPL-3.0"), (r"(?i)Server Side Public License", "SSPL-1.0"), (r"(?i)GNU LESSER GENERAL PUBLIC LICENSE", "LGPL-3.0"),
+    (r"(?i)GNU GENERAL PUBLIC LICENSE", "GPL-3.0"), (r"(?i)Mozilla Public License", "MPL-2.0"), (r"(?i)Eclipse Public License", "EPL-2.0"), (r"(?i)Apache License", "Apache-2.0"),
+    (r"(?i)\bMIT License\b", "MIT"), (r"(?i)Redistribution and use in source and binary forms", "BSD-3-Clause"), (r"(?i)ISC License", "ISC"),
+)
 
-def licence_class(expression: Column) -> Column:
-    return F.when(licence_rank(expression).isNull(), "unknown").otherwise(F.element_at(F.array(*map(F.lit, LICENCE_CLASSES)), licence_rank(expression) + 1))
+
+def licence_of_text(text: Column) -> Column:
+    head, out = F.substring(text, 1, 4000), F.lit(None).cast("string")
+    for pattern, name in reversed(LICENCE_TEXTS):
+        out = F.when(head.rlike(pattern), name).otherwise(out)
+    return out
 
 
 def private_host(url: Column) -> Column:

@@ -484,7 +484,7 @@ def secrets_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""{_L}, l AS (SELECT repo_id, CASE WHEN text LIKE '%MIT License%' THEN 'MIT' WHEN text LIKE '%Apache License%' THEN 'Apache-2.0' WHEN text LIKE '%GNU General Public License%' THEN 'GPL-3.0' WHEN text LIKE '%CC BY-NC%' THEN 'CC-BY-NC' END AS licence FROM lines)
-    SELECT repo_id, licence, CASE licence WHEN 'GPL-3.0' THEN 'copyleft' ELSE 'permissive' END AS class, count(*) AS lines FROM l WHERE licence IS NOT NULL GROUP BY ALL"""
+    SELECT repo_id, licence, CASE licence WHEN 'GPL-3.0' THEN 'strong-copyleft' ELSE 'permissive' END AS class, count(*) AS lines FROM l WHERE licence IS NOT NULL GROUP BY ALL"""
 )
 def license_mix_by_source(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
