@@ -28,8 +28,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def centroids(sample: np.ndarray, k: int, rounds: int = 4) -> np.ndarray:
-    """Spherical k-means from evenly spaced rows of the sample, which is in a fixed order."""
+def centroids(sample: np.ndarray, k: int, rounds: int = 4, apart: float = 0.8) -> np.ndarray:
+    """Spherical k-means from evenly spaced rows of the sample, which is in a fixed order.
+
+    Of centroids that are closer than `apart` the first stays, so a crowd of like vectors is not torn over many shards; its one large shard is then split.
+    """
     c = sample[np.linspace(0, len(sample) - 1, k).astype(int)].copy()
     for _ in range(rounds):
         near = np.concatenate([(sample[i : i + 2048] @ c.T).argmax(1) for i in range(0, len(sample), 2048)])
@@ -37,7 +40,11 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 4) -> np.ndarray:
         np.add.at(sums, near, sample)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         c = np.where(norm > 1e-9, sums / np.maximum(norm, 1e-9), c)
-    return c
+    kept: list[int] = []
+    for i in range(len(c)):
+        if not kept or (c[kept] @ c[i]).max() < apart:
+            kept.append(i)
+    return c[kept]
 
 
 def robust_prune(x: np.ndarray, degree: int, candidates: int, alpha: float, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
