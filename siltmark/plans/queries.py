@@ -511,3 +511,84 @@ def dependency_reach(spark: SparkSession, d: str) -> DataFrame:
 def issue_search(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("title"), *(F.lit("").alias(c) for c in ("detail", "location", "category", "severity", "scanner")))
     return _long(FI.search(p, "Steel part").select("id", "relevance"), "relevance")
+
+
+@query(
+    """WITH c AS (SELECT c_custkey AS id, c_custkey % 7 AS fp, c_custkey % 19 AS weeks, c_custkey % 9 AS areas FROM customer), p AS (SELECT id, least(fp, 4) * 4.0::DOUBLE + least(weeks, 12) * 1.0::DOUBLE + least(areas, 6) * 1.5::DOUBLE AS points FROM c)
+    SELECT id, points, (CASE WHEN points >= 31 THEN 5 WHEN points >= 23 THEN 4 WHEN points >= 15 THEN 3 WHEN points >= 8 THEN 2 WHEN points >= 3 THEN 1 ELSE 0 END)::BIGINT AS tier FROM p"""
+)
+def contributor_tiers(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), *((F.col("c_custkey") % k).alias(n) for n, k in (("confirmed_false_positives", 7), ("clean_streak_weeks", 19), ("areas_touched", 9))))
+    return _long(U.contributor_points(c).select("id", "points", "tier"), "tier")
+
+
+@query(
+    """WITH r AS (SELECT n_name AS owner, c_mktsegment AS language, c_custkey AS name, floor(c_acctbal)::BIGINT AS stars FROM customer JOIN nation ON n_nationkey = c_nationkey),
+    l AS (SELECT owner, language, count(*) AS n, max(stars) AS s FROM r GROUP BY 1, 2), f AS (SELECT owner, language, row_number() OVER (PARTITION BY owner ORDER BY n DESC, s DESC, language DESC) AS k FROM l),
+    t AS (SELECT owner, count(*) AS repos, sum(stars)::BIGINT AS stars FROM r GROUP BY 1), b AS (SELECT owner, name AS best, row_number() OVER (PARTITION BY owner ORDER BY stars DESC, name DESC) AS k FROM r)
+    SELECT t.owner, repos, stars, best, language FROM t JOIN f ON f.owner = t.owner AND f.k = 1 JOIN b ON b.owner = t.owner AND b.k = 1"""
+)
+def owner_summary(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return U.owner_summary(c.select(F.col("n_name").alias("owner"), F.col("c_mktsegment").alias("language"), F.col("c_custkey").alias("name"), F.floor("c_acctbal").alias("stars")))
+
+
+@query(
+    f"""{_F}, m AS (SELECT category AS repo_id, category, id, ord FROM findings WHERE category IN ('security', 'todo') AND id NOT LIKE '%-1'), c AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY ord, id) AS n FROM m)
+    SELECT repo_id, id, ((row_number() OVER (PARTITION BY repo_id, category ORDER BY ord, id) - 1) // 5)::BIGINT AS batch FROM c WHERE n <= 40"""
+)
+def verdict_batches(spark: SparkSession, d: str) -> DataFrame:
+    f = _as_repo(spark, d, "category")
+    return _long(FI.verdict_batches(f, f.filter(F.col("id").endswith("-1")).select("id"), ["security", "todo"]).select("repo_id", "id", "batch"), "batch")
+
+
+@query(f"{_U} SELECT event_ts::DATE AS day, event, count(*) AS events, sum(amount)::BIGINT AS amount FROM usage GROUP BY 1, 2")
+def streaming_usage_daily(spark: SparkSession, d: str) -> DataFrame:
+    """The daily roll-up as a stream that reads all that is there; its few rows land in a memory table."""
+    import uuid
+
+    from ..streaming.usage import daily_usage
+
+    known = table(spark, d, "events")
+    raw = spark.readStream.schema(known.schema).parquet(f"{d}/events.parquet*")
+    events = raw.select(F.col("ts").cast("timestamp").alias("event_ts"), F.col("event_type").alias("event"), F.floor("value").cast("long").alias("amount"))
+    name = f"usage_{uuid.uuid4().hex}"
+    daily_usage(events, "400 days").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+def _documents(spark: SparkSession, d: str):
+    """The documents as files of one repository for each source."""
+    from ..operators.scanners import Snapshot
+
+    t = table(spark, d, "documents")
+    return Snapshot(files=t.select(F.col("source").alias("repo_id"), F.concat(F.lit("notes/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.col("doc_id").alias("file_ord"), F.octet_length("text").cast("long").alias("size"), F.col("text").alias("content")))
+
+
+@query("SELECT DISTINCT source AS repo_id, id, severity FROM documents, (VALUES ('hygiene-no-readme', 'warning'), ('hygiene-no-license', 'info'), ('hygiene-no-tests', 'warning'), ('hygiene-no-ci', 'info')) v(id, severity)")
+def rule_project_hygiene(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.scanners import RULES
+
+    return RULES["project-hygiene"](_documents(spark, d)).select("repo_id", "id", "severity")
+
+
+@query("""SELECT source AS repo_id, 'bloat-big/' || doc_id::VARCHAR || '.zip' AS id, 'warning' AS severity FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY strlen(text) DESC, doc_id::VARCHAR || '.zip') AS n FROM documents) WHERE n <= 30""")
+def rule_repo_bloat(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.scanners import RULES, Snapshot
+
+    s = _documents(spark, d)
+    return RULES["repo-bloat"](Snapshot(files=s.files.withColumn("path", F.concat(F.lit("big/"), F.col("file_ord").cast("string"), F.lit(".zip"))))).select("repo_id", "id", "severity")
+
+
+@query()
+def rule_secrets(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.scanners import RULES
+
+    return RULES["secrets"](_documents(spark, d))
+
+
+@query()
+def rule_duplicate_code(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.scanners import RULES
+
+    return RULES["duplicate-code"](_documents(spark, d))
