@@ -14,10 +14,15 @@ LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in which a language is recognised."""
-    found = langid.detect(docs).select("doc_id", "lang_pred", "score")
-    ok = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("doc_id").distinct()
-    return docs.join(ok, "doc_id", "left_semi").select(docs.columns)
+    """Keep documents in which a language is recognised.
+
+    Each row is judged by its own text: rows without an id stay or go like any other, and of rows with one id each goes its own way.
+    """
+    key = F.xxhash64(docs["doc_id"], docs["text"])
+    model = langid.fit(docs.filter(langid.remainder(docs["doc_id"], 3) != 1))
+    found = langid.identify(docs.select(key.alias("key"), "text"), model, id_col="key")
+    ok = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(F.col("doc_id").alias("_judged")).distinct()
+    return docs.join(ok, key == ok["_judged"], "left_semi").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

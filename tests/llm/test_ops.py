@@ -459,3 +459,17 @@ def test_pipeline_keeps_its_contract(spark):
     assert {r.doc_id for r in pieces} == {r.doc_id for r in now.select("doc_id").collect()}
     assert sum(r.length for r in pieces) == sum({r.doc_id: r.doc_tokens for r in pieces}.values())
     assert sorted(map(tuple, p.run(spark, SF).select("doc_id", "start", "length").collect())) == sorted((r.doc_id, r.start, r.length) for r in pieces)
+
+
+def test_pipeline_judges_the_language_of_each_row(spark):
+    import corpus_pipeline as p
+
+    docs = table(spark, SF, "documents").withColumn("_judged", F.lit(1)).withColumn("key", F.lit(2))
+    good = docs.filter("lang is not null and n_chars > 200").orderBy("doc_id").first()
+    odd = [(None, good.text), (None, "123 !?"), (None, None), (good.doc_id, "--- 42"), (None, good.text)]
+    more = spark.createDataFrame([(k, t, None, None, None, 1, 2) for k, t in odd], docs.schema)
+    kept = p.language(spark, docs.unionByName(more), SF)
+    assert kept.columns == docs.columns
+    assert [r.text for r in kept.filter("doc_id is null").collect()] == [good.text] * 2
+    assert [r.text for r in kept.filter(F.col("doc_id") == good.doc_id).collect()] == [good.text]
+    assert p.language(spark, docs.limit(0), SF).count() == 0
