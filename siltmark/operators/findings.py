@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from functools import reduce
 
@@ -161,8 +162,11 @@ def search_tree(nodes: DataFrame, query: str) -> DataFrame:
     return hit.unionByName(above).join(first, ["repo_id", "node"], "left").withColumn("first", F.coalesce("first", F.lit(False)) & (F.col("why") == "match"))
 
 
-def reachable(seeds: DataFrame, edges: DataFrame, by: tuple[str, ...] = ("repo_id",), most_rounds: int = 100) -> DataFrame:
-    """Names that seeds lead to over edges (src, dst), seeds included; cycles end by themselves. Each round is a checkpoint and only new names go on."""
+def reachable(seeds: DataFrame, edges: DataFrame, by: tuple[str, ...] = ("repo_id",), most_rounds: int | None = None) -> DataFrame:
+    """Names that seeds lead to over edges (src, dst), seeds included; cycles end by themselves. Each round is a checkpoint and only new names go on.
+
+    It goes on until a round finds no new name. With most_rounds, new names after so many rounds are an error, never a shorter result.
+    """
     key = [*by, "name"]
     spark = seeds.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
@@ -170,10 +174,11 @@ def reachable(seeds: DataFrame, edges: DataFrame, by: tuple[str, ...] = ("repo_i
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siltmark-"))
     seen = frontier = seeds.select(*key).distinct().checkpoint()
-    step = edges.select(*by, F.col("src").alias("name"), "dst")
-    for _ in range(most_rounds):
+    step = edges.select(*by, F.col("src").alias("name"), "dst").checkpoint()
+    for done in itertools.count():
         frontier = frontier.join(step, key).select(*by, F.col("dst").alias("name")).distinct().join(seen, key, "left_anti").checkpoint()
         if frontier.isEmpty():
-            break
+            return seen
+        if done == most_rounds:
+            raise RuntimeError(f"names are still being found after {most_rounds} rounds")
         seen = seen.unionByName(frontier).checkpoint()
-    return seen

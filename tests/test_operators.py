@@ -117,6 +117,14 @@ def test_reachability_in_a_cycle(spark):
     assert {r.name for r in FI.reachable(spark.createDataFrame([("r", "a")], "repo_id string, name string"), edges).collect()} == {"a", "b", "c"}
 
 
+def test_reachability_never_ends_short(spark):
+    edges = spark.createDataFrame([("r", k, k + 1) for k in range(4)], "repo_id string, src long, dst long")
+    seeds = spark.createDataFrame([("r", 0)], "repo_id string, name long")
+    assert FI.reachable(seeds, edges, most_rounds=4).count() == FI.reachable(seeds, edges).count() == 5
+    with pytest.raises(RuntimeError, match="3 rounds"):
+        FI.reachable(seeds, edges, most_rounds=3)
+
+
 def points(spark, rows):
     return spark.createDataFrame([(r, dt.datetime(2026, 1, d), s, 0, 0, 0) for r, d, s in rows], "repo_id string, scan_ts timestamp, score int, critical int, warning int, info int")
 

@@ -38,3 +38,14 @@ def test_results_do_not_depend_on_partitions(spark):
     for make in (metrics.hotspot_files, metrics.issue_costs, metrics.quick_wins):
         a, b = (sorted(map(str, make(x).collect())) for x in (f, f.repartition(7)))
         assert a == b
+
+
+def test_dependency_reach_reads_every_edge(spark, tmp_path):
+    steps = [(200, 1), (7, 2), (14, 50), (150, 4)]
+    spark.createDataFrame(steps, "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want, more = {0}, True
+    while more:
+        more = {s * 7 % 200 for p, s in steps if p % 200 in want} - want
+        want |= more
+    assert want == {0, 7, 14, 150, 28}
+    assert {r.name for r in Q.QUERIES["dependency_reach"](spark, str(tmp_path)).collect()} == want
