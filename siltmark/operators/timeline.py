@@ -14,13 +14,15 @@ def _order(scans: DataFrame, *more: str) -> Window:
     return Window.partitionBy("repo_id").orderBy("scan_ts", *more)
 
 
-def keep_last(points: DataFrame, n: int = _KEEP) -> DataFrame:
-    """The last n points of each repository."""
+def keep_last(points: DataFrame, n: int | None = _KEEP) -> DataFrame:
+    """The last n points of each repository; all of them if n is None."""
+    if n is None:
+        return points
     rank = F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("scan_ts")))
     return points.withColumn("_r", rank).filter(F.col("_r") <= n).drop("_r")
 
 
-def merge_points(stored: DataFrame, incoming: DataFrame, keep: int = _KEEP) -> DataFrame:
+def merge_points(stored: DataFrame, incoming: DataFrame, keep: int | None = _KEEP) -> DataFrame:
     """Stored and incoming points by time; at one time the incoming one counts unless its score is the stored one. Out-of-order points fall into place."""
     both = stored.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
     at = Window.partitionBy("repo_id", "scan_ts")
@@ -30,7 +32,7 @@ def merge_points(stored: DataFrame, incoming: DataFrame, keep: int = _KEEP) -> D
     return keep_last(both.withColumn("_r", first).filter("_r = 1").drop("_r", "_new", "_keep"), keep)
 
 
-def union_history(local: DataFrame, server: DataFrame, keep: int = _KEEP) -> DataFrame:
+def union_history(local: DataFrame, server: DataFrame, keep: int | None = _KEEP) -> DataFrame:
     """Histories united by time; where both have a time the local point stays."""
     both = local.withColumn("_from", F.lit(0)).unionByName(server.withColumn("_from", F.lit(1)))
     first = F.row_number().over(Window.partitionBy("repo_id", "scan_ts").orderBy("_from", "score"))

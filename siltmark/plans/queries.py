@@ -314,7 +314,18 @@ def history_last(spark: SparkSession, d: str) -> DataFrame:
 def merged_history(spark: SparkSession, d: str) -> DataFrame:
     day = V.scans(spark, d).withColumn("scan_ts", F.date_trunc("day", "scan_ts"))
     part = lambda k: day.filter(f"scan_id % {k} = 0").groupBy("repo_id", "scan_ts").agg(F.max("score").alias("score"))
-    return TL.merge_points(part(2), part(3), keep=10_000)
+    return TL.merge_points(part(2), part(3), keep=None)
+
+
+@query(
+    f"""{_S}, a AS (SELECT repo_id, scan_ts::DATE AS day, max(score) AS score FROM scans WHERE scan_id % 3 <> 0 GROUP BY ALL), b AS (SELECT repo_id, scan_ts::DATE AS day, max(score) AS score FROM scans WHERE scan_id % 2 = 0 OR scan_id % 3 = 0 GROUP BY ALL)
+    SELECT coalesce(a.repo_id, b.repo_id) AS repo_id, coalesce(a.day, b.day)::TIMESTAMP AS scan_ts, coalesce(b.score, a.score) AS score FROM a FULL JOIN b ON a.repo_id = b.repo_id AND a.day = b.day"""
+)
+def merged_history_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As merged_history, of two histories that overlap and together hold every scan."""
+    day = V.scans(spark, d).withColumn("scan_ts", F.date_trunc("day", "scan_ts"))
+    part = lambda which: day.filter(which).groupBy("repo_id", "scan_ts").agg(F.max("score").alias("score"))
+    return TL.merge_points(part("scan_id % 3 <> 0"), part("scan_id % 2 = 0 or scan_id % 3 = 0"), keep=None)
 
 
 @query(

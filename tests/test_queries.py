@@ -49,3 +49,16 @@ def test_dependency_reach_reads_every_edge(spark, tmp_path):
         want |= more
     assert want == {0, 7, 14, 150, 28}
     assert {r.name for r in Q.QUERIES["dependency_reach"](spark, str(tmp_path)).collect()} == want
+
+
+def test_merged_history_keeps_every_point(spark, tmp_path):
+    n = 10_050
+    spark.range(1, n + 1).selectExpr("1L as o_custkey", "id * 6 as o_orderkey", "cast(date_add(date '1970-01-01', cast(id as int)) as timestamp) as o_orderdate", "cast(id as double) as o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    assert Q.QUERIES["merged_history"](spark, str(tmp_path)).count() == n
+
+
+def test_merged_history_whole_has_the_day_of_every_scan(spark):
+    from siltmark.plans import views
+
+    days = {(r.repo_id, r.scan_ts.date()) for r in views.scans(spark, SF).collect()}
+    assert {(r.repo_id, r.scan_ts.date()) for r in Q.QUERIES["merged_history_whole"](spark, SF).collect()} == days
