@@ -107,10 +107,14 @@ def clones(sig: DataFrame, window: int = WINDOW) -> DataFrame:
     return runs.withColumn("lines", F.col("windows") + window - 1)
 
 
-def duplicate_code(s: Snapshot) -> DataFrame:
-    """Pasted blocks, at their first place, with how many places they have; short, mostly declarative or SVG ones are left out."""
+def duplicate_code(s: Snapshot, most_files: int | None = None) -> DataFrame:
+    """Pasted blocks, at their first place, with how many places they have; short, mostly declarative or SVG ones are left out.
+
+    All files are read; most_files (4000 in the reference, which runs in one process) keeps only the first of each repository.
+    """
     files = s.matching(CODE).filter(~F.col("path").rlike(AWAY))
-    files = files.withColumn("k", F.row_number().over(Window.partitionBy("repo_id").orderBy("file_ord"))).filter("k <= 4000").drop("k")
+    if most_files is not None:
+        files = files.withColumn("k", F.row_number().over(Window.partitionBy("repo_id").orderBy("file_ord"))).filter(F.col("k") <= most_files).drop("k")
     sig = significant_lines(s, files)
     runs = clones(sig)
     own = sig.select("repo_id", F.col("path").alias("a"), "n", "line", "text")

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltmark.operators.scanners import RULES, Snapshot, scan
 from siltmark.operators.scanners.registry import report
@@ -138,3 +139,14 @@ def test_suppression_and_report(snapshot):
     assert [r.id for r in findings.collect()] == ["hygiene-no-license"]
     rows = {r.repo_id: r for r in report(snapshot, findings).collect()}
     assert rows["good"].score == 100 and rows["good"].grade == "A" and rows["bad"].score == 100 and rows["bad"].lines_of_code > 0
+
+
+def test_duplicates_are_found_behind_the_4000th_file(spark):
+    from siltmark.operators.scanners.dead import duplicate_code
+
+    body = f"function f() {{\n{BLOCK}\n}}\n"
+    files = spark.range(4102).select(
+        F.lit("r").alias("repo_id"), F.concat(F.lit("src/"), F.col("id").cast("string"), F.lit(".js")).alias("path"), F.col("id").alias("file_ord"), F.lit(1).cast("long").alias("size"), F.when(F.col("id") < 4100, F.concat(F.lit("x"), F.col("id").cast("string"))).otherwise(body).alias("content"),
+    )
+    assert [r.id for r in RULES["duplicate-code"](Snapshot(files=files)).collect()] == ["duplicate-src/4100.js:1"]
+    assert duplicate_code(Snapshot(files=files), most_files=4000).count() == 0
