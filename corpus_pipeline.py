@@ -43,8 +43,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences."""
-    return packing.pack(docs, *tokenizer_file())
+    """Pack what is left into sequences, with the token ids of each piece."""
+    return packing.pack(docs, *tokenizer_file(), with_ids=True)
 
 
 STAGES = [

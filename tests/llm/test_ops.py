@@ -461,6 +461,14 @@ def test_pipeline_keeps_its_contract(spark):
     assert sorted(map(tuple, p.run(spark, SF).select("doc_id", "start", "length").collect())) == sorted((r.doc_id, r.start, r.length) for r in pieces)
 
 
+def test_pipeline_writes_the_packed_ids(spark):
+    import corpus_pipeline as p
+
+    docs = table(spark, SF, "documents").limit(20)
+    pieces = p.packed(spark, docs, SF).collect()
+    assert pieces and all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, np.int32).tobytes()) == r.ids_crc32 for r in pieces)
+
+
 def test_pipeline_judges_the_language_of_each_row(spark):
     import corpus_pipeline as p
 
