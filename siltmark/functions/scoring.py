@@ -106,9 +106,9 @@ def size_verdict(kilobytes: Column, most_megabytes: float) -> Column:
 
 def location_path(location: Column) -> Column:
     """The file a finding lies in, or null: without a commit, line or column; not a branch, a pattern or the whole repository."""
-    head = F.trim(F.split(location, " @ ")[0])
-    path = F.trim(F.regexp_replace(head, r":\d+(:\d+)?$", ""))
-    return F.when((path != "") & ~path.startswith("origin/") & ~path.contains("*"), path)
+    # one expression, so that it is worked out once however often a plan names it
+    file = F.regexp_extract(F.substring_index(location, " @ ", 1), r"^ *(?!origin/)([^*]*?) *(?::\d+(?::\d+)?)? *$", 1)
+    return F.nullif(file, F.lit(""))
 
 
 def location_line(location: Column) -> Column:

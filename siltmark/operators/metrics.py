@@ -114,13 +114,13 @@ def tree_nodes(findings: DataFrame, weights: dict[str, float] | None = None) ->
     Findings without a file gather in one bucket below the root.
     """
     w = {**S.WEIGHTS, **(weights or {})}
-    path = S.location_path(F.col("location"))
-    path = F.when(path != ".", path)
-    parts = F.split(path, "/")
-    prefixes = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    nodes = F.when(path.isNull(), F.array(F.lit(""), F.lit("(other)"))).otherwise(prefixes)
-    base = findings.groupBy("repo_id", path.alias("path"), nodes.alias("nodes")).agg(*(F.count_if(F.col("severity") == s).alias(s) for s in S.SEVERITIES), F.count("*").alias("findings"), F.sum(S.severity_value(F.col("severity"), w)).alias("weight"))
-    out = base.select("repo_id", "path", F.posexplode("nodes").alias("depth", "node"), *S.SEVERITIES, "findings", "weight")
+    path = F.nullif(S.location_path(F.col("location")), F.lit("."))
+    base = findings.groupBy("repo_id", path.alias("path")).agg(*(F.count_if(F.col("severity") == s).alias(s) for s in S.SEVERITIES), F.count("*").alias("findings"), F.sum(S.severity_value(F.col("severity"), w)).alias("weight"))
+    # prefixes are made for distinct paths only
+    base = base.withColumn("parts", F.split("path", "/"))
+    prefixes = F.transform(F.sequence(F.lit(0), F.size("parts")), lambda n: F.array_join(F.slice("parts", 1, n), "/"))
+    nodes = F.when(F.col("path").isNull(), F.array(F.lit(""), F.lit("(other)"))).otherwise(prefixes)
+    out = base.select("repo_id", "path", F.posexplode(nodes).alias("depth", "node"), *S.SEVERITIES, "findings", "weight")
     kind = F.when(F.col("node") == "", "root").when(F.col("path").isNull(), "bucket").when(F.col("node") == F.col("path"), "file").otherwise("dir")
     out = out.withColumn("kind", kind).groupBy("repo_id", "node", "kind", "depth").agg(*(F.sum(c).alias(c) for c in (*S.SEVERITIES, "findings", "weight")))
     return out.withColumn("worst", F.when(F.col("critical") > 0, "critical").when(F.col("warning") > 0, "warning").when(F.col("info") > 0, "info"))
