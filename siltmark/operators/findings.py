@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions.text import glob_regex
+from ..session import shared_folder
 
 SCANNERS = (
     "env-lifecycle", "stale-branch", "todo-debt", "secrets", "dependency-funeral", "vulnerable-deps", "outdated-deps", "lockfile-drift", "dead-code", "project-hygiene",
@@ -168,11 +169,7 @@ def reachable(seeds: DataFrame, edges: DataFrame, by: tuple[str, ...] = ("repo_i
     It goes on until a round finds no new name. With most_rounds, new names after so many rounds are an error, never a shorter result.
     """
     key = [*by, "name"]
-    spark = seeds.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siltmark-"))
+    shared_folder(seeds.sparkSession)
     seen = frontier = seeds.select(*key).distinct().checkpoint()
     step = edges.select(*by, F.col("src").alias("name"), "dst").checkpoint()
     for done in itertools.count():
