@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: Bytes that separate words: space and U+0009 to U+000D.
 SPACES = (0x20, *range(0x09, 0x0E))
 _SPACE = np.zeros(256, bool)
@@ -19,14 +20,8 @@ _LOWER[65:91] += 32
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
-
-    The folder comes from the session's spark.checkpoint.dir; only where that is unset (tests,
-    one machine) a temporary one is made.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siltmark-"))
+    """Cut the lineage with a reliable checkpoint in the session's checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -66,26 +61,29 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base))
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
 _BASES = {0: 0xD6E8FEB86659FD93, 1: 0xA0761D6478BD642F, 2: 0xE7037ED1A0B428DB, 3: 0x8EBC6AF09C88C6E3}
+#: Powers that are kept between calls; longer tables are made when they are needed and dropped again.
+_KEPT = 1 << 16
 _POWERS: dict[tuple[int, bool], np.ndarray] = {}
 
 
 def powers(seed: int, inverse: bool, n: int) -> np.ndarray:
-    """Powers of an odd base modulo 2**64, or of its inverse."""
+    """The first n powers of an odd base modulo 2**64, or of its inverse."""
+    base = pow(_BASES[seed], -1, 2**64) if inverse else _BASES[seed]
     have = _POWERS.get((seed, inverse))
-    if have is None or len(have) < n:
-        base = _BASES[seed]
-        have = _POWERS[seed, inverse] = _powers(pow(base, -1, 2**64) if inverse else base, max(n, 1 << 16))
+    if have is None or n > len(have):
+        out = np.full(max(n, _KEPT), np.uint64(base))
+        out[0] = 1
+        have = np.cumprod(out, dtype=np.uint64)
+        if n <= _KEPT:
+            _POWERS[seed, inverse] = have
     return have[:n]
 
 
+def _with_length(h: np.ndarray, size, seed: int) -> np.ndarray:
+    return mix(h, seed) + np.asarray(size).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
 def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
     """64-bit hashes of values[start:end], equal where the sequences are equal."""
     n = len(values)
@@ -94,27 +92,53 @@ def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(mix(values, seed + 11) * powers(seed, False, n), out=sums[1:])
     back = powers(seed, True, n + 1)
-    return mix((sums[ends] - sums[starts]) * back[starts], seed) + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return _with_length((sums[ends] - sums[starts]) * back[starts], ends - starts, seed)
+
+
+def windows_hash(values: np.ndarray, starts: np.ndarray, size: int, seed: int, block: int = 1 << 17) -> np.ndarray:
+    """64-bit hashes of values[start:start + size] for ascending starts: those of spans_hash, without tables as long as the values."""
+    out = np.empty(len(starts), np.uint64)
+    base = np.uint64(_BASES[seed])
+    at = 0
+    while at < len(starts):
+        lo = int(starts[at])
+        to = int(np.searchsorted(starts, lo + block, "left"))
+        m = mix(values[lo : int(starts[to - 1]) + size], seed + 11)
+        n = len(m) - size + 1
+        h = m[size - 1 :].copy()
+        for k in range(size - 2, -1, -1):
+            h *= base
+            h += m[k : k + n]
+        out[at:to] = h[starts[at:to] - lo]
+        at = to
+    return _with_length(out, size, seed)
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool, seed: int = 0, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+_BYTES = {seed: mix(np.arange(256, dtype=np.uint64), seed + 11) for seed in _BASES}
+
+
+def places(n: int) -> type:
+    """The smaller integer type that holds positions up to n."""
+    return np.int32 if n < 2**31 - 1 else np.int64
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool, seed: int = 0, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words [^space]+ of the texts: (starts, ends, hash, first), first[i] being the first word of text i (one more entry than texts).
 
-    Works through blocks of texts so that the per-byte arrays stay small.
+    Works through blocks of texts so that the arrays for each byte stay small.
     """
+    kind = places(len(data))
     starts, ends, hashes, counts = [], [], [], []
-    at = 0
+    at = seen = 0
     while at < len(offsets) - 1:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + block, "right")) - 1)
         lo, hi = int(offsets[at]), int(offsets[to])
-        part = _LOWER[data[lo:hi]] if lower else data[lo:hi]
+        part = data[lo:hi]
         inside = ~_SPACE[part]
-        edge = np.empty(hi - lo + 1, bool)
-        edge[1:-1] = inside[1:] != inside[:-1]
+        edge = np.zeros(hi - lo + 1, bool)
         if hi > lo:
+            edge[1:-1] = inside[1:] != inside[:-1]
             edge[0], edge[-1] = inside[0], inside[-1]
-        else:
-            edge[:] = False
         cut = offsets[at + 1 : to] - lo  # a word ends with its text
         both = cut[(cut > 0) & (cut < hi - lo)]
         joined = np.unique(both[inside[both] & inside[both - 1]]) if len(both) else both
@@ -122,13 +146,34 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool, seed: int = 0,
         if len(joined):
             points = np.sort(np.concatenate([points, joined, joined]))
         s, e = points[0::2], points[1::2]
-        starts.append(s + lo)
-        ends.append(e + lo)
-        hashes.append(spans_hash(part.astype(np.uint64), s, e, seed))
-        counts.append(np.searchsorted(s, offsets[at : to + 1] - lo, "left")[1:] + (sum(map(len, starts[:-1]))))
+        if len(s):
+            # each byte counts by its place in its word
+            size = e - s
+            byte = np.zeros(int(e[-1]) + 1, np.uint64)
+            byte[:-1] = _BYTES[seed][_LOWER[part[: e[-1]]] if lower else part[: e[-1]]]
+            place = np.zeros(len(byte), np.int32)
+            place[s] = 1
+            np.cumsum(place, out=place)
+            place = np.arange(len(byte), dtype=np.int32) - s.astype(np.int32)[np.maximum(place - 1, 0)]
+            byte *= powers(seed, False, int(size.max()) + 1)[np.clip(place, 0, int(size.max()))]
+            h = np.add.reduceat(byte, points)[0::2]
+            hashes.append(_with_length(h, size, seed))
+            starts.append((s + lo).astype(kind))
+            ends.append((e + lo).astype(kind))
+        counts.append(np.searchsorted(s, offsets[at + 1 : to + 1] - lo, "left") + seen)
+        seen += len(s)
+        at = to
+    cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+    return cat(starts, kind), cat(ends, kind), cat(hashes, np.uint64), np.concatenate([[0], *counts]).astype(np.int64)
+
+
+def blocks_of(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with at most so many bytes each, or one text."""
+    at = 0
+    while at < len(offsets) - 1:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        yield at, to
         at = to
-    cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-    return cat(starts, np.int64), cat(ends, np.int64), cat(hashes, np.uint64), np.concatenate([[0], *counts]).astype(np.int64)
 
 
 def arrow_rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
@@ -146,8 +191,3 @@ def over_texts(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str =
                     yield out
 
     return run
-
-
-def held(spark: SparkSession, name: str, default: str) -> int:
-    """An integer session setting."""
-    return int(spark.conf.get(name, default))

@@ -8,15 +8,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mix, spans_hash, text_bytes, total, words_of
+from .common import blocks_of, checkpointed, mix, places, text_bytes, total, windows_hash, words_of
 from .components import connected
 from .exchange import BLOCKS, answered, blocks, chunked, distinct_with_owners, held_elsewhere, replies
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("shingles", pa.binary())])
-SETS = "doc_id long, n_shingles long, digest binary, shingles binary"
+_SETS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("shingles", pa.binary())])
+SETS = "row long, doc_id long, n_shingles long, digest binary, shingles binary"
 _LISTS = pa.schema([("e", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("taken", pa.int64()), ("pos", pa.int64())])
 LISTS = "e long, rep long, n long, shared long, taken long, pos long"
 
@@ -31,26 +31,46 @@ def pair_overlap(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def row_order(t: pa.Table) -> np.ndarray:
+    """Order of a chunk's rows by id and key, which does not hang on how they came; rows that are equal in both are equal in id and text."""
+    return np.lexsort((t.column("key").to_numpy(), t.column("doc_id").fill_null(np.iinfo(np.int64).max).to_numpy()))
+
+
+def dealt(docs: DataFrame, chunks: int) -> DataFrame:
+    """Rows (doc_id, text, ...) in chunks, with the key of row_order."""
+    return chunked(docs.withColumn("key", F.xxhash64("text", F.lit(29))), chunks, "doc_id", "text")
+
+
+def distinct_shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, number of each text): distinct shingles, sorted by hash within each text."""
+    _, _, word, first = words_of(data, offsets, lower=True)
+    n = np.diff(first)
+    doc = np.repeat(np.arange(len(n)), n)
+    left = first[doc + 1] - np.arange(len(word))
+    starts, hashes = [np.flatnonzero(left >= words)], []
+    hashes.append(windows_hash(word, starts[0], words, 1))
+    for k in range(1, words):  # a text with fewer words is one sequence
+        starts.append(first[:-1][n == k])
+        hashes.append(windows_hash(word, starts[-1], k, 1))
+    h, d = np.concatenate(hashes), doc[np.concatenate(starts)]
+    order = np.lexsort((h, d))
+    h, d = h[order], d[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+    return h[new], np.bincount(d[new], minlength=len(n))
+
+
 class Shingles:
-    """Distinct shingles of a chunk's texts, sorted by hash within each text."""
+    """Distinct shingles of a chunk's texts, sorted by hash within each text; texts in the order of row_order."""
 
     def __init__(self, t: pa.Table, words: int):
-        self.ids = t.column("doc_id").fill_null(-1).to_numpy()
-        self.known = t.column("doc_id").is_valid().to_numpy()
+        self.order = row_order(t)
         data, offsets = text_bytes(t.column("text"))
-        start, _, word, first = words_of(data, offsets, lower=True)
-        n = np.diff(first)
-        doc = np.repeat(np.arange(len(n)), n)
-        nth = np.arange(len(word)) - first[doc]
-        at = np.flatnonzero((first[doc + 1] - np.arange(len(word)) >= words) | ((nth == 0) & (n[doc] < words)))
-        hashes = spans_hash(word, at, np.minimum(at + words, first[doc[at] + 1]), 1)
-        order = np.lexsort((hashes, doc[at]))
-        h, d = hashes[order], doc[at][order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-        self.hash, self.doc = h[new], d[new]
-        self.first = np.searchsorted(self.doc, np.arange(len(n) + 1))
-        self.n = np.diff(self.first)
+        parts = [distinct_shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words) for a, b in blocks_of(offsets, 1 << 19)]
+        self.hash = np.concatenate([h for h, _ in parts]) if parts else np.zeros(0, np.uint64)
+        n = np.concatenate([k for _, k in parts]) if parts else np.zeros(0, np.int64)
+        self.first = np.concatenate([[0], np.cumsum(n)])
+        self.n = n
 
     def probes(self, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(entries that probe for partners, their text, how many a text with a partner must share): the lowest hashes of each text.
@@ -60,21 +80,28 @@ class Shingles:
         spare = self.n - -(-percent * self.n // 100)
         need = np.where(self.n > 0, np.maximum(1, self.n // 8), 0)
         p = np.minimum(self.n, spare + need)
-        nth = np.arange(len(self.hash)) - self.first[self.doc]
-        at = np.flatnonzero((nth < p[self.doc]) & self.known[self.doc])
-        return at, self.doc[at], p - spare
+        doc = np.repeat(np.arange(len(p), dtype=np.int32), p)
+        at = np.arange(len(doc)) + np.repeat(self.first[:-1] - (np.cumsum(p) - p), p)
+        return at.astype(places(len(self.hash))), doc, p - spare
 
 
-def find_sets(docs: DataFrame, words: int, percent: int, chunk_bytes: int, hashes_a_bucket: int) -> DataFrame:
-    """All documents with their set's size; those that may have a partner also with the set and its digest."""
+def chunks_of(docs: DataFrame, chunk_bytes: int, hashes_a_bucket: int) -> tuple[int, int]:
+    """(chunks, buckets) for the texts' size."""
     size = total(docs, F.octet_length("text"))
-    chunks, buckets = max(2, -(-size // chunk_bytes)), max(2, -(-size // (16 * hashes_a_bucket)))
-    dealt = chunked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), "doc_id", chunks)
+    return max(2, -(-size // chunk_bytes)), max(2, -(-size // (16 * hashes_a_bucket)))
+
+
+def find_sets(docs: DataFrame, words: int, percent: int, chunks: int, buckets: int) -> DataFrame:
+    """All rows with their set's size and a number, chunk * 2**32 + place in it; those that may have a partner also with the set's digest.
+
+    The first row of a chunk with a digest carries the set.
+    """
+    given = dealt(docs.select("doc_id", "text"), chunks)
 
     def probe(t: pa.Table):
         s = Shingles(t, words)
         at, doc, need = s.probes(percent)
-        values, index, local = distinct_with_owners(s.hash[at], s.ids[doc])
+        values, index, local = distinct_with_owners(s.hash[at], doc)
         return s, doc, need, values, index, local
 
     def ask(t: pa.Table) -> pa.Table:
@@ -86,27 +113,35 @@ def find_sets(docs: DataFrame, words: int, percent: int, chunk_bytes: int, hashe
         s, doc, need, values, index, local = probe(left)
         shared = (replies(right, 1, values, buckets) | local)[index]
         found = np.bincount(doc, weights=shared, minlength=len(s.n))
-        maybe = (found >= need) & (s.n > 0) & s.known
-        raw = [s.hash[s.first[i] : s.first[i + 1]].tobytes() if ok else None for i, ok in enumerate(maybe)]
-        digest = [r and hashlib.blake2b(r, digest_size=16).digest() for r in raw]
-        return pa.table([left.column("doc_id"), pa.array(s.n), pa.array(digest, pa.binary()), pa.array(raw, pa.binary())], schema=_SETS)
-
-    shared = answered(dealt.groupBy("chunk").applyInArrow(ask, BLOCKS), 1, held_elsewhere)
-    return dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(decide, SETS)
+        maybe = (found >= need) & (s.n > 0)
+        raw: list[bytes | None] = []
+        digest: list[bytes | None] = []
+        seen: set[bytes] = set()
+        for i in s.order.tolist():
+            d = hashlib.blake2b(s.hash[s.first[i] : s.first[i + 1]], digest_size=16).digest() if maybe[i] else None
+            digest.append(d)
+            raw.append(s.hash[s.first[i] : s.first[i + 1]].tobytes() if d and d not in seen else None)
+            if d:
+                seen.add(d)
+        base = left.column("chunk")[0].as_py() << 32
+        return pa.table([pa.array(np.arange(len(s.n)) + base), left.column("doc_id").take(pa.array(s.order)), pa.array(s.n[s.order]), pa.array(digest, pa.binary()), pa.array(raw, pa.binary())], schema=_SETS)
+
+    shared = answered(given.groupBy("chunk").applyInArrow(ask, BLOCKS), 1, held_elsewhere)
+    return given.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(decide, SETS)
 
 
 def _sets(t: pa.Table) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), np.uint64) for x in t.column("shingles")]
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
 
 
-def inverted_lists(classes: DataFrame, percent: int, hashes_a_chunk: int = 1 << 20, hashes_a_bucket: int = 1 << 19) -> DataFrame:
+def inverted_lists(classes: DataFrame, percent: int, hashes_a_chunk: int = 1 << 19, hashes_a_bucket: int = 1 << 18) -> DataFrame:
     """Entries (shingle, class) of the shingles by which a class has to be found: the rarest first, so few classes meet in one.
 
     How many classes hold a shingle is counted over all classes; those that one class alone holds take room in the prefix but give no entry.
     """
     size = total(classes, "n")
     chunks, buckets = max(2, -(-size // hashes_a_chunk)), max(2, -(-size // hashes_a_bucket))
-    dealt = chunked(classes.select("rep", "n", "shingles"), "rep", chunks)
+    given = chunked(classes.select("rep", "n", "shingles"), chunks, "rep")
 
     def counted(t: pa.Table):
         sets = _sets(t)
@@ -118,7 +153,7 @@ def inverted_lists(classes: DataFrame, percent: int, hashes_a_chunk: int = 1 <<
         _, _, values, _, counts = counted(t)
         return blocks(t.column("chunk")[0].as_py(), values, buckets, counts)
 
-    def rarity(group: np.ndarray, chunk: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    def rarity(group: np.ndarray, extra: np.ndarray) -> np.ndarray:
         held = np.bincount(group, weights=extra)
         return np.where(held < 2, 0, np.minimum(255, 8 * np.log2(np.maximum(held, 2)))).astype(np.uint8)[group]
 
@@ -140,8 +175,8 @@ def inverted_lists(classes: DataFrame, percent: int, hashes_a_chunk: int = 1 <<
             [pa.array(flat[order][take].view(np.int64)), pa.array(left.column("rep").to_numpy()[o]), pa.array(sizes[o]), pa.array((sizes - alone)[o]), pa.array(np.maximum(0, prefix - alone)[o]), pa.array(nth[take])], schema=_LISTS
         )
 
-    rare = answered(dealt.groupBy("chunk").applyInArrow(ask, BLOCKS), 1, rarity, np.uint32)
-    return dealt.groupBy("chunk").cogroup(rare.groupBy("chunk")).applyInArrow(entries, LISTS)
+    rare = answered(given.groupBy("chunk").applyInArrow(ask, BLOCKS), 1, rarity, np.uint32)
+    return given.groupBy("chunk").cogroup(rare.groupBy("chunk")).applyInArrow(entries, LISTS)
 
 
 def subset_sizes(n: int, most: int, percent: int) -> list[int]:
@@ -221,9 +256,14 @@ def _pairs(met: DataFrame, percent: int) -> DataFrame:
     return counted.filter(F.col("k") + rest >= F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent)))
 
 
-def _leaders(lists: DataFrame, percent: int, by: str) -> DataFrame:
+def _lead(lists: DataFrame, by: str) -> DataFrame:
+    """(e, l) of each list in which different components meet: its first or last entry. A row for each list, written down, so that the join with it can be split where a list is long."""
+    lead = lists.groupBy("e").agg(F.expr(f"{by}(struct(comp, rep, n, shared, taken))").alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return checkpointed(lead.filter("lo < hi").select("e", "l"))
+
+
+def _leaders(lists: DataFrame, lead: DataFrame, percent: int) -> DataFrame:
     """For each class the one, among the leaders of its lists and not in its own component, that it meets most often."""
-    lead = lists.groupBy("e").agg(F.expr(f"{by}(struct(comp, rep, n, shared, taken))").alias("l"), F.count("*").alias("k")).filter("k > 1").select("e", "l")
     met = lists.join(lead, "e").filter(F.col("comp") != F.col("l.comp"))
     met = met.select(
         F.col("rep").alias("a"), F.col("l.rep").alias("b"), F.col("n").alias("na"), F.col("l.n").alias("nb"),
@@ -245,49 +285,88 @@ def _all_across(lists: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
-def _across(lists: DataFrame, comp: DataFrame) -> DataFrame:
-    """The entries of lists in which different components meet, each with its component."""
-    own = lists.drop("comp").join(comp.select(F.col("id").alias("rep"), F.col("component").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    mixed = own.groupBy("e").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("e")
-    return checkpointed(own.join(mixed, "e", "left_semi"))
-
+def _with_component(lists: DataFrame, comp: DataFrame) -> DataFrame:
+    """The entries of lists, each with its class's component."""
+    own = lists.drop("comp").join(comp.select(F.col("id").alias("rep"), F.col("component").alias("comp")), "rep", "left")
+    return checkpointed(own.withColumn("comp", F.coalesce("comp", "rep")))
 
-def join(docs: DataFrame, words: int = 5, percent: int = 75, chunk_bytes: int = 8 << 20, hashes_a_bucket: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text", rounds: tuple[str, ...] = ("min", "max")) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id and class_id.
 
-    Texts are lower-cased (A-Z); a set holds the distinct spans of `words` words, or the whole sequence if there are fewer. Documents
-    link when 100 * intersection >= percent * union, and a component is what links reach. Equal sets are one class, whose id is its
-    smallest document. Sets up to a size boundary, chosen by the rows that either way costs, meet by equal subsets; larger ones by inverted lists of their rarest shingles.
-    In lists, classes first link with one leader each; after that only pairs of different components are looked at, so a group of copies costs
-    a few rows per member, and no link between components is missed. A null text is empty; texts without words link with nothing; rows with one id
-    are one document; a row without an id links with nothing and has a null component; an empty table gives no rows; other columns are dropped.
-    """
-    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sets = checkpointed(find_sets(given, words, percent, chunk_bytes, hashes_a_bucket))
-    maybe = sets.filter("digest is not null")
-    to_class = maybe.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes = checkpointed(maybe.withColumnRenamed("n_shingles", "n").join(to_class.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"]).select(F.col("doc_id").alias("rep"), "n", "shingles"))
+def link(classes: DataFrame, percent: int, rounds: tuple[str, ...]) -> DataFrame:
+    """(id, component) of the classes (rep, n, shingles) that link with others, as connected() gives it."""
     lists = checkpointed(inverted_lists(classes, percent).withColumn("comp", F.col("rep")))
     limit = boundary(lists, classes, percent)
     links = checkpointed(by_subsets(classes, limit, percent))
     lists = lists.filter(F.col("n") >= least_overlap(limit + 1, percent))
     comp = connected(links)
-    for by in rounds:
-        lists = _across(lists, comp)
-        links = checkpointed(links.unionByName(verified(_leaders(lists, percent, by), classes, percent)))
-        comp = connected(links)
-    lists = _across(lists, comp)
-    links = links.unionByName(verified(_all_across(lists, percent), classes, percent))
-    comp = connected(links).select(F.col("id").alias("class_id"), "component")
-    several = sets.filter("digest is not null").select("doc_id", "n_shingles", "digest").join(to_class.withColumnRenamed("rep", "class_id"), "digest").join(comp, "class_id", "left")
-    several = several.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id")
+    # each class first meets one leader of its lists; after that few lists still hold different components
+    for by in (*rounds, None):
+        lists = _with_component(lists, comp)
+        lead = _lead(lists, by or "min")
+        if lead.isEmpty():
+            break
+        pairs = _leaders(lists, lead, percent) if by else _all_across(lists.join(lead.select("e"), "e", "left_semi"), percent)
+        more = checkpointed(verified(pairs, classes, percent))
+        if by is None or not more.isEmpty():
+            # what is known already is a star for each component
+            links = comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
+            comp = connected(links)
+            lists = lists.join(lead.select("e"), "e", "left_semi")
+    return comp
+
+
+def _rows(given: DataFrame, words: int, percent: int, chunks: int, buckets: int, rounds: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sets of all rows, those with a digest, (digest, low, first_id, component) of each class that may have partners): low is the smallest id of its component, first_id its own."""
+    sets = checkpointed(find_sets(given, words, percent, chunks, buckets))
+    maybe = sets.filter("digest is not null")
+    to_class = checkpointed(maybe.groupBy("digest").agg(F.min("row").alias("rep"), F.min("doc_id").alias("first_id")))
+    carriers = maybe.filter("shingles is not null").select("digest", F.col("row").alias("rep"), F.col("n_shingles").alias("n"), "shingles")
+    classes = checkpointed(carriers.join(to_class.select("digest", "rep"), ["digest", "rep"]).select("rep", "n", "shingles"))
+    comp = link(classes, percent, rounds).select(F.col("id").alias("rep"), "component")
+    own = to_class.join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    low = own.groupBy("component").agg(F.min("first_id").alias("low"))
+    return sets, maybe, own.join(low, "component").select("digest", "low", "first_id", "component")
+
+
+def join(docs: DataFrame, words: int = 5, percent: int = 75, chunk_bytes: int = 4 << 20, hashes_a_bucket: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text", rounds: tuple[str, ...] = ("min", "max")) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id and class_id.
+
+    Texts are lower-cased (A-Z); a set holds the distinct spans of `words` words, or the whole sequence if there are fewer. Documents
+    link when 100 * intersection >= percent * union, and a component is what links reach; its id is the smallest of its documents' ids. Equal sets are one class, whose id is
+    that of its smallest document. Sets up to a size boundary, chosen by the rows that either way costs, meet by equal subsets; larger ones by inverted lists of their rarest shingles.
+    In lists, classes first link with one leader each; after that only pairs of different components are looked at, so a group of copies costs
+    a few rows per member, and no link between components is missed. A null text is empty; texts without words link with nothing. Each row is a document of its own: rows
+    with one id but different texts do not link by their id. A row without an id links as others do; its component has the smallest id that there is in it, or null.
+    An empty table gives no rows; other columns are dropped.
+    """
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    sets, maybe, own = _rows(given, words, percent, *chunks_of(given, chunk_bytes, hashes_a_bucket), rounds)
+    several = maybe.select("doc_id", "n_shingles", "digest").join(own, "digest").select("doc_id", "n_shingles", F.col("low").alias("component_id"), F.col("first_id").alias("class_id"))
     alone = sets.filter("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
     return several.unionByName(alone)
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents whose id is their component's smallest, in the input's columns; rows without an id stay, and of rows with one id, one does."""
-    keep = join(docs, id_col=id_col, **options).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(*[c for c in docs.columns if c != id_col]))
-    kept = docs.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
-    return kept.join(keep, id_col, "left_semi").select(docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 75, chunk_bytes: int = 4 << 20, hashes_a_bucket: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text", rounds: tuple[str, ...] = ("min", "max")) -> DataFrame:
+    """One document of each component of join(), that with the smallest id, in the input's columns; see there for null and repeated ids.
+
+    Of rows that are equal in id and text one stays; texts without words all stay. The texts move twice: once to be compared, once to leave out what goes.
+    """
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"_{c}") for c in rest))
+    given = whole.select("doc_id", "text")
+    chunks, buckets = chunks_of(given, chunk_bytes, hashes_a_bucket)
+    _, maybe, own = _rows(given, words, percent, chunks, buckets, rounds)
+    rows = checkpointed(maybe.select("row", "doc_id", "digest").join(own.select("digest", "low", "component"), "digest"))
+    stays = checkpointed(rows.filter(F.col("doc_id").eqNullSafe(F.col("low"))).groupBy("component").agg(F.min("row").alias("stays")))
+    goes = rows.join(stays, "component").filter(F.col("row") != F.col("stays"))
+    goes = goes.select(F.shiftright("row", 32).cast("int").alias("chunk"), F.col("row").bitwiseAND(F.lit(2**32 - 1)).cast("long").alias("place"))
+    schema = whole.schema
+
+    def leave_out(left: pa.Table, right: pa.Table) -> pa.Table:
+        keep = np.ones(left.num_rows, bool)
+        if left.num_rows:
+            keep[row_order(left)[right.column("place").to_numpy()]] = False
+        return left.select(schema.names).filter(pa.array(keep))
+
+    out = dealt(whole, chunks).groupBy("chunk").cogroup(goes.groupBy("chunk")).applyInArrow(leave_out, schema)
+    names = {id_col: "doc_id", text_col: "text"} | {c: f"_{c}" for c in rest}
+    return out.select(*(F.col(names[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))

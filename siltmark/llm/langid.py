@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .bigru import Adam, Params, both, both_back, recurrent, scattered, softmax, walk
 from .common import arrow_rows, in_pieces, text_bytes
+from .sampling import by_class
 
 #: Input symbol of positions past the end of a text.
 PAD = 256
@@ -31,14 +32,6 @@ def remainder(id_col: Column, of: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % of
 
 
-def bounded_sample(rows: DataFrame, id_col: str, most: int) -> DataFrame:
-    """About `most` rows at most, chosen by a hash of the id; all rows if there are no more than that."""
-    n = rows.count()
-    if n <= most:
-        return rows
-    return rows.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * most / n))
-
-
 def windows_of(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cut texts into windows: (text of each window, its start, its length). Every byte is in exactly one."""
     sizes = np.diff(offsets)
@@ -113,21 +106,22 @@ def train(windows: np.ndarray, labels: np.ndarray, classes: int, hidden: int, st
 
 
 def fit(
-    rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = 600, sample_bytes: int = 1 << 15,
-    window: int = 64, hidden: int = 8, steps: int = 260, batch: int = 160, rate: float = 0.02, seed: int = 1,
+    rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = 600, least_rows: int = 40, sample_bytes: int = 1 << 15,
+    windows: int = 40, window: int = 64, hidden: int = 8, steps: int = 260, batch: int = 160, rate: float = 0.02, seed: int = 1,
 ) -> Model:
-    """Fit on a bounded sample: about `sample_rows` labelled rows of at most `sample_bytes` bytes, at most 40 windows of each."""
-    labelled = rows.filter(F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0) & (F.octet_length(text_col) <= sample_bytes))
-    got = bounded_sample(labelled.select(id_col, text_col, lang_col), id_col, sample_rows).select(text_col, lang_col).toPandas()
-    got = got.sort_values([lang_col, text_col], kind="stable")
-    classes = sorted(set(got[lang_col]))
+    """Fit on a bounded sample of labelled rows: about `sample_rows` in all, shared evenly by the languages, but `least_rows` of each.
+
+    Of a row count at most `sample_bytes` characters and, of those, at most `windows` windows.
+    """
+    got = by_class(rows, lambda _, _share, languages: max(least_rows, sample_rows // languages), sample_bytes, id_col, text_col, lang_col)
+    classes = sorted(set(got["label"]))
     rng = np.random.default_rng(seed)
     xs, ys = [], []
-    for text, lang in zip(got[text_col], got[lang_col], strict=True):
+    for text, lang in zip(got["text"], got["label"], strict=True):
         data, offsets = text_bytes(pa.array([text]))
         _, start, length = windows_of(data, offsets, window)
-        if len(start) > 40:
-            keep = np.sort(rng.choice(len(start), 40, replace=False))
+        if len(start) > windows:
+            keep = np.sort(rng.choice(len(start), windows, replace=False))
             start, length = start[keep], length[keep]
         xs.append(symbols(data, start, length, window))
         ys.append(np.full(len(start), classes.index(lang)))
@@ -151,6 +145,20 @@ def pooled(model: Model, data: np.ndarray, offsets: np.ndarray, batch: int = 409
     return (sums / np.maximum(np.diff(offsets), 1)).T
 
 
+def judged(model: Model, text: pa.Array, letter: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """(language, score) of each text; `und` and 0 for one without a letter, or from a model without classes."""
+    if not model.classes:
+        return ["und"] * len(text), np.zeros(len(text))
+    q = pooled(model, *text_bytes(text))
+    best = q.argmax(1)
+    score = np.where(letter, np.clip(q[np.arange(len(q)), best], 0, 1), 0.0)
+    return [model.classes[k] if ok else "und" for k, ok in zip(best, letter, strict=True)], score
+
+
+def has_letter(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Predict each whole text's language.
 
@@ -162,20 +170,32 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in in_pieces(batch, "text", 2 << 20):
-                data, offsets = text_bytes(part.column("text"))
-                letter = part.column("letter").to_numpy(zero_copy_only=False).astype(bool)
-                if model.classes:
-                    q = pooled(model, data, offsets)
-                    best = q.argmax(1)
-                    score = np.where(letter, np.clip(q[np.arange(len(q)), best], 0, 1), 0.0)
-                    names = [model.classes[k] if ok else "und" for k, ok in zip(best, letter, strict=True)]
-                else:
-                    names, score = ["und"] * part.num_rows, np.zeros(part.num_rows)
+                names, score = judged(model, part.column("text"), part.column("letter").to_numpy(zero_copy_only=False).astype(bool))
                 yield arrow_rows(_SCHEMA, doc_id=part.column("doc_id"), held_out=part.column("held_out"), lang_pred=names, score=score)
 
     held = F.coalesce(remainder(F.col(id_col), 3) == 1, F.lit(False))
-    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"), letter.alias("letter")).mapInArrow(run, RESULT)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"), has_letter(text_col).alias("letter")).mapInArrow(run, RESULT)
+
+
+def recognised(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows, in the input's columns, whose text has a language with a score of `least` or more; each row is judged by its own text where it lies, so none moves.
+
+    A null text, or one without a letter, has none. Repeated rows stay or go alike; an empty table gives no rows.
+    """
+    at, own = docs.columns.index(text_col), docs.schema
+    letter = next(n for n in ("_letter" + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
+            start = 0
+            for part in in_pieces(batch, batch.schema.names[at], 2 << 20):
+                names, score = judged(model, part.column(at), known[start : start + part.num_rows])
+                start += part.num_rows
+                keep = [n != "und" and s >= least for n, s in zip(names, score, strict=True)]
+                yield pa.RecordBatch.from_arrays(part.columns[:-1], schema=pa.schema(list(part.schema)[:-1])).filter(pa.array(keep, pa.bool_()))
+
+    return docs.select("*", has_letter(text_col).alias(letter)).mapInArrow(run, own)
 
 
 def detect(docs: DataFrame, **fit_options) -> DataFrame:

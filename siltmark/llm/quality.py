@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, in_pieces, text_bytes, words_of
-from .langid import bounded_sample, remainder
+from .langid import remainder
+from .sampling import by_class
 
 HASHED, SHAPES = 1 << 12, 5
 WIDTH = HASHED + SHAPES
@@ -94,14 +95,13 @@ def train(x: np.ndarray, y: np.ndarray, grades: int, rounds: int = 400, rate: fl
 
 
 def fit(rows: DataFrame, sample_rows: int = 2000, sample_bytes: int = 1 << 15) -> Model:
-    """Fit on a bounded sample of rows (doc_id, text, grade): about `sample_rows`, of at most `sample_bytes` bytes each."""
-    rows = rows.filter(F.col("grade").isNotNull() & (F.octet_length("text") > 0) & (F.octet_length("text") <= sample_bytes))
-    got = bounded_sample(rows, "doc_id", sample_rows).select("text", "grade").toPandas().sort_values(["grade", "text"], kind="stable")
-    grades = sorted({float(g) for g in got["grade"]})
+    """Fit on a bounded sample of rows (doc_id, text, grade): about `sample_rows` in all, as the grades are distributed but 100 of each, of at most `sample_bytes` characters each."""
+    got = by_class(rows.select("doc_id", "text", F.col("grade").cast("double").alias("grade")), lambda _, share, __: max(100, round(sample_rows * share)), sample_bytes, "doc_id", "text", "grade")
+    grades = sorted({float(g) for g in got["label"]})
     if len(grades) < 2:
         return Model(np.zeros(WIDTH, np.float32), np.zeros(0), grades or [0.0])
     x = np.concatenate([features(*text_bytes(pa.array(got["text"][i : i + 200], pa.string()))) for i in range(0, len(got), 200)])
-    w, cuts = train(x, np.array([grades.index(float(g)) for g in got["grade"]]), len(grades))
+    w, cuts = train(x, np.array([grades.index(float(g)) for g in got["label"]]), len(grades))
     return Model(w, cuts, grades)
 
 

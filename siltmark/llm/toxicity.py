@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .bigru import Adam, Params, both, both_back, recurrent, scattered, sigmoid, softmax
 from .common import _LOWER, _SPACE, arrow_rows, in_pieces, mix, text_bytes, words_of
-from .langid import bounded_sample, remainder
+from .langid import remainder
+from .sampling import by_class
 
 WORDS, CHARS, LONG, WIDTH = 1 << 15, 1 << 12, 1 << 17, 4
 #: Inputs of a word: its own row, the mean row of its characters, and the largest odds of six bytes that begin in it or just before it.
@@ -191,19 +192,18 @@ def fit(
     rows: DataFrame, toxic_rows: int = 900, clean_rows: int = 1100, sample_bytes: int = 1 << 15,
     window: int = 24, hidden: int = 10, rounds: int = 8, rate: float = 0.01, seed: int = 3,
 ) -> Model:
-    """Fit on a bounded sample of rows (doc_id, text, toxic): about so many toxic and clean ones of at most `sample_bytes` bytes.
+    """Fit on a bounded sample of rows (doc_id, text, toxic): about so many toxic and clean ones, of at most `sample_bytes` characters each.
 
     Each round picks the most suspicious window of each text (for a clean one also a random one) and learns from those.
     """
-    rows = rows.filter(F.col("toxic").isNotNull() & (F.octet_length("text") > 0) & (F.octet_length("text") <= sample_bytes))
-    got = bounded_sample(rows.filter("toxic = 1"), "doc_id", toxic_rows).unionByName(bounded_sample(rows.filter("toxic <> 1"), "doc_id", clean_rows)).select("text", "toxic").toPandas()
-    got = got.sort_values(["toxic", "text"], kind="stable")
+    marked = rows.select("doc_id", "text", (F.col("toxic") == 1).cast("int").alias("toxic"))
+    got = by_class(marked, lambda label, *_: toxic_rows if label else clean_rows, sample_bytes, "doc_id", "text", "toxic")
     rng = np.random.default_rng(seed)
     h = hidden
     p: Params = {"words": rng.normal(0, 0.05, (WIDTH, WORDS)), "chars": rng.normal(0, 0.05, (WIDTH, CHARS)), "uf": recurrent(rng, h), "ub": recurrent(rng, h), "attend": rng.normal(0, 0.3, 2 * h), "out": rng.normal(0, 0.3, 2 * h), "bias": np.zeros(1), "long": np.zeros(LONG)}
     p |= {k: rng.normal(0, 0.5, (3 * h, INPUTS)) for k in ("if", "ib")} | {k: np.zeros(3 * h) for k in ("bf", "bb")}
     p = {k: v.astype(np.float32) for k, v in p.items()}
-    y = got["toxic"].to_numpy(np.float32)
+    y = got["label"].to_numpy(np.float32)
     data, offsets = text_bytes(pa.array(got["text"], pa.string()))
     t = read(data, offsets)
     owner, at, size = windows_of(t.first, window)
