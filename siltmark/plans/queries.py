@@ -604,3 +604,10 @@ def rule_duplicate_code(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.scanners import RULES
 
     return RULES["duplicate-code"](_documents(spark, d))
+
+
+from .rules import QUERIES as _RULE_QUERIES  # noqa: E402
+from .rules import SQL as _RULE_SQL  # noqa: E402
+
+QUERIES.update(_RULE_QUERIES)
+SQL.update(_RULE_SQL)
