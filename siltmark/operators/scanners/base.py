@@ -8,12 +8,17 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ...functions.lexer import tokens
 from ...functions.text import basename, dirname, path_norm
+from ...session import shared_folder
 
 FINDINGS = "repo_id string, id string, category string, severity string, title string, location string, age_days int, detail string, evidence string, scanner string, ord long"
 TESTS = r"(?i)(^|/)(__tests__|tests?|specs?|fixtures?)/|\.(test|spec)\.[cm]?[jt]sx?$|(^|/)test_[^/]+\.py$|_test\.(py|go|rb)$|(^|/)conftest\.py$"
 JS = r"\.(ts|tsx|js|jsx|mjs|mts|cts)$"
 WORKFLOW = r"(?i)^\.github/workflows/[^/]+\.ya?ml$"
+#: Words by which a name or a text is taken for a credential, and verbs by which it is taken for SQL.
+CREDENTIALS = ["token", "secret", "passw", "api[-_]?key"]
+SQL_VERBS = ["select", "insert", "update", "delete", "drop"]
 # Folders that hold samples rather than the project itself.
 SAMPLES = "__fixtures__|fixtures|fixture|__tests__|__mocks__|test|tests|e2e|spec|testdata|playground|playgrounds|sandbox|example|examples|template|templates|node_modules"
 
@@ -46,6 +51,29 @@ class Snapshot:
         path = path_norm(F.col("path"))
         return self.files.select("repo_id", path.alias("path"), dirname(path).alias("dir"), basename(path).alias("base"), "file_ord", "size", "content")
 
+    @cached_property
+    def tokens(self) -> DataFrame:
+        """Tokens of all JavaScript and TypeScript files: read once and written to the session's checkpoint folder, whichever rules use them."""
+        shared_folder(self.files.sparkSession)
+        return tokens(self.matching(JS)).checkpoint()
+
+    @cached_property
+    def js_lines(self) -> DataFrame:
+        """(repo_id, path, file_ord, line, text): lines of those files in tokens with a space between, without comments; what a literal says is replaced by marks.
+
+        Marks in quotes: $ for a template with a part worked out at run time, q for words of SQL, k for the name of a credential, h for a weak hash, 0 for a zero.
+        """
+        t, says = F.col("text"), F.lower("text")
+        marks = F.concat(
+            F.when((F.col("kind") == "template") & t.contains("${"), "$").otherwise(""), F.when(says.rlike(rf"\b({'|'.join(SQL_VERBS)})\b"), "q").otherwise(""), F.when(says.rlike("|".join(CREDENTIALS)), "k").otherwise(""),
+            F.when(says.rlike(r"^.(md5|sha1).$"), "h").otherwise(""), F.when(says.rlike(r"^.0.$"), "0").otherwise(""),
+        )
+        quote = F.when(F.col("kind") == "template", "`").otherwise('"')
+        shown = F.when(F.col("kind").isin("string", "template"), F.concat(quote, marks, quote)).when(F.col("kind") == "regex", "/re/").otherwise(t)
+        each = self.tokens.filter("kind not in ('comment', 'call')").select("repo_id", "path", "file_ord", "line", "pos", shown.alias("s"))
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), " ")
+        return each.groupBy("repo_id", "path", "file_ord", "line").agg(joined.alias("text"))
+
     def matching(self, pattern: str, contains: str | None = None) -> DataFrame:
         """Files with some content whose path fits, before anything else is done with them."""
         out = self.tree.filter(F.col("path").rlike(pattern) & (F.length("content") > 0))

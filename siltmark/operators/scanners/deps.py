@@ -5,21 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ...functions.lexer import tokens
 from ...functions.scoring import severity_rank
 from ...functions.text import lag_behind, licence_class, licence_of_text, range_kind, version_part
 from ...sources.manifests import manifest_deps, npm_graph, npm_installed
 from ..findings import cap, reachable
-from .base import JS, Snapshot, found, sample_path, text
+from .base import Snapshot, found, sample_path, text
 from .files import entries, npm_names, package_fields
 
 CONFIG = r"(?i)(^|/)(next|postcss|tailwind|vite|vitest|rollup|webpack|babel|jest|eslint|prettier|stylelint|playwright|cypress|tsup|drizzle|svelte|astro|nuxt)\.config\.[cm]?[jt]s$|(^|/)\.(babelrc|eslintrc|prettierrc|stylelintrc)[\w.]*$"
 YEAR = 365
 
 
-def module_specs(s: Snapshot, files: DataFrame | None = None) -> DataFrame:
+def module_specs(s: Snapshot) -> DataFrame:
     """(repo_id, path, spec, form, line) of modules that JavaScript imports, re-exports or requires."""
-    tok = tokens(s.matching(JS) if files is None else files).filter("kind not in ('comment', 'call')")
+    tok = s.tokens.filter("kind not in ('comment', 'call')")
     w = Window.partitionBy("repo_id", "path").orderBy("pos")
     back = lambda n: F.lag("text", n).over(w)
     t = tok.select("repo_id", "path", "line", "kind", "text", back(1).alias("p1"), back(2).alias("p2"))
@@ -101,6 +100,13 @@ def vulnerable_deps(s: Snapshot) -> DataFrame | None:
     return found(hit, "vulnerable-deps", "security", id=text("vuln-{name}-{shown}"), severity=F.col("severity"), title=text("{name} {version}: {shown}"), location=F.col("manifest"), detail=F.concat(F.coalesce("summary", F.lit("A published advisory names this version.")), fix), evidence=text("{name}@{version}"))
 
 
+def fixed_version(affected: Column, ecosystem: Column, name: Column) -> Column:
+    """The first version that an advisory names as fixed for a package, or null. affected: array<struct<package:struct<ecosystem,name>,ranges:array<struct<events:array<struct<introduced,fixed>>>>>>."""
+    own = F.filter(affected, lambda a: (a["package"]["ecosystem"] == ecosystem) & (a["package"]["name"] == name))
+    events = F.flatten(F.flatten(F.transform(own, lambda a: F.transform(a["ranges"], lambda r: r["events"]))))
+    return F.get(F.filter(events, lambda e: F.coalesce(e["fixed"], F.lit("")) != ""), 0)["fixed"]
+
+
 VERDICTS = {"network": "network copyleft", "strong": "copyleft", "weak": "file-level copyleft", "proprietary": "no open-source license", "unrecognised": "an unknown license", "unknown": "no license at all"}
 
 
@@ -138,7 +144,8 @@ def license_risk(s: Snapshot) -> DataFrame:
 
 
 LIFECYCLE = ("preinstall", "install", "postinstall", "prepare", "prepublish", "prepublishOnly")
-PIPED = r"(?is)\b(?:curl|wget)\b.{0,200}\|\s*(?:ba)?sh\b"
+#: What a download writes goes on to a shell.
+PIPED = r"(?i)\b(curl|wget)\b[^|;]*\|\s*(sudo\s+)?(ba|z|da)?sh\b"
 
 
 def supply_chain(s: Snapshot) -> DataFrame:
@@ -158,4 +165,4 @@ def supply_chain(s: Snapshot) -> DataFrame:
     return cap(a.unionByName(b), 20)
 
 
-__all__ = ["dependency_funeral", "license_risk", "module_specs", "outdated_deps", "supply_chain", "vulnerable_deps"]
+__all__ = ["dependency_funeral", "fixed_version", "license_risk", "module_specs", "outdated_deps", "supply_chain", "vulnerable_deps"]

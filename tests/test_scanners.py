@@ -150,3 +150,14 @@ def test_duplicates_are_found_behind_the_4000th_file(spark):
     )
     assert [r.id for r in RULES["duplicate-code"](Snapshot(files=files)).collect()] == ["duplicate-src/4100.js:1"]
     assert duplicate_code(Snapshot(files=files), most_files=4000).count() == 0
+
+
+def test_code_rules_look_past_strings_and_comments(spark):
+    code = {
+        "a.js": "const note = \"it's fine\"; eval(user);\nconst t = `multi\neval(x)\n`;\nconst u = 'http://x.io'; element.innerHTML = a + b;\n// eval(y)\n",
+        "b.py": "# eval(x)\nurl = 'http://x'; eval(y)\nsay = 'eval(z)'\nprint('# not a comment'); eval(w)  # eval(v)\nos.system('ls')\nos.system(f'ls {d}')\n",
+        "c.go": 'u := "http://x"; fmt.Println(u)\n// fmt.Println(v)\n', "d.rs": "fn f<'a>(x: &'a str) { dbg!(x); }\n",
+    }
+    s = Snapshot(files=spark.createDataFrame([("r", p, k, len(c), c) for k, (p, c) in enumerate(code.items())], FILES))
+    assert {r.id for r in RULES["insecure-code"](s).collect()} == {"insecure-eval-dynamic-a.js:1", "insecure-innerhtml-dynamic-a.js:5", "insecure-py-eval-exec-b.py:2", "insecure-py-eval-exec-b.py:4", "insecure-py-os-system-b.py:6"}
+    assert {r.id for r in RULES["leftover-debug"](s).collect()} == {"debug-b.py:4", "debug-c.go:1", "debug-d.rs:1"}
