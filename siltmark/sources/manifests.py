@@ -40,7 +40,7 @@ FORMATS = {
     "Pipfile.lock": ("PyPI", True, lambda c: _pairs(c, r"\"([A-Za-z0-9._-]+)\"\s*:\s*\{[^{}]*\"version\"\s*:\s*\"==([^\"]+)\"")),
     "requirements.txt": ("PyPI", False, lambda c: _pairs(c, r"(?m)^\s*([A-Za-z0-9][A-Za-z0-9._-]*)(?:\[[^\]]*\])?\s*(?:==|~=|>=)\s*([0-9][^\s;,#]*)")),
     "pyproject.toml": ("PyPI", False, lambda c: _pairs(c, r"(?m)^\s*\"([A-Za-z0-9][A-Za-z0-9._-]*)(?:\[[^\]]*\])?\s*(?:==|~=|>=)\s*([0-9][^\s;,\"]*)")),
-    "go.mod": ("Go", False, lambda c: _pairs(F.regexp_replace(c, r"(?m)^.*// indirect.*$", ""), r"(?m)^\s*(?:require\s+)?([\w.-]+\.[\w.-]+/[^\s]+)\s+v([0-9][^\s]*)")),
+    "go.mod": ("Go", False, lambda c: _pairs(c, r"(?m)^\s*(?:require\s+)?([\w.-]+\.[\w.-]+/[^\s]+)\s+v([0-9][^\s]*)")),
     "Cargo.lock": ("crates.io", True, lambda c: _pairs(c, _TOML_LOCK)),
     "Cargo.toml": ("crates.io", False, lambda c: _pairs(_section(c, "dependencies"), r"(?m)^\s*([A-Za-z0-9_-]+)\s*=\s*(?:\{[^}\n]*version\s*=\s*)?\"[\^~=<> ]*([0-9][^\"]*)\"")),
     "Gemfile.lock": ("RubyGems", True, lambda c: _pairs(c, r"(?m)^    ([A-Za-z0-9_.-]+) \(([0-9][^)]*)\)")),
@@ -60,8 +60,12 @@ def manifest_deps(tree: DataFrame, direct: bool = False) -> DataFrame:
     for k, (name, (ecosystem, lock, extract)) in enumerate(FORMATS.items()):
         if direct and lock:
             continue
-        deps = F.posexplode(extract(F.col("content"))).alias("pos", "d")
-        parts.append(tree.filter((F.col("path") == name) & (F.length("content") > 0)).select("repo_id", F.lit(ecosystem).alias("ecosystem"), F.lit(name).alias("manifest"), F.lit(0 if lock else 1).alias("prec"), F.lit(k).alias("k"), deps).select("repo_id", "ecosystem", "manifest", "prec", "k", "pos", "d.name", F.regexp_extract("d.version", r"(\d[\w.+-]*)", 1).alias("version")))
+        # what others need is in go.mod too, with a note
+        content = F.regexp_replace("content", r"(?m)^.*// indirect.*$", "") if direct and name == "go.mod" else F.col("content")
+        deps = F.posexplode(extract(content)).alias("pos", "d")
+        # PyPI does not tell apart upper and lower case
+        called = F.lower("d.name") if ecosystem == "PyPI" else F.col("d.name")
+        parts.append(tree.filter((F.col("path") == name) & (F.length("content") > 0)).select("repo_id", F.lit(ecosystem).alias("ecosystem"), F.lit(name).alias("manifest"), F.lit(0 if lock else 1).alias("prec"), F.lit(k).alias("k"), deps).select("repo_id", "ecosystem", "manifest", "prec", "k", "pos", called.alias("name"), F.regexp_extract("d.version", r"(\d[\w.+-]*)", 1).alias("version")))
     rows = reduce(DataFrame.unionByName, parts).filter("name <> ''")
     best = Window.partitionBy("repo_id", "ecosystem", "name").orderBy("prec", "k", "pos")
     rows = rows.withColumn("source", F.first("k").over(best)).filter("k = source")
@@ -73,11 +77,24 @@ def manifest_deps(tree: DataFrame, direct: bool = False) -> DataFrame:
 _LOCK = "map<string,struct<version:string,dev:boolean,dependencies:map<string,string>,optionalDependencies:map<string,string>>>"
 
 
+def _nested(lock: DataFrame) -> DataFrame:
+    """(repo_id, name, version, dev) of a version 6 lockfile, whose packages hold their own dependencies to any depth: one level after the other."""
+    parts = []
+    level = lock.select("repo_id", F.get_json_object("content", "$.dependencies").alias("deps"))
+    shape = "map<string,struct<version:string,dev:boolean,dependencies:string>>"
+    while True:
+        level = level.filter("deps is not null").select("repo_id", F.explode(F.from_json("deps", shape)).alias("name", "v"))
+        parts.append(level.select("repo_id", "name", "v.version", "v.dev"))
+        level = level.select("repo_id", F.col("v.dependencies").alias("deps"))
+        if level.filter("deps is not null").isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+
+
 def npm_installed(tree: DataFrame) -> DataFrame:
     """(repo_id, name, version, dev) of every package that package-lock.json or a shrinkwrap installs; one that is not only for development counts as such."""
     lock = tree.filter(F.col("path").isin("package-lock.json", "npm-shrinkwrap.json") & (F.length("content") > 0))
     new = lock.select("repo_id", F.explode(F.from_json(F.get_json_object("content", "$.packages"), _LOCK)).alias("key", "v")).select("repo_id", F.regexp_extract("key", r"node_modules/((?:@[^/]+/)?[^/]+)$", 1).alias("name"), "v.version", "v.dev")
-    old = lock.filter(F.get_json_object("content", "$.packages").isNull()).select("repo_id", F.explode(F.from_json(F.get_json_object("content", "$.dependencies"), _LOCK)).alias("name", "v")).select("repo_id", "name", "v.version", "v.dev")
+    old = _nested(lock.filter(F.get_json_object("content", "$.packages").isNull()))
     pnpm = tree.filter(F.col("path") == "pnpm-lock.yaml")
     key = r"(?m)^  ['\"]?/?((?:@[^/\s'\"]+/)?[^@/\s'\"]+)[@/](\d+\.\d+\.\d+[^\s:'\"()]*)"
     flat = pnpm.select("repo_id", F.explode(_pairs(F.col("content"), key)).alias("d")).select("repo_id", "d.name", "d.version", F.lit(None).cast("boolean").alias("dev"))
