@@ -179,3 +179,8 @@ def reachable(seeds: DataFrame, edges: DataFrame, by: tuple[str, ...] = ("repo_i
         if done == most_rounds:
             raise RuntimeError(f"names are still being found after {most_rounds} rounds")
         seen = seen.unionByName(frontier).checkpoint()
+
+
+def table_order(findings: DataFrame, searching: bool = False) -> DataFrame:
+    """Findings in the order of a table: by relevance while searching, else the oldest first; ties by ord and id."""
+    return findings.orderBy(*([F.desc("relevance")] if searching else [F.desc("age_days")]), "ord", "id")

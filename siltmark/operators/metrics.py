@@ -211,6 +211,27 @@ def scan_stat(reports: DataFrame) -> DataFrame:
     )
 
 
+# Tools in the order to show them, each with the names of files that show it (lower case; * within a name) or, with a slash, where they lie.
+TOOLS = [
+    ("Node.js", "package.json"), ("pnpm", "pnpm-lock.yaml"), ("Yarn", "yarn.lock"), ("npm", "package-lock.json"), ("TypeScript", "tsconfig*.json"), ("Next.js", "next.config.@"), ("Vite", "vite.config.@"), ("Tailwind CSS", "tailwind.config.@"),
+    ("Docker", "dockerfile *.dockerfile"), ("Docker Compose", "compose.yml compose.yaml docker-compose.yml docker-compose.yaml"), ("GitHub Actions", ".github/workflows/*.yml .github/workflows/*.yaml"), ("Go modules", "go.mod"), ("pip", "requirements*.txt"),
+    ("Poetry", "pyproject.toml"), ("Cargo", "cargo.toml"), ("Bundler", "gemfile"), ("Composer", "composer.json"), ("Maven", "pom.xml"), ("Gradle", "build.gradle build.gradle.kts"), ("Make", "makefile"), ("Vitest", "vitest.config.@"), ("Jest", "jest.config.@"), ("ESLint", ".eslintrc* eslint.config.@"),
+]
+
+
+def tools(files: DataFrame) -> DataFrame:
+    """(repo_id, tools): the tools that a repository's files (repo_id, path) show, in a fixed order; case and kind of slash do not matter. A repository with none has an empty array."""
+    import re
+
+    def pattern(names: str) -> str:
+        one = (re.escape(n).replace(r"\*", "[^/]*").replace("@", r"[mc]?[jt]s") for n in names.split())
+        return rf"(^|/)({'|'.join(one)})$"
+
+    path = F.lower(F.regexp_replace("path", r"\\", "/"))
+    flags = files.groupBy("repo_id").agg(*(F.coalesce(F.bool_or(path.rlike(pattern(names))), F.lit(False)).alias(f"_{k}") for k, (_, names) in enumerate(TOOLS)))
+    return flags.select("repo_id", F.array_compact(F.array(*(F.when(F.col(f"_{k}"), name) for k, (name, _) in enumerate(TOOLS)))).alias("tools"))
+
+
 FORBIDDEN = {"repo", "repo_id", "owner", "name", "url", "host", "path", "visitor", "location"}
 
 

@@ -195,3 +195,32 @@ def rate_limited(events: DataFrame, client: str = "client", at: str = "event_ts"
     """Events with how many of their client fall in the window that ends with them, and whether that is too many."""
     w = Window.partitionBy(client).orderBy(F.col(at).cast("timestamp").cast("long")).rangeBetween(-seconds + 1, 0)
     return events.withColumn("in_window", F.count("*").over(w)).withColumn("limited", F.col("in_window") > most)
+
+
+def pick_commits(commits: DataFrame, query: str = "", kind: str = "all", big: int = 20) -> DataFrame:
+    """Commits whose subject holds the query (in any case) or whose hash begins with it, of a kind: all, tagged, merges (two parents or more) or big (so many files)."""
+    q = query.strip().lower()
+    out = commits if not q else commits.filter(F.lower("subject").contains(q) | F.col("sha").startswith(q))
+    kinds = {"all": F.lit(True), "tagged": F.col("tagged"), "merges": F.size("parents") >= 2}
+    return out.filter(F.col("files_changed") >= big if kind == "big" else kinds[kind])
+
+
+def in_log(log: DataFrame, wanted: DataFrame, most: int | None = 250) -> DataFrame:
+    """The log's commits (repo_id, sha, commit_ts) that are wanted (repo_id, sha), newest first, at most so many of a repository (None: all); what the log does not have is left out."""
+    out = log.join(wanted.select("repo_id", "sha").distinct(), ["repo_id", "sha"], "left_semi").select(log.columns)
+    nth = F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("commit_ts"), "sha"))
+    out = out.withColumn("position", nth)
+    return out if most is None else out.filter(F.col("position") <= most)
+
+
+def live_or_snapshot(wanted: DataFrame, live: DataFrame, snapshot: DataFrame, grade: str = "C", score: int = 70) -> DataFrame:
+    """Each wanted repository (owner, name, ...) with grade, score and source: from its live report, else the snapshot, else the given ones.
+
+    live and snapshot: (repo_id as owner/name, grade, score); names are compared in any case; of several rows of a repository the one with the greatest repo_id counts.
+    """
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(F.lower("repo_id").alias("_key")).agg(F.max_by(F.struct("grade", "score"), F.struct("repo_id", "score")).alias(name))
+
+    out = wanted.withColumn("_key", F.lower(F.concat_ws("/", "owner", "name"))).join(side(live, "_l"), "_key", "left").join(side(snapshot, "_s"), "_key", "left")
+    return out.select(*wanted.columns, F.coalesce("_l.grade", "_s.grade", F.lit(grade)).alias("grade"), F.coalesce("_l.score", "_s.score", F.lit(score)).alias("score"), F.when(F.col("_l").isNotNull(), "live").otherwise("snapshot").alias("source"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import metrics, timeline
 from ..operators.scanners import RULES, Snapshot
 from ..session import table
 
@@ -117,5 +118,34 @@ def _register(rule: str) -> None:
     QUERIES[name], SQL[name] = run, EXPECTED[rule]
 
 
+def tools_detected(spark: SparkSession, d: str) -> DataFrame:
+    out = metrics.tools(snapshot(spark, d).files)
+    return out.select("repo_id", F.array_join("tools", ", ").alias("tools"))
+
+
+def proof_rows(spark: SparkSession, d: str) -> DataFrame:
+    c, nation = table(spark, d, "customer"), table(spark, d, "nation")
+    name = F.col("c_custkey").cast("string")
+    every = c.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("owner"), name.alias("name"), "c_custkey")
+    grade = F.element_at(F.array(*map(F.lit, "ABCDF")), (F.col("c_custkey") % 5 + 1).cast("int"))
+    side = lambda case, m, plus: every.filter(F.col("c_custkey") % m == 0).select(F.concat_ws("/", case("owner"), "name").alias("repo_id"), grade.alias("grade"), (F.col("c_custkey") % 50 + plus).cast("int").alias("score"))
+    return timeline.live_or_snapshot(every.select("owner", "name"), side(F.upper, 2, 0), side(F.lower, 3, 50))
+
+
+def picked_commits(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    log = o.select(F.col("o_custkey").alias("repo_id"), F.col("o_orderkey").cast("string").alias("sha"), F.col("o_orderdate").alias("commit_ts"), F.col("o_orderpriority").alias("subject"), F.array(F.lit("a")).alias("parents"), F.lit(False).alias("tagged"), (F.col("o_orderkey") % 40).alias("files_changed"))
+    return timeline.in_log(log, timeline.pick_commits(log, "URGENT", "big"), 5).select("repo_id", "sha", F.col("position").cast("long").alias("position"))
+
+
+QUERIES |= {"tools_detected": tools_detected, "proof_rows": proof_rows, "picked_commits": picked_commits}
+SQL |= {
+    "tools_detected": f"{_C} SELECT repo_id, 'Node.js' || CASE WHEN k % 10 = 0 THEN ', Yarn' ELSE '' END || CASE WHEN k % 3 <> 0 THEN ', npm' ELSE '' END || ', Docker, GitHub Actions, pip' AS tools FROM c",
+    "proof_rows": """SELECT n_name AS owner, c_custkey::VARCHAR AS name, CASE WHEN c_custkey % 6 NOT IN (1, 5) THEN substr('ABCDF', (c_custkey % 5 + 1)::INT, 1) ELSE 'C' END AS grade,
+      (CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 50 WHEN c_custkey % 3 = 0 THEN c_custkey % 50 + 50 ELSE 70 END)::INT AS score, CASE WHEN c_custkey % 2 = 0 THEN 'live' ELSE 'snapshot' END AS source FROM customer JOIN nation ON n_nationkey = c_nationkey""",
+    "picked_commits": """WITH r AS (SELECT o_custkey AS repo_id, o_orderkey::VARCHAR AS sha, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey::VARCHAR) AS position FROM orders
+      WHERE (lower(o_orderpriority) LIKE '%urgent%' OR o_orderkey::VARCHAR LIKE 'urgent%') AND o_orderkey % 40 >= 20) SELECT repo_id, sha, position FROM r WHERE position <= 5""",
+}
+
 for _rule in EXPECTED:
     _register(_rule)

@@ -43,6 +43,17 @@ def markdown_rows(findings: DataFrame) -> DataFrame:
     return ordered(findings).select("repo_id", "position", row.alias("line"))
 
 
+def markdown_sections(findings: DataFrame) -> DataFrame:
+    """(repo_id, position, line): a heading for each category with its number of findings, categories by their first finding in order, then the findings."""
+    rows = ordered(findings)
+    groups = rows.groupBy("repo_id", "category").agg(F.min("position").alias("first"), F.count("*").alias("n"))
+    head = groups.select("repo_id", "first", F.lit(0).alias("position"), F.concat(F.lit("## "), F.col("category"), F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("line"))
+    item = F.concat(F.lit("- **"), F.col("severity"), F.lit("** "), _cell(F.col("title")), F.lit(" ("), _cell(F.col("location")), F.lit(")"))
+    body = rows.join(groups.select("repo_id", "category", "first"), ["repo_id", "category"]).select("repo_id", "first", "position", item.alias("line"))
+    place = F.row_number().over(Window.partitionBy("repo_id").orderBy("first", "position"))
+    return head.unionByName(body).select("repo_id", place.alias("position"), "line")
+
+
 def _quoted(c: Column) -> Column:
     text = F.coalesce(c.cast("string"), F.lit(""))
     return F.when(text.rlike("[\",\r\n]"), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)

@@ -210,11 +210,15 @@ def test_manifests(spark):
     files = {"requirements.txt": "Flask[x]>=1.2\nrequests==2.0 # c\n", "go.mod": "require (\n  github.com/a/b v1.2.0\n  github.com/c/d v0.1.0 // indirect\n)\n", "Cargo.toml": '[package]\nname = "x"\n[dependencies]\nserde = { version = "1.0" }\nrand = "0.8"\n', "Cargo.lock": '[[package]]\nname = "serde"\nversion = "1.0.9"\n', "composer.json": '{"require": {"php": "8", "a/b": "^1.0"}}', "Gemfile": "gem 'rails', '~> 7.0'\n"}
     tree = spark.createDataFrame([("r", k, v) for k, v in files.items()], "repo_id string, path string, content string")
     got = {(r.ecosystem, r.name): r.version for r in MA.manifest_deps(tree).collect()}
-    assert got == {("PyPI", "Flask"): "1.2", ("PyPI", "requests"): "2.0", ("Go", "github.com/a/b"): "1.2.0", ("crates.io", "serde"): "1.0.9", ("crates.io", "rand"): "0.8", ("Packagist", "a/b"): "1.0", ("RubyGems", "rails"): "7.0"}
+    assert got == {("PyPI", "flask"): "1.2", ("PyPI", "requests"): "2.0", ("Go", "github.com/a/b"): "1.2.0", ("Go", "github.com/c/d"): "0.1.0", ("crates.io", "serde"): "1.0.9", ("crates.io", "rand"): "0.8", ("Packagist", "a/b"): "1.0", ("RubyGems", "rails"): "7.0"}
+    assert got["Go", "github.com/c/d"] == "0.1.0" and {r.name for r in MA.manifest_deps(tree, direct=True).filter("ecosystem = 'Go'").collect()} == {"github.com/a/b"}
     assert {r.version for r in MA.manifest_deps(tree, direct=True).filter("name = 'serde'").collect()} == {"1.0"}
     lock = {"packages": {"": {"dependencies": {"a": "1"}, "devDependencies": {"d": "1"}}, "node_modules/a": {"version": "1.0.0", "dependencies": {"b": "1"}}, "node_modules/b": {"version": "2.0.0", "dev": True}, "node_modules/a/node_modules/b": {"version": "2.0.0"}, "node_modules/d": {"version": "3.0.0", "dev": True}}}
     tree = spark.createDataFrame([("r", "package-lock.json", json.dumps(lock))], "repo_id string, path string, content string")
     assert {(r.name, r.version) for r in MA.npm_installed(tree).collect()} == {("a", "1.0.0"), ("b", "2.0.0"), ("d", "3.0.0")}
+    old = {"lockfileVersion": 1, "dependencies": {"a": {"version": "1.0.0", "dependencies": {"b": {"version": "2.0.0", "dev": True, "dependencies": {"c": {"version": "3.0.0"}}}}}, "d": {"version": "4.0.0", "dev": True}}}
+    deep = spark.createDataFrame([("r", "package-lock.json", json.dumps(old))], "repo_id string, path string, content string")
+    assert {(r.name, r.version, r.dev) for r in MA.npm_installed(deep).collect()} == {("a", "1.0.0", None), ("b", "2.0.0", True), ("c", "3.0.0", None), ("d", "4.0.0", True)}
     assert {r.name for r in FI.reachable(*MA.npm_graph(tree)).collect()} == {"a", "b"}
 
 
@@ -266,3 +270,50 @@ def test_stateful_streams(spark, tmp_path):
     assert {(r.previous_score, r.score, r.reason) for r in run_stream(ST.drop_alerts(s), spark, "drops", "append")} == {(91, 89, "grade"), (88, 80, "score")}
     ST.upsert_points(s, str(tmp_path / "out"), str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out/v0")).count() == 4
+
+
+def test_reports_are_judged_by_the_schema(spark):
+    from siltmark.sources import reports as RE
+
+    issue = {"id": "a", "category": "secret", "severity": "info", "title": "t", "location": "x:1", "ageDays": 3, "detail": "d"}
+    good = {"schemaVersion": 1, "repo": {"owner": "o", "name": "n", "defaultBranch": "main"}, "generatedAt": "2026-01-01T00:00:00Z", "score": 90, "grade": "A", "issues": [issue]}
+    bad = {
+        "not JSON": ["{", "", None], "schemaVersion": [json.dumps(good | {"schemaVersion": 2})], "repo": [json.dumps(good | {"repo": {"owner": "o", "name": "n"}})], "score": [json.dumps(good | {"score": 101}), json.dumps(good | {"score": 1.5})],
+        "grade": [json.dumps(good | {"grade": "E"})], "issues": [json.dumps(good | {"issues": [issue | {"severity": "bad"}]}), json.dumps(good | {"issues": [{"id": "a"}]}), json.dumps({k: v for k, v in good.items() if k != "issues"})],
+    }
+    rows = [(json.dumps(good), 0)] + [(t, 1) for texts in bad.values() for t in texts]
+    ok, rejected = RE.parse_reports(spark.createDataFrame(rows, "value string, n int"))
+    assert [(r.repo_id, r.score, r.issues[0].category, r.issues[0].ageDays) for r in ok.collect()] == [("o/n", 90, "security", 3)]
+    assert sorted((r.reason, r.value or "") for r in rejected.collect()) == sorted((k, t or "") for k, texts in bad.items() for t in texts)
+    assert [(r.repo_id, r.id, r.age_days, r.ord) for r in RE.issues_of(ok).collect()] == [("o/n", "a", 3, 0)]
+
+
+def test_commits_are_picked(spark):
+    from siltmark.operators import timeline as TI
+
+    log = spark.createDataFrame([("r", "abc1", 3, "Fix Bug", ["a"], True, 30), ("r", "def2", 2, "merge", ["a", "b"], False, 1), ("r", "abc3", 1, "x", [], False, 20)], "repo_id string, sha string, commit_ts int, subject string, parents array<string>, tagged boolean, files_changed int")
+    shas = lambda df: sorted(r.sha for r in df.collect())
+    assert [shas(TI.pick_commits(log, q, k)) for q, k in (("", "all"), (" BUG ", "all"), ("abc", "all"), ("", "tagged"), ("", "merges"), ("abc", "big"))] == [["abc1", "abc3", "def2"], ["abc1"], ["abc1", "abc3"], ["abc1"], ["def2"], ["abc1", "abc3"]]
+    wanted = spark.createDataFrame([("r", "abc3"), ("r", "abc1"), ("r", "abc1"), ("r", "forged")], "repo_id string, sha string")
+    assert [(r.sha, r.position) for r in TI.in_log(log, wanted).orderBy("position").collect()] == [("abc1", 1), ("abc3", 2)]
+    assert TI.in_log(log, wanted, 1).count() == 1
+
+
+def test_fixed_versions(spark):
+    from siltmark.operators.scanners.deps import fixed_version
+
+    shape = "array<struct<package:struct<ecosystem:string,name:string>,ranges:array<struct<events:array<struct<introduced:string,fixed:string>>>>>>"
+    rows = [("npm", "a", [(("npm", "b"), [([("0", "9")],)]), (("npm", "a"), [([("0", None)],), ([("1", "1.2"), ("2", "2.1")],)])]), ("npm", "c", []), ("npm", "d", None)]
+    df = spark.createDataFrame(rows, f"e string, n string, affected {shape}")
+    assert [r.f for r in df.select(fixed_version(F.col("affected"), F.col("e"), F.col("n")).alias("f")).collect()] == ["1.2", None, None]
+
+
+def test_markdown_sections_and_table_order(spark):
+    from siltmark import sinks as SI
+    from siltmark.operators import findings as FN
+
+    rows = [("r", "a", "todo", "info", "t|1", "x:1", 9, "d", None, 1, 0), ("r", "b", "security", "critical", "t2", "y", 1, "d", None, 2, 5), ("r", "c", "todo", "warning", "t3", "z", 4, "d", None, 3, 7)]
+    df = spark.createDataFrame(rows, "repo_id string, id string, category string, severity string, title string, location string, age_days int, detail string, evidence string, ord long, relevance int")
+    lines = [r.line for r in SI.markdown_sections(df).orderBy("position").collect()]
+    assert lines == ["## security (1)", "- **critical** t2 (y)", "## todo (2)", "- **warning** t3 (z)", "- **info** t\\|1 (x:1)"]
+    assert [r.id for r in FN.table_order(df).collect()] == ["a", "c", "b"] and [r.id for r in FN.table_order(df, searching=True).collect()] == ["c", "b", "a"]
