@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import WEIGHTS
@@ -22,9 +22,9 @@ def read_trees(spark: SparkSession, root: str, ignore: list[str] | None = None)
     files = raw.select(F.split(rest, "/")[0].alias("repo_id"), F.regexp_replace(rest, r"^[^/]+/", "").alias("path"), F.col("length").alias("size"), F.col("content").alias("_raw")).filter("path <> repo_id")
     skip = "|".join(f"(?:{glob_regex(g)})" for g in (*EXCLUDED, *(ignore or [])))
     files = files.filter(~F.col("path").rlike(skip)).withColumn("content", F.when(F.is_valid_utf8(F.col("_raw").cast("string")), F.decode("_raw", "UTF-8"))).drop("_raw")
-    from pyspark.sql import Window
-
-    return files.withColumn("file_ord", F.row_number().over(Window.partitionBy("repo_id").orderBy("path")).cast("long"))
+    # only paths are numbered, so that contents do not go through the window
+    order = F.row_number().over(Window.partitionBy("repo_id").orderBy("path")).cast("long")
+    return files.join(files.select("repo_id", "path", order.alias("file_ord")), ["repo_id", "path"])
 
 
 def _escaped(text: str) -> str:
@@ -65,15 +65,17 @@ def ownership(changes: DataFrame, as_of: str) -> DataFrame:
     return changes.groupBy("repo_id", "path").agg(F.countDistinct("author").cast("int").alias("authors"), F.greatest(F.lit(0), F.datediff(F.lit(as_of), F.max("commit_ts"))).alias("age_days"))
 
 
-def history_additions(patches: DataFrame, most_lines: int = 100_000, most_chars: int = 4000) -> DataFrame:
-    """Added lines (repo_id, commit, commit_ts, path, text) of patches (repo_id, commit, commit_ts, patch), newest commits first up to a number of lines."""
-    from pyspark.sql import Window
-
+def history_additions(patches: DataFrame, most_lines: int | None = 100_000, most_chars: int | None = 4000) -> DataFrame:
+    """Added lines (repo_id, commit, commit_ts, path, text) of patches (repo_id, commit, commit_ts, patch), newest commits first up to a number of lines; None: all of them, of any length."""
     files = patches.select("repo_id", "commit", "commit_ts", F.posexplode(F.split("patch", r"(?m)^diff --git ")).alias("k", "part"))
     ln = files.select("repo_id", "commit", "commit_ts", "k", F.regexp_extract("part", r"(?m)^\+\+\+ b/(.*)$", 1).alias("path"), F.posexplode(F.split("part", "\n")).alias("n", "raw"))
-    added = ln.filter(F.col("raw").startswith("+") & ~F.col("raw").startswith("+++") & (F.length("raw") <= most_chars + 1) & (F.col("path") != ""))
-    order = F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("commit_ts"), "commit", "k", "n"))
-    return added.withColumn("_r", order).filter(F.col("_r") <= most_lines).select("repo_id", "commit", "commit_ts", "path", F.expr("substring(raw, 2)").alias("text"))
+    added = ln.filter(F.col("raw").startswith("+") & ~F.col("raw").startswith("+++") & (F.col("path") != ""))
+    if most_chars is not None:
+        added = added.filter(F.length("raw") <= most_chars + 1)
+    if most_lines is not None:
+        order = F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("commit_ts"), "commit", "k", "n"))
+        added = added.withColumn("_r", order).filter(F.col("_r") <= most_lines)
+    return added.select("repo_id", "commit", "commit_ts", "path", F.expr("substring(raw, 2)").alias("text"))
 
 
 def repo_names(remotes: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -86,8 +87,10 @@ def upsert_points(points: DataFrame, folder: str, checkpoint: str, keep: int = 5
         old = f"{folder}/v{number - 1}"
         try:
             stored = spark.read.parquet(old)
-        except Exception:  # noqa: BLE001  the first batch has nothing stored
-            stored = batch.limit(0)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            stored = batch.limit(0)  # the first batch has nothing stored
         merge_points(stored, batch.dropDuplicates(["repo_id", "scan_ts"]), keep).write.mode("overwrite").parquet(f"{folder}/v{number}")
 
     return points.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
