@@ -16,18 +16,23 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _SCHEMA = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
 
 
-def encoder(path: str, pattern: str) -> Callable[[str], list[int]]:
-    """Token ids of a text, special strings being ordinary text. path: a .json tokenizer, or a .tiktoken file of the same ranks, which is faster."""
-    if path.endswith(".tiktoken"):
+def encoder(tokenizer: str, ranks: str = "", pattern: str = "") -> Callable[[str], list[int]]:
+    """Token ids of a text as the .json tokenizer gives them without tokens around it: its added tokens' strings in a text are those tokens.
+
+    ranks: a .tiktoken file of the same vocabulary, with the pattern that splits words; its encoder gives the same ids, faster.
+    """
+    if ranks:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        with open(tokenizer) as f:
+            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        with open(ranks, "rb") as f:
+            known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=known, special_tokens=added)
+        return lambda text: own.encode(text, allowed_special="all", disallowed_special=())
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    tok = Tokenizer.from_file(tokenizer)
     return lambda text: tok.encode(text, add_special_tokens=False).ids
 
 
@@ -69,6 +74,7 @@ def balanced(lengths: np.ndarray, length: int, linear: float, quadratic: float)
 def pack(
     docs: DataFrame,
     tokenizer: str,
+    ranks: str = "",
     pattern: str = "",
     length: int = 1024,
     end_id: int = 0,
@@ -89,7 +95,7 @@ def pack(
     blocks = _schema(with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, pattern)
+        encode = encoder(tokenizer, ranks, pattern)
         base = TaskContext.get().partitionId() << 36
         ids: list[np.ndarray] = []
         keys: list = []
@@ -133,9 +139,3 @@ def _schema(with_ids: bool) -> pa.Schema:
 def padding(lengths: list[int], length: int) -> int:
     """Pad tokens that sequences of these lengths need: none at a power of two, else up to the full length."""
     return sum(0 if n & (n - 1) == 0 else length - n for n in lengths)
-
-
-def vocabulary(path: str) -> int:
-    """Number of ids of a .json tokenizer."""
-    with open(path) as f:
-        return len(json.load(f)["model"]["vocab"])

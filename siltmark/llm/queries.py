@@ -13,11 +13,11 @@ from . import chat, decontam, jaccard, langid, neardup, packing, quality, shardi
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def tokenizer_file(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
-    """(path, pattern) of a public vocabulary on this machine; only its place is known here."""
+def tokenizer_files(name: str = "byte_bpe_50k") -> tuple[str, str, str]:
+    """(tokenizer, ranks, pattern) of a public vocabulary on this machine; only its place is known here."""
     import public_tokenizers
 
-    return public_tokenizers.path(name), public_tokenizers.PATTERN
+    return public_tokenizers.path(f"{name}.json"), public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"))
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +41,7 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, pattern = tokenizer_file()
-    return packing.pack(table(spark, sf_dir, "documents"), path, pattern)
+    return packing.pack(table(spark, sf_dir, "documents"), *tokenizer_files())
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +59,7 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(table(spark, sf_dir, "conversations"))
+    return chat.recovered_chats(table(spark, sf_dir, "conversations"))
 
 
 QUERIES: dict[str, Query] = {
@@ -75,4 +74,24 @@ QUERIES: dict[str, Query] = {
     "op9_neardup": op9_neardup,
     "op10_chat": op10_chat,
 }
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+SQL: dict[str, str] = {
+    "op3_jaccard": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words FROM documents),
+      p AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0),
+      s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + 4), ' ') AS shingle FROM p),
+      n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+      met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2),
+      pairs AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+      links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+      reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+      low AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1)
+      SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(component_id, w.doc_id) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN low ON low.a = w.doc_id""",
+    "op5_substring": f"""WITH w AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS words FROM documents),
+      p AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13),
+      v AS (SELECT doc_id, i, array_to_string(list_slice(words, i, i + 12), ' ') AS win FROM p),
+      f AS (SELECT win, min(doc_id) AS first FROM v GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+      g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM v JOIN f USING (win) WHERE first < doc_id),
+      t AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k FROM w),
+      r AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.k) AS kept, count(*) AS n FROM t LEFT JOIN g ON g.doc_id = t.doc_id AND g.k = t.k WHERE g.k IS NULL GROUP BY 1)
+      SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(r.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN r ON r.doc_id = w.doc_id""",
+}
