@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
+from .langid import remainder
 
 ROLES = ("system", "user", "assistant")
 #: Names by which a speaker may be marked at the start of a line.
@@ -39,33 +41,46 @@ def marker(line: Column) -> Column:
     return out.cast("int")
 
 
-def unmarked(line: Column) -> Column:
-    return F.regexp_replace(line, _FORM.format("|".join(MARKS.values())), "")
-
-
 def feature(line: Column) -> Column:
     size = F.least(F.floor(F.log2(F.length(line) + 1) / 3), F.lit(3)).cast("int")
     return size * 4 + F.when(line.rlike(r"\?\s*$"), 1).when(line.rlike(r"^\s*(```|[-*+] |\d+[.)] )"), 2).when(F.trim(line) == "", 3).otherwise(0)
 
 
-def transcript(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, turn, raw): each turn as a speaker would be marked in a plain log; a turn without a known role has no marker."""
-    named = F.when(F.lower(role).isin(*ROLES), F.concat(F.initcap(role), F.lit(": ")))
-    return turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.concat(F.coalesce(named, F.lit("")), F.coalesce(text, F.lit(""))).alias("raw"))
+def known_role(role: Column) -> Column:
+    """Index in ROLES of a role in any case, or -1."""
+    out = F.lit(-1)
+    for k, r in enumerate(ROLES):
+        out = F.when(F.lower(role) == r, k).otherwise(out)
+    return out.cast("int")
+
+
+def lines_of(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
+def transcript(turns: DataFrame, marked: Column | None = None, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(conv_id, turn, given, raw) of turns: given is the role that is known, or null. Where `marked` is true the role is taken away and written before the text, as in a plain log."""
+    marked = F.lit(False) if marked is None else marked
+    named = F.when(marked & F.col(role).isNotNull(), F.concat(F.initcap(role), F.lit(": "))).otherwise("")
+    return turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.when(~marked, F.col(role)).alias("given"), F.concat(named, F.coalesce(text, F.lit(""))).alias("raw"))
 
 
 def fit(turns: DataFrame, agree: float = 0.97, stay: float = 0.98, smooth: float = 1.0) -> Model:
-    """Count who follows whom and which first lines each role writes, over all turns with a known role. At most a few dozen counts reach the driver."""
-    index = F.when(F.lower("role") == ROLES[0], 0).when(F.lower("role") == ROLES[1], 1).when(F.lower("role") == ROLES[2], 2)
-    known = turns.select("conv_id", "turn", index.alias("s"), feature(F.split(F.coalesce("text", F.lit("")), "\n")[0]).alias("f")).filter("s is not null")
+    """Count who follows whom, who begins, and which lines each role writes, over all lines of all turns (conv_id, turn, role, text) with a known role. At most a few dozen counts reach the driver.
+
+    Of several rows of one turn, the lowest role counts for who follows whom.
+    """
+    known = turns.select("conv_id", "turn", known_role(F.col("role")).alias("s"), lines_of(F.col("text")).alias("l")).filter("s >= 0")
     n = len(ROLES)
     emit, turn, first = np.full((n, FEATURES), smooth), np.full((n, n), smooth), np.full(n, smooth)
-    for s, f, k in known.groupBy("s", "f").count().collect():
+    each = known.select("s", F.explode("l").alias("line")).select("s", feature(F.col("line")).alias("f"))
+    for s, f, k in each.groupBy("s", "f").count().collect():
         emit[s, f] += k
-    after = known.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("s").alias("r")).filter("conv_id is not null and turn is not null")
-    for r, s, k in known.join(after, ["conv_id", "turn"]).groupBy("r", "s").count().collect():
+    one = known.filter("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min("s").alias("s"))
+    after = one.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("s").alias("r"))
+    for r, s, k in one.join(after, ["conv_id", "turn"]).groupBy("r", "s").count().collect():
         turn[r, s] += k
-    for s, k in known.filter("turn = 0").groupBy("s").count().collect():
+    for s, k in one.groupBy("conv_id").agg(F.min_by("s", "turn").alias("s")).groupBy("s").count().collect():
         first[s] += k
     line = np.full((n, n), (1 - stay) / (n - 1))
     np.fill_diagonal(line, stay)
@@ -73,16 +88,20 @@ def fit(turns: DataFrame, agree: float = 0.97, stay: float = 0.98, smooth: float
     return Model(log(first), log(turn), np.log(line), log(emit), float(np.log(agree)), float(np.log((1 - agree) / (n - 1))))
 
 
-def scores(m: Model, marks: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """(lines, roles): log-likelihood of each line in each state."""
+def scores(m: Model, marks: np.ndarray, features: np.ndarray, fixed: np.ndarray) -> np.ndarray:
+    """(lines, roles): log-likelihood of each line in each state; a line whose row has a known role (fixed, or -1) is in that state."""
     e = m.emit[:, features].T.copy()
-    named = np.flatnonzero(marks >= 0)
+    named = np.flatnonzero((marks >= 0) & (fixed < 0))
     e[named] += m.differ
     e[named, marks[named]] += m.agree - m.differ
+    sure = np.flatnonzero(fixed >= 0)
+    kept = e[sure, fixed[sure]]
+    e[sure] = -np.inf
+    e[sure, fixed[sure]] = kept
     return e
 
 
-def steps_of(m: Model, starts: np.ndarray, marks: np.ndarray, features: np.ndarray) -> np.ndarray:
+def steps_of(m: Model, starts: np.ndarray, marks: np.ndarray, features: np.ndarray, fixed: np.ndarray) -> np.ndarray:
     """(lines, states, states): log-probability of moving into each line's state and of the line; the last state is that before a conversation.
 
     A named speaker inside a row may be a new turn.
@@ -91,7 +110,7 @@ def steps_of(m: Model, starts: np.ndarray, marks: np.ndarray, features: np.ndarr
     out = np.full((len(marks), n + 1, n + 1), -np.inf)
     out[:, :n, :n] = np.where((starts | (marks >= 0))[:, None, None], m.turn, m.line)
     out[:, n, :n] = m.first
-    out[:, :, :n] += scores(m, marks, features)[:, None, :]
+    out[:, :, :n] += scores(m, marks, features, fixed)[:, None, :]
     return out
 
 
@@ -122,31 +141,49 @@ def viterbi(step: np.ndarray, begin: np.ndarray, end: int | None = None) -> np.n
     return np.array(path[::-1])
 
 
+_LEAD = re.compile(_FORM.format("|".join(MARKS.values())))
+
+
+def pieces_of(raw: str, marks: np.ndarray, roles: np.ndarray) -> list[tuple[int, str]]:
+    """(role, text) of the turns in a row: one begins where the role changes or a marker names the speaker; those markers are taken off."""
+    out: list[tuple[int, list[str]]] = []
+    for k, line in enumerate(raw.split("\n")):
+        named = marks[k] == roles[k]
+        if not out or named or roles[k] != roles[k - 1]:
+            out.append((int(roles[k]), []))
+        out[-1][1].append(_LEAD.sub("", line) if named else line)
+    return [(r, "\n".join(x)) for r, x in out]
+
+
 def parse(lines: DataFrame, model: Model, rows_a_part: int = 512) -> DataFrame:
-    """(key, part, turn, raw, roles): the role of each line of each row (conv_id, turn, raw).
+    """(conv_id, turn, piece, role, text): the turns of each row (conv_id, turn, given, raw). A row with a given role is one turn of that role; the roles of the others are recovered.
 
     A conversation is cut into parts by turn number. Each part first gives its best score between any two states at its ends; those small
     tables settle the states at all ends, and each part then finds its best path between its own. So a very long conversation is spread over tasks,
-    and one row for each `rows_a_part` turns of it comes together.
+    and one row for each `rows_a_part` turns of it comes together. Rows without a turn number have no order among themselves and spread over many parts, before all others.
     """
-    cut = F.split(F.coalesce("raw", F.lit("")), "\n", -1)
     key = F.coalesce(F.col("conv_id").cast("string"), F.concat(F.lit("row "), F.xxhash64("turn", "raw").cast("string")))
+    loose = -1 - F.pmod(F.xxhash64("raw", F.lit(31)), F.lit(1024))
+    cut = lines_of(F.col("raw"))
     rows = checkpointed(
-        lines.select(key.alias("key"), F.coalesce(F.floor(F.col("turn") / rows_a_part), F.lit(-1)).cast("long").alias("part"), "conv_id", "turn", "raw", F.transform(cut, marker).alias("marks"), F.transform(cut, lambda x: feature(x).cast("int")).alias("features"))
+        lines.select(
+            key.alias("key"), F.coalesce(F.floor(F.col("turn") / rows_a_part), loose).cast("long").alias("part"), F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "given", "raw",
+            F.transform(cut, lambda x: F.when(F.col("given").isNull(), marker(x)).otherwise(-1)).alias("marks"), F.transform(cut, lambda x: feature(x).cast("int")).alias("features"), known_role(F.col("given")).alias("fixed"),
+        )
     )
 
-    def steps(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    def steps(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
         t = t.sort_by([("turn", "ascending"), ("raw", "ascending")])
         sizes = np.diff(t.column("marks").combine_chunks().offsets.to_numpy())
         marks, feats = (np.concatenate(t.column(c).combine_chunks().to_numpy(zero_copy_only=False)).astype(int) for c in ("marks", "features"))
         starts = np.zeros(len(marks), bool)
         starts[np.cumsum(sizes) - sizes] = True
-        return t, sizes, steps_of(model, starts, marks, feats)
+        return t, sizes, marks, steps_of(model, starts, marks, feats, np.repeat(t.column("fixed").to_numpy(), sizes))
 
     ends = pa.schema([("key", pa.string()), ("part", pa.int64()), ("best", pa.list_(pa.float64()))])
 
     def summary(t: pa.Table) -> pa.Table:
-        return pa.table([t.column("key").slice(0, 1), t.column("part").slice(0, 1), pa.array([through(steps(t)[2]).ravel()], pa.list_(pa.float64()))], schema=ends)
+        return pa.table([t.column("key").slice(0, 1), t.column("part").slice(0, 1), pa.array([through(steps(t)[3]).ravel()], pa.list_(pa.float64()))], schema=ends)
 
     chosen = pa.schema([("key", pa.string()), ("part", pa.int64()), ("before", pa.int32()), ("after", pa.int32())])
 
@@ -157,48 +194,46 @@ def parse(lines: DataFrame, model: Model, rows_a_part: int = 512) -> DataFrame:
         before = np.concatenate([[n - 1], path[:-1]])
         return pa.table([t.column("key"), t.column("part"), pa.array(before.astype(np.int32)), pa.array(path.astype(np.int32))], schema=chosen)
 
-    found = pa.schema([("key", pa.string()), ("part", pa.int64()), ("conv_id", pa.int64()), ("turn", pa.int64()), ("raw", pa.string()), ("roles", pa.list_(pa.int32()))])
+    found = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("piece", pa.int32()), ("role", pa.string()), ("text", pa.string())])
 
     def decide(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return found.empty_table()
-        t, sizes, step = steps(left)
-        before, after = right.column("before")[0].as_py(), right.column("after")[0].as_py()
-        path = viterbi(step, only(before), after).astype(np.int32)
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        return pa.table([t.column("key"), t.column("part"), t.column("conv_id"), t.column("turn"), t.column("raw"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(path))], schema=found)
+        t, sizes, marks, step = steps(left)
+        path = viterbi(step, only(right.column("before")[0].as_py()), right.column("after")[0].as_py())
+        stop = np.cumsum(sizes)
+        out: list[tuple] = []
+        for conv, turn, given, raw, a, b in zip(*(t.column(c).to_pylist() for c in ("conv_id", "turn", "given", "raw")), (stop - sizes).tolist(), stop.tolist(), strict=True):
+            if given is None:
+                out.extend((conv, turn, k, ROLES[r], x) for k, (r, x) in enumerate(pieces_of(raw, marks[a:b], path[a:b])))
+            else:
+                out.append((conv, turn, 0, given.lower() if given.lower() in ROLES else given, raw))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), found, strict=True)], schema=found)
 
-    whole = rows.withColumn("conv_id", F.col("conv_id").cast("long")).withColumn("turn", F.col("turn").cast("long"))
-    settled = whole.groupBy("key", "part").applyInArrow(summary, "key string, part long, best array<double>").groupBy("key").applyInArrow(settle, "key string, part long, before int, after int")
-    return whole.groupBy("key", "part").cogroup(settled.groupBy("key", "part")).applyInArrow(decide, "key string, part long, conv_id long, turn long, raw string, roles array<int>")
+    settled = rows.groupBy("key", "part").applyInArrow(summary, "key string, part long, best array<double>").groupBy("key").applyInArrow(settle, "key string, part long, before int, after int")
+    return rows.groupBy("key", "part").cogroup(settled.groupBy("key", "part")).applyInArrow(decide, "conv_id long, turn long, piece int, role string, text string")
 
 
 def render(parsed: DataFrame, opening: str = "<|{}|>\n", closing: str = "<|end|>\n") -> DataFrame:
-    """One row per recovered turn: conv_id, turn, piece (0 unless a row holds several speakers), role, text and its canonical form.
-
-    A piece begins where the role changes inside a row or a marker names a speaker; markers are taken off.
-    """
-    line = F.transform(F.split(F.coalesce("raw", F.lit("")), "\n", -1), lambda x: F.struct(marker(x).alias("m"), x.alias("x")))
-    both = F.zip_with(line, "roles", lambda a, r: F.struct(a.m.alias("m"), a.x.alias("x"), r.alias("r")))
-    cut = F.transform(both, lambda b, i: F.struct(b.r.alias("r"), F.when(b.m == b.r, unmarked(b.x)).otherwise(b.x).alias("x"), ((i == 0) | (b.m == b.r) | (b.r != F.get(both, i - 1).r)).alias("new")))
-    rows = parsed.select("conv_id", "turn", "raw", F.monotonically_increasing_id().alias("_row"), cut.alias("lines"))
-    pieces = F.aggregate(
-        "lines",
-        F.lit(None).cast("array<struct<r:int,x:string>>"),
-        lambda acc, b: F.when(acc.isNull(), F.array(F.struct(b.r.alias("r"), b.x.alias("x"))))
-        .when(b.new, F.concat(acc, F.array(F.struct(b.r.alias("r"), b.x.alias("x")))))
-        .otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1).r.alias("r"), F.concat(F.element_at(acc, -1).x, F.lit("\n"), b.x).alias("x"))))),
-    )
-    out = rows.select("conv_id", "turn", F.posexplode(pieces).alias("piece", "p"))
-    role = F.element_at(F.array(*map(F.lit, ROLES)), F.col("p.r") + 1)
+    """The recovered turns, each with its canonical form."""
     head, tail = opening.split("{}")
-    return out.select("conv_id", "turn", F.col("piece").cast("int").alias("piece"), role.alias("role"), F.col("p.x").alias("text"), F.concat(F.lit(head), role, F.lit(tail), F.col("p.x"), F.lit("\n" + closing)).alias("rendered"))
+    return parsed.withColumn("rendered", F.concat(F.lit(head), "role", F.lit(tail), "text", F.lit("\n" + closing)))
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """Write the table's turns as a plain transcript, recover the roles from it, and render each turn.
+    """Each turn (conv_id, turn, role, text) in canonical form; roles that are missing are recovered from speaker marks and the lines' features.
 
-    A null role leaves a turn unmarked, so the model infers it; a null text is empty; a row without a conversation is one of its own; a row without a turn
-    comes before the others; repeated rows are each kept; an empty table gives no rows; other columns are dropped.
+    A role other than system, user or assistant is kept as it is; a row with a role stays one turn. A null text is empty; a row without a conversation is one of its own, equal ones following one another; a row
+    without a turn comes before the others; repeated rows are each kept; an empty table gives no rows; other columns are dropped.
     """
     return render(parse(transcript(turns), fit(turns)))
+
+
+def recovered_chats(turns: DataFrame) -> DataFrame:
+    """format_chats() of a table whose roles are known, for measuring: of conversations with crc32(conv_id) mod 5 = 0 the roles are hidden, of those with 1 they are only marks in the text;
+    the model is fitted on the others. hidden and marked say which they are."""
+    rest = remainder(F.col("conv_id"), 5)
+    hidden, marked = F.coalesce(rest == 0, F.lit(False)), F.coalesce(rest == 1, F.lit(False))
+    model = fit(turns.filter(~(hidden | marked)))
+    out = render(parse(transcript(turns.withColumn("role", F.when(~hidden, F.col("role"))), marked), model))
+    return out.withColumn("hidden", hidden).withColumn("marked", marked)
