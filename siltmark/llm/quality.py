@@ -36,6 +36,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     three = np.zeros(len(data), np.uint32)
     if len(data) > 2:
         three[:-2] = low[:-2] * np.uint32(0x9E3779B1) + low[1:-1] * np.uint32(0x85EBCA6B) + low[2:] * np.uint32(0xC2B2AE35)
+    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
+    three[left < 3] = 0  # the bytes behind a text are another's
     three ^= three >> np.uint32(15)
     three *= np.uint32(0x2C1B3C6D)
     doc = np.repeat(np.arange(n), np.diff(offsets))

@@ -45,18 +45,22 @@ class Texts:
 
 def read(data: np.ndarray, offsets: np.ndarray) -> Texts:
     start, end, hashes, first = words_of(data, offsets, lower=True)
-    low = np.full(len(data) + 6, 32, np.uint32)
-    low[1 : len(data) + 1] = _LOWER[data]
-    low[1 : len(data) + 1][_SPACE[data]] = 32
-    low[0] = 32
     n = len(data)
-    three = low[:n] * np.uint32(0x9E3779B1) + low[1 : n + 1] * np.uint32(0x85EBCA6B) + low[2 : n + 2] * np.uint32(0xC2B2AE35)
+    low = np.full(n + 6, 32, np.uint32)
+    low[1 : n + 1] = _LOWER[data]
+    low[1 : n + 1][_SPACE[data]] = 32
+    # around a text there are blanks, whatever lies beside it in the batch
+    left = (np.repeat(offsets[1:], np.diff(offsets)) - np.arange(n)).astype(np.int32)
+    before = low[:n].copy()
+    before[offsets[:-1][offsets[:-1] < n]] = 32
+    at = lambda k: low[1 : n + 1] if k == 0 else np.where(left > k, low[1 + k : n + 1 + k], np.uint32(32))
+    three = before * np.uint32(0x9E3779B1) + at(0) * np.uint32(0x85EBCA6B) + at(1) * np.uint32(0xC2B2AE35)
     three ^= three >> np.uint32(15)
     three *= np.uint32(0x2C1B3C6D)
-    six = low[:n].copy()
-    for k in range(1, 6):
+    six = before
+    for k in range(5):
         six *= np.uint32(0x01000193)
-        six ^= low[k : n + k]
+        six ^= at(k)
     six ^= six >> np.uint32(16)
     six *= np.uint32(0x7FEB352D)
     return Texts((mix(hashes, 5) % np.uint64(WORDS)).astype(np.int32), start, end, first, (three >> np.uint32(20)).astype(np.int16), (six >> np.uint32(15)).astype(np.int32))
