@@ -13,26 +13,24 @@ def _down(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every id has one edge down, or only edges that end at it."""
+    ends = edges.select("u", F.lit(1).alias("down"), F.lit(0).alias("ends")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("down"), F.lit(1).alias("ends")))
+    return ends.groupBy("u").agg(F.sum("down").alias("down"), F.max("ends").alias("ends")).filter("down > 1 or (down = 1 and ends = 1)").isEmpty()
+
+
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of every id with an edge to another, except those that are their own component's smallest id.
 
     Only minima are gathered, never the neighbours of an id, so a hub costs no more than its edges. Each round is a
-    checkpoint; the number of rounds grows with the logarithm of the longest chain. Edges with a null end are left out.
+    checkpoint; the number of rounds grows with the logarithm of the longest chain, and the last is the one that leaves stars only. Edges with a null end are left out.
     """
     now = checkpointed(_down(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null")))
-    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
-    before = mark(now)
-    while before[0]:
+    while not _is_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = _down(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select("v", "m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         now = checkpointed(_down(small))
-        after = mark(now)
-        if after == before:
-            break
-        before = after
     return now.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Chunks, and buckets, that small data have at least, so that all cores share them.
+FEWEST = 32
 BLOCKS = "chunk int, bucket int, hashes binary, extra binary"
 _BLOCKS = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("extra", pa.binary())])
 REPLIES = "chunk int, bucket int, kind int, reply binary"

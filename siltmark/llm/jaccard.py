@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks_of, checkpointed, mix, places, text_bytes, total, windows_hash, words_of
 from .components import connected
-from .exchange import BLOCKS, answered, blocks, chunked, distinct_with_owners, held_elsewhere, replies
+from .exchange import BLOCKS, FEWEST, answered, blocks, chunked, distinct_with_owners, held_elsewhere, replies
 
 _SETS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("shingles", pa.binary())])
 SETS = "row long, doc_id long, n_shingles long, digest binary, shingles binary"
@@ -88,7 +88,7 @@ class Shingles:
 def chunks_of(docs: DataFrame, chunk_bytes: int, hashes_a_bucket: int) -> tuple[int, int]:
     """(chunks, buckets) for the texts' size."""
     size = total(docs, F.octet_length("text"))
-    return max(2, -(-size // chunk_bytes)), max(2, -(-size // (16 * hashes_a_bucket)))
+    return max(FEWEST, -(-size // chunk_bytes)), max(FEWEST, -(-size // (16 * hashes_a_bucket)))
 
 
 def find_sets(docs: DataFrame, words: int, percent: int, chunks: int, buckets: int) -> DataFrame:
@@ -140,7 +140,7 @@ def inverted_lists(classes: DataFrame, percent: int, hashes_a_chunk: int = 1 <<
     How many classes hold a shingle is counted over all classes; those that one class alone holds take room in the prefix but give no entry.
     """
     size = total(classes, "n")
-    chunks, buckets = max(2, -(-size // hashes_a_chunk)), max(2, -(-size // hashes_a_bucket))
+    chunks, buckets = max(FEWEST, -(-size // hashes_a_chunk)), max(FEWEST, -(-size // hashes_a_bucket))
     given = chunked(classes.select("rep", "n", "shingles"), chunks, "rep")
 
     def counted(t: pa.Table):
@@ -225,8 +225,20 @@ def by_subsets(classes: DataFrame, limit: int, percent: int) -> DataFrame:
     return met.select(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).distinct()
 
 
+#: Ids of so many classes are sent out to pick their sets where they lie; for more, all sets go through the join.
+MOST_SENT = 1 << 20
+
+
+def _occurring(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The classes that pairs (a, b) name, picked without moving the others if they are few; else all of them."""
+    ids = checkpointed(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct())
+    return classes.join(F.broadcast(ids), "rep", "left_semi") if ids.count() <= MOST_SENT else classes
+
+
 def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets link."""
+    pairs = checkpointed(pairs.select("a", "b"))
+    classes = _occurring(pairs, classes)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def test(batches):
@@ -240,7 +252,7 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     x = classes.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
     y = classes.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long").distinct()
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long").distinct()
 
 
 def _possible(percent: int, na, nb, sa, sb) -> object:
@@ -295,21 +307,22 @@ def link(classes: DataFrame, percent: int, rounds: tuple[str, ...]) -> DataFrame
     """(id, component) of the classes (rep, n, shingles) that link with others, as connected() gives it."""
     lists = checkpointed(inverted_lists(classes, percent).withColumn("comp", F.col("rep")))
     limit = boundary(lists, classes, percent)
-    links = checkpointed(by_subsets(classes, limit, percent))
+    comp = connected(by_subsets(classes, limit, percent))
     lists = lists.filter(F.col("n") >= least_overlap(limit + 1, percent))
-    comp = connected(links)
+    alone = comp.isEmpty()  # then each class is its own component, as the lists say already
     # each class first meets one leader of its lists; after that few lists still hold different components
     for by in (*rounds, None):
-        lists = _with_component(lists, comp)
+        if not alone:
+            lists = _with_component(lists, comp)
         lead = _lead(lists, by or "min")
         if lead.isEmpty():
             break
-        pairs = _leaders(lists, lead, percent) if by else _all_across(lists.join(lead.select("e"), "e", "left_semi"), percent)
+        pairs = _leaders(lists, lead, percent) if by else _all_across(checkpointed(lists.join(lead.select("e"), "e", "left_semi")), percent)
         more = checkpointed(verified(pairs, classes, percent))
         if by is None or not more.isEmpty():
             # what is known already is a star for each component
             links = comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
-            comp = connected(links)
+            comp, alone = connected(links), False
             lists = lists.join(lead.select("e"), "e", "left_semi")
     return comp
 
@@ -318,9 +331,13 @@ def _rows(given: DataFrame, words: int, percent: int, chunks: int, buckets: int,
     """(sets of all rows, those with a digest, (digest, low, first_id, component) of each class that may have partners): low is the smallest id of its component, first_id its own."""
     sets = checkpointed(find_sets(given, words, percent, chunks, buckets))
     maybe = sets.filter("digest is not null")
-    to_class = checkpointed(maybe.groupBy("digest").agg(F.min("row").alias("rep"), F.min("doc_id").alias("first_id")))
-    carriers = maybe.filter("shingles is not null").select("digest", F.col("row").alias("rep"), F.col("n_shingles").alias("n"), "shingles")
-    classes = checkpointed(carriers.join(to_class.select("digest", "rep"), ["digest", "rep"]).select("rep", "n", "shingles"))
+    same = maybe.groupBy("digest").agg(F.min("row").alias("row"), F.min("doc_id").alias("first_id"))
+    # a class is named by its smallest id, so that it leads its lists; where another class has that name or there is none, by its row
+    owner = same.groupBy("first_id").agg(F.min("row").alias("owner"))
+    named = same.join(owner, "first_id", "left").withColumn("rep", F.when(F.col("row") == F.col("owner"), F.col("first_id")).otherwise(-F.col("row") - 2**62))
+    to_class = checkpointed(named.select("digest", "row", "first_id", "rep"))
+    carriers = maybe.filter("shingles is not null").select("digest", "row", F.col("n_shingles").alias("n"), "shingles")
+    classes = checkpointed(carriers.join(to_class.select("digest", "row", "rep"), ["digest", "row"]).select("rep", "n", "shingles"))
     comp = link(classes, percent, rounds).select(F.col("id").alias("rep"), "component")
     own = to_class.join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     low = own.groupBy("component").agg(F.min("first_id").alias("low"))

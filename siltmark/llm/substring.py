@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks_of, places, text_bytes, total, windows_hash, words_of
-from .exchange import BLOCKS, answered, blocks, chunked, distinct_with_owners, grouped, held_elsewhere, replies
+from .exchange import BLOCKS, FEWEST, answered, blocks, chunked, distinct_with_owners, grouped, held_elsewhere, replies
 
 #: Difference covers: for any two positions there is a shift below the period that brings both into the cover.
 COVERS = {1: (0,), 2: (0, 1), 3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9)}
@@ -94,8 +94,8 @@ def _marked(t: pa.Table, answers: pa.Table, window: int, buckets: int):
 def find_repeats(docs: DataFrame, finish, schema, window: int = 13, chunk_bytes: int = 4 << 20, hashes_a_bucket: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Run finish(chunk, removed: bool for each of its words) on each chunk of documents."""
     size = total(docs, F.octet_length(text_col))
-    chunks = max(2, -(-size // chunk_bytes))
-    buckets = max(2, -(-size // (14 * hashes_a_bucket)))  # an anchor every 14 bytes, or so
+    chunks = max(FEWEST, -(-size // chunk_bytes))
+    buckets = max(FEWEST, -(-size // (14 * hashes_a_bucket)))  # an anchor every 14 bytes, or so
     columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"_{c}") for c in keep or [])]
     dealt = chunked(docs.select(*columns), chunks, "doc_id", "text")
 
