@@ -66,12 +66,12 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, bundles: int = 4096, id_col
         .join(F.broadcast(cold), "_bundle", "left")
         .select("doc_id", "size", "text_crc32", F.coalesce("_hot", "_cold").alias("shard"))
     )
-    return numbered(dealt, "shard", "doc_id", max(64, n // rows_a_block)).select("doc_id", "size", "text_crc32", "shard", "slot")
+    return numbered(dealt, "shard", "doc_id", max(64, n // rows_a_block), "text_crc32").select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
-def numbered(df: DataFrame, group: str, by: str, blocks: int) -> DataFrame:
-    """Add slot: gapless numbers from 0 in each group. Rows are numbered in hash blocks, and blocks get running offsets."""
-    df = df.withColumn("_block", F.pmod(F.xxhash64(by, F.lit(7)), F.lit(blocks)).cast("int"))
+def numbered(df: DataFrame, group: str, by: str, blocks: int, *spread: str) -> DataFrame:
+    """Add slot: gapless numbers from 0 in each group. Rows are numbered in blocks by a hash of `by` and the columns of spread, and blocks get running offsets."""
+    df = df.withColumn("_block", F.pmod(F.xxhash64(by, *spread, F.lit(7)), F.lit(blocks)).cast("int"))
     counts = df.groupBy(group, "_block").agg(F.count("*").alias("_n"))
     offsets = counts.select(group, "_block", (F.sum("_n").over(Window.partitionBy(group).orderBy("_block")) - F.col("_n")).alias("_before"))
     own = F.row_number().over(Window.partitionBy(group, "_block").orderBy(by))
