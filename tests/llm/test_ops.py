@@ -596,7 +596,9 @@ def test_pipeline_keeps_its_contract(spark):
     pieces = out.collect()
     assert {r.doc_id for r in pieces} == {r.doc_id for r in now.select("doc_id").collect()}
     assert sum(r.length for r in pieces) == sum({r.doc_id: r.doc_tokens for r in pieces}.values())
-    assert sorted(map(tuple, p.run(spark, SF).select("doc_id", "start", "length").collect())) == sorted((r.doc_id, r.start, r.length) for r in pieces)
+    # where a document is cut hangs on the rows that it is packed with, which come in another order from files; its ids do not
+    whole = lambda rows: {d: [x for _, ids in sorted((r.start, r.ids) for r in rows if r.doc_id == d) for x in ids] for d in {r.doc_id for r in rows}}
+    assert whole(p.run(spark, SF).collect()) == whole(pieces)
 
 
 def test_pipeline_writes_the_packed_ids(spark):
