@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, decontam, jaccard, langid, neardup, packing, quality, sharding, substring, toxicity
+from . import chat, decontam, importance, jaccard, langid, neardup, packing, quality, sharding, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +62,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.recovered_chats(table(spark, sf_dir, "conversations"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
     "op2_toxicity": op2_toxicity,
@@ -73,9 +77,25 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_neardup": op9_neardup,
     "op10_chat": op10_chat,
+    "op11_importance": op11_importance,
 }
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+_CRC32 = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(x))), lambda k: ('0x' || substr(hex(encode(x)), 2 * k + 1, 2))::BIGINT)),
+        lambda c, b: xor(c >> 8, steps.v[xor(c & 255, b) + 1]))"""
 SQL: dict[str, str] = {
+    "op11_importance": rf"""WITH steps AS (SELECT list(v ORDER BY i) AS v FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, _: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS v FROM range(256) AS t(i))),
+      lowered AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x, true AS own FROM documents
+        UNION ALL SELECT NULL, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), false FROM benchmark),
+      split AS (SELECT doc_id, own, regexp_extract_all(x, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM lowered),
+      tf AS (SELECT doc_id, own, w, count(*) AS n FROM (SELECT doc_id, own, unnest(ws) AS w FROM split) GROUP BY ALL),
+      known AS (SELECT x, xor({_CRC32}, 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT w AS x FROM tf) CROSS JOIN steps),
+      held AS (SELECT bucket, coalesce(sum(n) FILTER (own), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (NOT own), 0)::DOUBLE AS t FROM tf JOIN known ON w = x GROUP BY 1),
+      gain AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM held) + 10000) / ((s + 1) * ((SELECT sum(t) FROM held) + 10000))))::BIGINT AS g FROM held),
+      weight AS (SELECT doc_id, sum(n * g)::BIGINT AS weight FROM tf JOIN known ON w = x JOIN gain USING (bucket) WHERE own GROUP BY 1),
+      score AS (SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296::DOUBLE)))::BIGINT AS score FROM split LEFT JOIN weight USING (doc_id) WHERE own),
+      placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r FROM score)
+      SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= (SELECT 10 * count(*) // 100 FROM score WHERE n_features >= 20) THEN r END AS rank FROM placed""",
     "op3_jaccard": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words FROM documents),
       p AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0),
       s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + 4), ' ') AS shingle FROM p),
