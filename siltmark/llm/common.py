@@ -122,12 +122,31 @@ def places(n: int) -> type:
     return np.int32 if n < 2**31 - 1 else np.int64
 
 
+def cut_at_spaces(data: np.ndarray, offsets: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets with more cuts, at a space, in texts longer than `most` bytes; places of the given offsets among them). A word of any length stays whole."""
+    long = np.flatnonzero(np.diff(offsets) > most)
+    if not len(long):
+        return offsets, np.arange(len(offsets))
+    more = []
+    for t in long.tolist():
+        at, end = int(offsets[t]) + most, int(offsets[t + 1])
+        while at < end:
+            space = np.flatnonzero(_SPACE[data[at : min(end, at + most)]][: most])
+            if len(space):
+                more.append(at + int(space[0]))
+                at = more[-1]
+            at += most
+    cuts = np.unique(np.concatenate([offsets, np.array(more, offsets.dtype)]))  # an empty text's offset is there once
+    return cuts, np.searchsorted(cuts, offsets)
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool, seed: int = 0, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words [^space]+ of the texts: (starts, ends, hash, first), first[i] being the first word of text i (one more entry than texts).
 
-    Works through blocks of texts so that the arrays for each byte stay small.
+    Works through blocks of texts, and blocks of a long text cut at spaces, so that the arrays for each byte stay small.
     """
     kind = places(len(data))
+    offsets, given = cut_at_spaces(data, offsets, block)
     starts, ends, hashes, counts = [], [], [], []
     at = seen = 0
     while at < len(offsets) - 1:
@@ -164,7 +183,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool, seed: int = 0,
         seen += len(s)
         at = to
     cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return cat(starts, kind), cat(ends, kind), cat(hashes, np.uint64), np.concatenate([[0], *counts]).astype(np.int64)
+    return cat(starts, kind), cat(ends, kind), cat(hashes, np.uint64), np.concatenate([[0], *counts]).astype(np.int64)[given]
 
 
 def blocks_of(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
