@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -16,24 +17,60 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _SCHEMA = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
 
 
-def encoder(tokenizer: str, ranks: str = "", pattern: str = "") -> Callable[[str], list[int]]:
-    """Token ids of a text as the .json tokenizer gives them without tokens around it: its added tokens' strings in a text are those tokens.
+#: A space between two characters of which neither is white space, nor U+2581, which some vocabularies use for it. No token of a vocabulary that splits words holds such a space inside.
+_CUT = re.compile(r"(?<=[^\s\u2581]) (?=[^\s\u2581])")
 
-    ranks: a .tiktoken file of the same vocabulary, with the pattern that splits words; its encoder gives the same ids, faster.
+
+def segments(text: str, most: int = 1 << 18) -> Iterator[str]:
+    """Parts of a text, of about `most` characters, whose tokens are those of the text; the space between two parts is left out and belongs to the second one.
+
+    A longer run without a cut stays whole.
+    """
+    at = 0
+    while len(text) - at > most and (cut := _CUT.search(text, at + most)):
+        yield text[at : cut.start()]
+        at = cut.end()
+    yield text[at:] if at else text
+
+
+def encoder(tokenizer: str, ranks: str = "", pattern: str = "", special: bool = True) -> Callable[[str], list[int]]:
+    """Token ids of a text as the .json tokenizer gives them without tokens around it. special: its added tokens' strings in a text are those tokens, else plain text.
+
+    ranks: a .tiktoken file of the same vocabulary, with the pattern that splits words; its encoder gives the same ids, faster. Where that pattern's engine gives up,
+    on white space of about a million characters, the .json tokenizer does the text.
     """
-    if ranks:
-        import tiktoken
+    known_slow: list = []
+
+    def slow(text: str) -> list[int]:
+        if not known_slow:
+            from tokenizers import Tokenizer
+
+            known_slow.append(Tokenizer.from_file(tokenizer))
+            known_slow[0].encode_special_tokens = not special
+        return known_slow[0].encode(text, add_special_tokens=False).ids
+
+    if not ranks:
+        return slow
+    import tiktoken
+
+    with open(tokenizer) as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]} if special else {}
+    with open(ranks, "rb") as f:
+        known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=known, special_tokens=added)
+
+    def fast(text: str) -> list[int]:
+        try:
+            return own.encode(text, allowed_special="all", disallowed_special=())
+        except ValueError:
+            return slow(text)
+
+    return fast
 
-        with open(tokenizer) as f:
-            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
-        with open(ranks, "rb") as f:
-            known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=known, special_tokens=added)
-        return lambda text: own.encode(text, allowed_special="all", disallowed_special=())
-    from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(tokenizer)
-    return lambda text: tok.encode(text, add_special_tokens=False).ids
+def token_ids(encode: Callable[[str], list[int]], text: str) -> np.ndarray:
+    """Ids of a whole text, a segment at a time."""
+    return np.concatenate([np.array(encode(" " + part if k else part), "<u4") for k, part in enumerate(segments(text))])
 
 
 def capacities(tokens: int, length: int) -> list[int]:
@@ -119,9 +156,8 @@ def pack(
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                t = encode(text.as_py() or "")
-                t.append(end_id)
-                ids.append(np.array(t, "<u4"))
+                t = np.append(token_ids(encode, text.as_py() or ""), np.array([end_id], "<u4"))
+                ids.append(t)
                 keys.append(key)
                 held += len(t)
                 if held >= tokens_a_block:

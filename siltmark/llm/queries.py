@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, decision, decontam, importance, jaccard, langid, neardup, packing, quality, sharding, substring, toxicity
+from . import align, chat, decision, decontam, importance, jaccard, langid, neardup, packing, quality, sharding, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,6 +70,10 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), *align.public_sides())
+
+
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
     "op2_toxicity": op2_toxicity,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op10_chat": op10_chat,
     "op11_importance": op11_importance,
     "op12_quality_rules": op12_quality_rules,
+    "op13_alignment": op13_alignment,
 }
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 _CRC32 = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(x))), lambda k: ('0x' || substr(hex(encode(x)), 2 * k + 1, 2))::BIGINT)),
