@@ -9,11 +9,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, in_pieces
+from .common import checkpointed, in_pieces, total
+from .exchange import FEWEST
 from .packing import encoder, segments
 
 RESULT = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
@@ -23,10 +25,10 @@ SPAN = 1 << 16
 HELD = 1 << 21
 EVENTS = "doc_id long, h1 long, h2 long, offset long, side int, tokens long, copies long, n int, ids binary"
 _EVENTS = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("offset", pa.int64()), ("side", pa.int32()), ("tokens", pa.int64()), ("copies", pa.int64()), ("n", pa.int32()), ("ids", pa.binary())])
-SWEPT = "chunk long, doc_id long, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, places binary, times binary, pairs array<long>, counts array<long>"
+SWEPT = "chunk long, doc_id long, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, places binary, times binary, pairs array<long>, counts array<long>, entries long"
 _SWEPT = pa.schema(
     [(c, pa.int64()) for c in ("chunk", "doc_id", "copies", "n_a", "n_b", "n_groups", "n_links")]
-    + [("groups_sha256", pa.string()), ("places", pa.binary()), ("times", pa.binary()), ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))]
+    + [("groups_sha256", pa.string()), ("places", pa.binary()), ("times", pa.binary()), ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("entries", pa.int64())]
 )
 _RESULT = pa.schema([(c, pa.string() if c == "groups_sha256" else pa.int64()) for c in (*RESULT, "copies")])
 
@@ -204,8 +206,8 @@ def swept(rows: DataFrame, sides: tuple[Callable[[], Side], Callable[[], Side]])
             for (doc, n, n_a, n_b, groups, links, sha, u, times), end in zip(done, ends.tolist(), strict=True):
                 places = index[end - len(u) : end]
                 counts[places] += n * times
-                out.append([chunk, doc, n, n_a, n_b, groups, links, sha, places.astype("<u4").tobytes(), times.astype("<i8").tobytes(), None, None])
-            out.append([chunk, *[None] * 9, values, counts])
+                out.append([chunk, doc, n, n_a, n_b, groups, links, sha, places.astype("<u4").tobytes(), times.astype("<i8").tobytes(), None, None, None])
+            out.append([chunk, *[None] * 9, values, counts, int(ends[-1])])
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SWEPT, strict=True)], schema=_SWEPT)
 
         def close() -> None:
@@ -241,15 +243,17 @@ def swept(rows: DataFrame, sides: tuple[Callable[[], Side], Callable[[], Side]])
     return rows.mapInArrow(run, SWEPT)
 
 
-def _counted(docs: pa.Table, replies: pa.Table) -> pa.Table:
-    """Sums over a chunk's documents, from the totals of the chunk's pairs."""
-    place = replies.column("place").to_numpy()
-    total, best = np.zeros(len(place), np.int64), np.zeros(len(place), bool)
-    total[place] = replies.column("total").to_numpy()
-    best[place] = replies.column("best").to_numpy()
+def _counted(rows: pa.Table, replies: pa.Table) -> pa.Table:
+    """Sums over the documents of some chunks, from the totals of all pairs that these chunks hold."""
+    pair = replies.column("pair").to_numpy()
+    order = np.argsort(pair)
+    pair, total, best = pair[order], replies.column("total").to_numpy()[order], replies.column("best").to_numpy(zero_copy_only=False)[order]
+    lists = rows.filter(pc.is_valid(rows.column("pairs")))
+    known = {c: np.searchsorted(pair, x.values.to_numpy()) for c, x in zip(lists.column("chunk").to_pylist(), lists.column("pairs"), strict=True)}
+    docs = rows.filter(pc.is_null(rows.column("pairs")))
     n_best, count_sum = np.zeros(docs.num_rows, np.int64), np.zeros(docs.num_rows, np.int64)
-    for k, (places, times) in enumerate(zip(docs.column("places"), docs.column("times"), strict=True)):
-        p, t = np.frombuffer(places.as_buffer(), "<u4"), np.frombuffer(times.as_buffer(), "<i8")
+    for k, (c, places, times) in enumerate(zip(docs.column("chunk").to_pylist(), docs.column("places"), docs.column("times"), strict=True)):
+        p, t = known[c][np.frombuffer(places.as_buffer(), "<u4")], np.frombuffer(times.as_buffer(), "<i8")
         n_best[k], count_sum[k] = t[best[p]].sum(), (t * total[p]).sum()
     return pa.table([pa.array(n_best) if f.name == "n_best" else pa.array(count_sum) if f.name == "count_sum" else docs.column(f.name).combine_chunks() for f in _RESULT], schema=_RESULT)
 
@@ -264,20 +268,23 @@ def align(docs: DataFrame, a: Callable[[], Side], b: Callable[[], Side], id_col:
     side beyond the last common end. Bytes of every id must not be empty.
 
     Events of both sides are dealt by document and sorted by offset. A task counts the pairs of its own chunks of documents before they are added up, so a pair that is everywhere costs
-    one row a chunk; chunks get their pairs' totals back by a join.
+    one row a chunk; sets of chunks get their pairs' totals back by a join.
     """
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(71), text).alias("h2"), text.alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ends = events(rows, 0, a, span).union(events(rows, 1, b, span))
     laid = checkpointed(swept(ends.repartition(parts, "doc_id", "h1", "h2").sortWithinPartitions("doc_id", "h1", "h2", "offset", "side"), (a, b)))
-    asked = laid.filter("pairs is not null").select("chunk", F.posexplode(F.arrays_zip("pairs", "counts")).alias("place", "x")).select("chunk", "place", F.col("x.pairs").alias("pair"), F.col("x.counts").alias("n"))
+    # chunks go together in sets whose number follows from the data, however many tasks there were
+    sets = FEWEST + 2 * total(laid, "entries") // HELD
+    laid = laid.withColumn("home", F.pmod(F.xxhash64("chunk"), F.lit(sets)))
+    listed = laid.filter("pairs is not null").select("home", F.explode(F.arrays_zip("pairs", "counts")).alias("x"))
+    asked = listed.groupBy("home", F.col("x.pairs").alias("pair")).agg(F.sum("x.counts").alias("n"))
     totals = asked.groupBy("pair").agg(F.sum("n").alias("total")).withColumn("b", F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)))
     top = totals.groupBy("b").agg(F.max("total").alias("top"))
     known = totals.join(top, "b").select("pair", "total", (F.col("total") == F.col("top")).alias("best"))
-    replies = asked.select("chunk", "place", "pair").join(known, "pair").select("chunk", "place", "total", "best")
-    held = laid.filter("pairs is null").drop("pairs", "counts").withColumnRenamed("chunk", "home")
-    counted = held.groupBy("home").cogroup(replies.groupBy("chunk")).applyInArrow(_counted, ", ".join(f"{f.name} {'string' if f.name == 'groups_sha256' else 'long'}" for f in _RESULT))
+    replies = asked.select(F.col("home").alias("set"), "pair").join(known, "pair").select("set", "pair", "total", "best")
+    counted = laid.drop("counts", "entries").groupBy("home").cogroup(replies.groupBy("set")).applyInArrow(_counted, ", ".join(f"{f.name} {'string' if f.name == 'groups_sha256' else 'long'}" for f in _RESULT))
     return counted.select(*RESULT, F.explode(F.expr("array_repeat(1, cast(copies as int))"))).select(*RESULT)
 
 
