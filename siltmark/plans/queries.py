@@ -554,21 +554,6 @@ def verdict_batches(spark: SparkSession, d: str) -> DataFrame:
     return _long(FI.verdict_batches(f, f.filter(F.col("id").endswith("-1")).select("id"), ["security", "todo"]).select("repo_id", "id", "batch"), "batch")
 
 
-@query(f"{_U} SELECT event_ts::DATE AS day, event, count(*) AS events, sum(amount)::BIGINT AS amount FROM usage GROUP BY 1, 2")
-def streaming_usage_daily(spark: SparkSession, d: str) -> DataFrame:
-    """The daily roll-up as a stream that reads all that is there; its few rows land in a memory table."""
-    import uuid
-
-    from ..streaming.usage import daily_usage
-
-    known = table(spark, d, "events")
-    raw = spark.readStream.schema(known.schema).parquet(f"{d}/events.parquet*")
-    events = raw.select(F.col("ts").cast("timestamp").alias("event_ts"), F.col("event_type").alias("event"), F.floor("value").cast("long").alias("amount"))
-    name = f"usage_{uuid.uuid4().hex}"
-    daily_usage(events, "400 days").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
-
-
 def _documents(spark: SparkSession, d: str):
     """The documents as files of one repository for each source."""
     from ..operators.scanners import Snapshot
@@ -606,8 +591,8 @@ def rule_duplicate_code(spark: SparkSession, d: str) -> DataFrame:
     return RULES["duplicate-code"](_documents(spark, d))
 
 
-from .rules import QUERIES as _RULE_QUERIES  # noqa: E402
-from .rules import SQL as _RULE_SQL  # noqa: E402
+from . import rules, streams  # noqa: E402
 
-QUERIES.update(_RULE_QUERIES)
-SQL.update(_RULE_SQL)
+for _more in (rules, streams):
+    QUERIES.update(_more.QUERIES)
+    SQL.update(_more.SQL)

@@ -1,11 +1,10 @@
-"""Structured Streaming counterparts of the usage, rate-limit and alert operators."""
+"""Structured Streaming counterparts of the usage and alert operators; rate limits are in `ordered`, the store of points in `store`."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -33,34 +32,6 @@ def sliding_counts(events: DataFrame, size: str = "1 hour", step: str = "15 minu
     return events.withWatermark("event_ts", late).groupBy(F.window("event_ts", size, step), "event").agg(F.count("*").alias("events")).select(F.col("window.start").alias("start"), "event", "events")
 
 
-def rate_limit(events: DataFrame, most: int = 30, seconds: int = 3600) -> DataFrame:
-    """Decide each request (client, event_ts, event_id) of a stream: allowed while fewer than `most` allowed ones lie in the last `seconds`.
-
-    A client's state is its allowed times in the window, at most `most` numbers, and goes when the client is quiet for that long.
-    """
-
-    def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["event_ts", "event_id"])
-        out = []
-        for at, event in zip(rows.event_ts, rows.event_id, strict=True):
-            now = at.timestamp()
-            times = [t for t in times if t > now - seconds]
-            ok = len(times) < most
-            retry = 0 if ok else max(1, int(-(-(times[0] + seconds - now) // 1)))
-            if ok:
-                times.append(now)
-            out.append((key[0], int(event), ok, retry, most - len(times)))
-        state.update((times,))
-        state.setTimeoutDuration(seconds * 1000)
-        yield pd.DataFrame(out, columns=["client", "event_id", "allowed", "retry_after", "remaining"])
-
-    return events.groupBy("client").applyInPandasWithState(decide, "client string, event_id long, allowed boolean, retry_after int, remaining int", "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
 def drop_alerts(scans: DataFrame, least: int = 3) -> DataFrame:
     """Alerts from a stream of scans (repo_id, scan_ts, score): worse than the repository's last scan by grade, or by so many points. State is one score for each repository."""
 
@@ -76,21 +47,3 @@ def drop_alerts(scans: DataFrame, least: int = 3) -> DataFrame:
         yield pd.DataFrame(out, columns=["repo_id", "scan_ts", "previous_score", "score", "reason"])
 
     return scans.groupBy("repo_id").applyInPandasWithState(alert, "repo_id string, scan_ts timestamp, previous_score int, score int, reason string", "score int", "append", GroupStateTimeout.NoTimeout)
-
-
-def upsert_points(points: DataFrame, folder: str, checkpoint: str, keep: int = 50):
-    """Start a query that merges each batch of scan points into a table of the last `keep` per repository; written anew beside the old one, then exchanged by a version number."""
-    from ..operators.timeline import merge_points
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = f"{folder}/v{number - 1}"
-        try:
-            stored = spark.read.parquet(old)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            stored = batch.limit(0)  # the first batch has nothing stored
-        merge_points(stored, batch.dropDuplicates(["repo_id", "scan_ts"]), keep).write.mode("overwrite").parquet(f"{folder}/v{number}")
-
-    return points.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

@@ -260,16 +260,9 @@ def test_streams_match_batches(spark, tmp_path):
 
 
 def test_stateful_streams(spark, tmp_path):
-    rows = [(k, dt.datetime(2026, 1, 1, 0, k), "c") for k in range(8)]
-    spark.createDataFrame(rows, "event_id long, event_ts timestamp, client string").coalesce(1).write.parquet(str(tmp_path / "e"))
-    e = spark.readStream.schema("event_id long, event_ts timestamp, client string").parquet(str(tmp_path / "e"))
-    got = {r.event_id: r.allowed for r in run_stream(ST.rate_limit(e, 3, 300), spark, "limited", "append")}
-    assert got == {0: True, 1: True, 2: True, 3: False, 4: False, 5: True, 6: True, 7: True}
     points(spark, [("r", 1, 91), ("r", 2, 89), ("r", 3, 88), ("r", 4, 80)]).coalesce(1).write.parquet(str(tmp_path / "s"))
     s = spark.readStream.schema(points(spark, [("r", 1, 1)]).schema).parquet(str(tmp_path / "s"))
     assert {(r.previous_score, r.score, r.reason) for r in run_stream(ST.drop_alerts(s), spark, "drops", "append")} == {(91, 89, "grade"), (88, 80, "score")}
-    ST.upsert_points(s, str(tmp_path / "out"), str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out/v0")).count() == 4
 
 
 def test_reports_are_judged_by_the_schema(spark):
