@@ -1,4 +1,4 @@
-"""Rules about code that nothing uses and code that is there twice."""
+"""Rules about code that nothing uses."""
 
 from __future__ import annotations
 
@@ -72,90 +72,3 @@ def _symbols(s: Snapshot) -> DataFrame:
     kind = F.when(F.col("text").rlike(r"^class\b"), "class").otherwise("function")
     out = found(dead, "dead-code", "dead-code", id=F.concat(F.lit("dead-symbol-"), at()), severity="info", title=F.concat(F.lit("Unused "), kind, F.lit(" "), F.col("name")), location=at(), detail=text("The name {name} occurs once."), evidence=F.substring(F.trim("text"), 1, 140))
     return cap(out, 40)
-
-
-WINDOW, LEAST_CHARS, MANY, LARGE = 8, 240, 4, 30
-# Languages whose files are compared, by extension, and folders of files that nobody writes by hand.
-LANGUAGES = "js jsx mjs cjs ts tsx mts cts py go rs rb php java kt kts swift scala cs c cc cpp h hpp m mm dart ex exs vue svelte".split()
-MADE = "node_modules vendor third_party thirdparty dist build out target generated __generated__ .next .nuxt coverage migrations __snapshots__".split()
-#: Words of lines that carry no meaning by themselves, and first words of lines that only bring in or declare something.
-IDLE = "else return break continue pass end fi done try finally do begin".split()
-IMPORTS = "import include using use require package".split()
-DECLARING = "type interface enum abstract declare".split()
-
-
-def written_code(path: Column) -> Column:
-    """Whether a path is source code that people write, and not a test."""
-    name = F.lower(F.regexp_extract(path, r"([^/]*)$", 1))
-    parts = F.split(name, r"\.")
-    inner = F.when(F.size(parts) > 2, F.element_at(parts, -2)).otherwise("")
-    made = F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, MADE))) | inner.isin("min", "bundle", "g", "pb", "generated", "d") | name.rlike(r"_pb2?\.py$")
-    return F.element_at(parts, -1).isin(*LANGUAGES) & (F.size(parts) > 1) & ~made & ~path.rlike(TESTS) & ~path.rlike(r"(^|/)e2e/")
-
-
-def idle_line(line: Column) -> Column:
-    """Whether a line says nothing that could be pasted: a comment, an import, a lone tag, or only brackets and words like else."""
-    words = F.regexp_extract_all(line, F.lit(r"([A-Za-z_]\w*)"), 1)
-    first = F.lower(F.get(words, 0))
-    brings = first.isin(*IMPORTS) | ((first == "from") & line.contains(" import ")) | line.rlike(r"^export\s*[*{]")
-    return line.rlike(r"^(//|/?\*|#|--|;;)") | brings | F.forall(words, lambda w: w.isin(*IDLE)) | (line.startswith("<") & line.endswith(">") & (F.size(words) == 1))
-
-
-def declares_only(line: Column) -> Column:
-    """Whether a line only says what shape something has: the head of a type, a field with its type, or signs."""
-    words = F.regexp_extract_all(line, F.lit(r"([A-Za-z_]\w*)"), 1)
-    head = F.get(F.filter(words, lambda w: w != "export"), 0)
-    return head.isin(*DECLARING) | line.rlike(r"^[\w$]+\??\s*:[^=(]*$") | (F.size(words) == 0)
-
-
-def significant_lines(s: Snapshot, files: DataFrame) -> DataFrame:
-    """(repo_id, path, file_ord, line, n, text): lines that carry code, numbered, white space made even; block comments, imports and lone brackets are left out."""
-    ln = s.lines(files).withColumn("t", F.trim("text"))
-    opens, closes = F.col("t").startswith("/*") & ~F.col("t").contains("*/"), F.col("t").contains("*/")
-    state = F.last(F.when(opens, 1).when(closes, 0), ignorenulls=True).over(Window.partitionBy("repo_id", "path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
-    ln = ln.withColumn("inside", F.coalesce(state, F.lit(0))).filter("inside = 0 and t <> ''").withColumn("text", F.regexp_replace("t", r"\s+", " ")).filter(~idle_line(F.col("text")))
-    return ln.select("repo_id", "path", "file_ord", "line", "text", (F.row_number().over(Window.partitionBy("repo_id", "path").orderBy("line")) - 1).alias("n"))
-
-
-def clones(sig: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Maximal equal runs (repo_id, a, b, a_line, b_line, end lines, lines, chars, shape) of a file and an earlier place.
-
-    Equal windows are found by a hash; each window pairs with the first place in its repository that has it, and runs of windows that move in
-    lockstep are one clone, by gaps and islands. So a window with many copies gives one row for each, not one for each pair.
-    """
-    w = Window.partitionBy("repo_id", "path").orderBy("n").rowsBetween(0, window - 1)
-    win = sig.withColumn("block", F.collect_list("text").over(w)).filter(F.size("block") == window).select("repo_id", "path", "file_ord", "n", F.xxhash64("block").alias("h"))
-    first = win.groupBy("repo_id", "h").agg(F.min(F.struct("file_ord", "path", "n")).alias("f"), F.count("*").alias("copies")).filter("copies > 1")
-    pair = win.join(first, ["repo_id", "h"]).filter((F.col("path") != F.col("f.path")) | (F.col("n") >= F.col("f.n") + window))
-    pair = pair.select("repo_id", "file_ord", F.col("path").alias("b"), F.col("n").alias("bn"), F.col("f.path").alias("a"), F.col("f.n").alias("an"), F.col("f.file_ord").alias("a_ord"), "copies")
-    lane = Window.partitionBy("repo_id", "a", "b", F.col("bn") - F.col("an")).orderBy("bn")
-    runs = pair.withColumn("run", F.col("bn") - F.row_number().over(lane)).groupBy("repo_id", "a", "a_ord", "b", "file_ord", (F.col("bn") - F.col("an")).alias("shift"), "run").agg(F.min("an").alias("an"), F.min("bn").alias("bn"), F.count("*").alias("windows"), F.max("copies").alias("copies"))
-    return runs.withColumn("lines", F.col("windows") + window - 1)
-
-
-def duplicate_code(s: Snapshot, most_files: int | None = None) -> DataFrame:
-    """Pasted blocks, at their first place, with how many places they have; short, mostly declarative or SVG ones are left out.
-
-    All files are read; most_files (4000 in the reference, which runs in one process) keeps only the first of each repository.
-    """
-    files = s.matching(".").filter(written_code(F.col("path")))
-    if most_files is not None:
-        files = files.withColumn("k", F.row_number().over(Window.partitionBy("repo_id").orderBy("file_ord"))).filter(F.col("k") <= most_files).drop("k")
-    sig = significant_lines(s, files)
-    runs = clones(sig)
-    # sums up to each line, so that a run needs only its two ends
-    w = Window.partitionBy("repo_id", "path").orderBy("n")
-    t = F.col("text")
-    svg = t.rlike(r"^</?(svg|g|defs|path|filter|clipPath|mask|circle|rect|polygon|line)\b")
-    markup = t.startswith("<") | t.rlike(r"^[\w:-]+=[\"'][^\"']*[\"']\s*/?>?$")
-    sums = sig.select("repo_id", F.col("path").alias("a"), "n", "line", "text", *(F.sum(x).over(w).alias(c) for c, x in (("chars", F.length("text") + 1), ("shape", declares_only(t).cast("int")), ("markup", markup.cast("int")), ("svg", svg.cast("int")))))
-    head = sums.select("repo_id", "a", F.col("n").alias("an"), "line", "text", (F.col("chars") - F.length("text") - 1).alias("c0"), (F.col("shape") - declares_only(t).cast("int")).alias("s0"), (F.col("markup") - markup.cast("int")).alias("m0"), (F.col("svg") - svg.cast("int")).alias("g0"))
-    tail = sums.select("repo_id", "a", F.col("n").alias("last"), "chars", "shape", "markup", "svg")
-    ends = runs.withColumn("last", F.col("an") + F.col("lines") - 1).join(head, ["repo_id", "a", "an"]).join(tail, ["repo_id", "a", "last"])
-    n = F.col("lines")
-    facts = ends.select("repo_id", "a", "a_ord", "b", "bn", "lines", "line", "text", (F.col("chars") - F.col("c0")).alias("chars"), ((F.col("shape") - F.col("s0")) / n).alias("shape"), ((F.col("markup") - F.col("m0")) / n).alias("markup"), (F.col("svg") > F.col("g0")).alias("svg"))
-    good = facts.filter((F.col("chars") - 1 >= LEAST_CHARS) & (F.col("shape") < 0.7) & ~(F.col("svg") & (F.col("markup") >= 0.7)))
-    place = good.groupBy("repo_id", F.col("a").alias("path"), F.col("a_ord").alias("file_ord"), "line", "text").agg(F.max("lines").alias("lines"), (F.countDistinct("b", "bn") + 1).alias("places"), F.min("b").alias("other"))
-    sev = F.when((F.col("lines") >= LARGE) | (F.col("places") >= MANY), "warning").otherwise("info")
-    out = found(place, "duplicate-code", "hygiene", id=F.concat(F.lit("duplicate-"), at()), severity=sev, title=text("{lines} lines are in {places} places"), location=at(), detail=text("The block is also in {other}."), evidence=F.substring("text", 1, 160), ord=-F.col("lines") * F.col("places"))
-    return cap(out, 15)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import metrics
 from ..findings import SCANNERS, apply_mutes, drop_ignored, select_scanners
-from . import code, dead, deps, docs, files
+from . import clones, code, dead, deps, docs, files
 from .base import FINDINGS, Snapshot
 
 Rule = Callable[[Snapshot], DataFrame | None]
@@ -20,7 +20,7 @@ RULES: dict[str, Rule] = {
     "leftover-debug": code.leftover_debug, "broken-doc-links": docs.broken_doc_links, "bus-factor": files.bus_factor, "repo-bloat": files.repo_bloat, "dockerfile": docs.dockerfile,
     "skipped-tests": code.skipped_tests, "commented-code": code.commented_code, "insecure-code": code.insecure_code, "dead-links": docs.dead_links, "workflow-security": docs.workflow_security,
     "eol-runtime": docs.eol_runtime, "docs-drift": docs.docs_drift, "config-conflict": files.config_conflicts, "license-risk": deps.license_risk, "ci-health": docs.ci_health,
-    "duplicate-code": dead.duplicate_code, "supply-chain": deps.supply_chain,
+    "duplicate-code": clones.duplicate_code, "supply-chain": deps.supply_chain,
 }
 
 

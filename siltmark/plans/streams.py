@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,20 +12,12 @@ from ..session import shared_folder, table
 from ..streaming import ordered, store
 from ..streaming.usage import daily_usage
 from . import views as V
+from .named import register
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES, SQL, _query = register()
 MOST, SECONDS = 3, 86400
 
 
-def _query(sql: str):
-    def register(f):
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
-        return f
-
-    return register
-
-
 def _source(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parquet*")
 

@@ -142,7 +142,7 @@ def test_suppression_and_report(snapshot):
 
 
 def test_duplicates_are_found_behind_the_4000th_file(spark):
-    from siltmark.operators.scanners.dead import duplicate_code
+    from siltmark.operators.scanners.clones import duplicate_code
 
     body = f"function f() {{\n{BLOCK}\n}}\n"
     files = spark.range(4102).select(
