@@ -146,7 +146,7 @@ def resample(
     """
     source = corpus_counts(docs, runs, buckets, text_col)
     gain = gains(source, corpus_counts(target, runs, buckets), buckets)
-    scored = weighed(docs, gain, runs, id_col, text_col).withColumn("score", F.col("weight") + noise("doc_id", seed))
+    scored = checkpointed(weighed(docs, gain, runs, id_col, text_col)).withColumn("score", F.col("weight") + noise("doc_id", seed))
     can = (F.col("n_words") >= least_words) & F.col("doc_id").isNotNull()
     placed = numbered(scored.withColumn("can", can), F.desc("can"), F.desc("score"), F.asc("doc_id"), F.desc("weight"), F.desc("n_features"), F.desc("n_words"))
     drawn = placed.filter("can").count() * share[0] // share[1]
