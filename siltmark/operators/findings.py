@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions.text import glob_regex
-from ..session import shared_folder
+from ..session import checkpointed
 
 SCANNERS = (
     "env-lifecycle", "stale-branch", "todo-debt", "secrets", "dependency-funeral", "vulnerable-deps", "outdated-deps", "lockfile-drift", "dead-code", "project-hygiene",
@@ -164,21 +164,22 @@ def search_tree(nodes: DataFrame, query: str) -> DataFrame:
 
 
 def reachable(seeds: DataFrame, edges: DataFrame, by: tuple[str, ...] = ("repo_id",), most_rounds: int | None = None) -> DataFrame:
-    """Names that seeds lead to over edges (src, dst), seeds included; cycles end by themselves. Each round is a checkpoint and only new names go on.
+    """Names that seeds lead to over edges (src, dst), seeds included; cycles end by themselves. Each round writes its new names, and only those, and only they go on.
 
     It goes on until a round finds no new name. With most_rounds, new names after so many rounds are an error, never a shorter result.
     """
     key = [*by, "name"]
-    shared_folder(seeds.sparkSession)
-    seen = frontier = seeds.select(*key).distinct().checkpoint()
-    step = edges.select(*by, F.col("src").alias("name"), "dst").checkpoint()
+    frontier = checkpointed(seeds.select(*key).distinct())
+    step = checkpointed(edges.select(*by, F.col("src").alias("name"), "dst"))
+    found = [frontier]
     for done in itertools.count():
-        frontier = frontier.join(step, key).select(*by, F.col("dst").alias("name")).distinct().join(seen, key, "left_anti").checkpoint()
+        frontier = frontier.join(step, key).select(*by, F.col("dst").alias("name")).distinct()
+        frontier = checkpointed(frontier.join(reduce(DataFrame.unionByName, found), key, "left_anti"))
         if frontier.isEmpty():
-            return seen
+            return reduce(DataFrame.unionByName, found)
         if done == most_rounds:
             raise RuntimeError(f"names are still being found after {most_rounds} rounds")
-        seen = seen.unionByName(frontier).checkpoint()
+        found.append(frontier)
 
 
 def table_order(findings: DataFrame, searching: bool = False) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ...functions.scoring import severity_rank
 from ...functions.text import lag_behind, licence_class, licence_of_text, range_kind, version_part
-from ...sources.manifests import manifest_deps, npm_graph, npm_installed
+from ...session import checkpointed
+from ...sources.locks import installed, locked, npm_needed, npm_packages, pnpm_graph, pnpm_nodes, range_floor
+from ...sources.manifests import manifest_deps
 from ..findings import cap, reachable
 from .base import Snapshot, found, sample_path, text
 from .files import entries, npm_names, package_fields
@@ -72,21 +74,36 @@ def outdated_deps(s: Snapshot) -> DataFrame | None:
     return left.unionByName(_behind(late, "outdated-deps", text("dep-outdated-{key}-{name}"), F.col("manifest"), F.col("ord") * 10 + 1))
 
 
+def runtime_names(tree: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((repo_id, name) that a production install has, repositories of which that is known).
+
+    npm's lockfiles mark what is only for development. Else a pnpm lockfile's graph is followed from the run-time dependencies of its importers. yarn.lock says nothing of this, so with it alone,
+    or without any lockfile, the answer is unknown.
+    """
+    needed, marked = npm_needed(npm_packages(tree))
+    seeds, edges = pnpm_graph(nodes.join(marked, "repo_id", "left_anti"))
+    return needed.unionByName(reachable(seeds, edges)), marked.unionByName(seeds.select("repo_id").distinct())
+
+
 def vulnerable_deps(s: Snapshot) -> DataFrame | None:
-    """Installed packages that an advisory names. The published severity is kept where it is unknown whether a package is used at run time; only a known no lowers it."""
+    """Installed packages that an advisory names. The published severity is kept where it is unknown whether a package is used at run time; only a known no lowers it.
+
+    What a repository declares for run time is used there. Of a package that a lockfile lists in several versions the first counts; ranges count only where there is no lockfile.
+    """
     if s.advisories is None:
         return None
-    direct = npm_names(s).groupBy("repo_id", "name").agg(F.min("field").alias("field"), F.first("version").alias("declared"))
-    npm = npm_installed(s.tree).select("repo_id", F.lit("npm").alias("ecosystem"), "name", "version", F.lit("package.json").alias("manifest"), "dev")
-    bare = direct.join(npm, ["repo_id", "name"], "left_anti").select("repo_id", F.lit("npm").alias("ecosystem"), "name", F.regexp_extract("declared", r"(\d+\.\d+\.\d+(?:[-+][0-9A-Za-z.-]+)?)", 1).alias("version"), F.lit("package.json").alias("manifest"), F.lit(None).cast("boolean").alias("dev"))
-    poly = manifest_deps(s.tree).select("repo_id", "ecosystem", "name", "version", "manifest", F.lit(None).cast("boolean").alias("dev"))
+    direct = npm_names(s).groupBy("repo_id", "name").agg(F.collect_set("field").alias("fields"), F.first("version").alias("declared"))
+    nodes = checkpointed(pnpm_nodes(s.tree))
+    npm = installed(s.tree, nodes).join(s.tree.filter("path = 'package.json'").select("repo_id"), "repo_id", "left_semi").select("repo_id", F.lit("npm").alias("ecosystem"), "name", "version", F.lit("package.json").alias("manifest"))
+    bare = direct.join(locked(s.tree), "repo_id", "left_anti").select("repo_id", F.lit("npm").alias("ecosystem"), "name", range_floor(F.col("declared")).alias("version"), F.lit("package.json").alias("manifest"))
+    poly = manifest_deps(s.tree).select("repo_id", "ecosystem", "name", "version", "manifest")
     deps = npm.unionByName(bare).unionByName(poly).filter("version <> ''")
-    seeds, edges = npm_graph(s.tree)
-    prod = reachable(seeds, edges).withColumn("in_prod", F.lit(True))
-    known = seeds.select("repo_id").distinct().withColumn("known", F.lit(True))
-    deps = deps.join(prod, ["repo_id", "name"], "left").join(known, "repo_id", "left").join(direct.select("repo_id", "name", "field"), ["repo_id", "name"], "left")
-    npm_run = F.when(F.col("known"), F.coalesce("in_prod", F.lit(False))).otherwise(F.when(F.col("field") == "devDependencies", False).when(F.col("field") == "dependencies", True).when(F.col("dev"), False))
-    deps = deps.withColumn("runtime", F.when(F.col("ecosystem") == "npm", npm_run)).withColumn("direct", F.col("field").isNotNull() | (F.col("ecosystem") != "npm"))
+    prod, known = runtime_names(s.tree, nodes)
+    prod, known = prod.withColumn("in_prod", F.lit(True)), known.withColumn("known", F.lit(True))
+    deps = deps.join(prod, ["repo_id", "name"], "left").join(known, "repo_id", "left").join(direct.select("repo_id", "name", "fields"), ["repo_id", "name"], "left")
+    has = lambda field: F.coalesce(F.array_contains("fields", field), F.lit(False))
+    npm_run = F.when(has("dependencies"), True).when(F.col("known"), F.coalesce("in_prod", F.lit(False))).when(has("devDependencies"), False)
+    deps = deps.withColumn("runtime", F.when(F.col("ecosystem") == "npm", npm_run)).withColumn("direct", F.col("fields").isNotNull() | (F.col("ecosystem") != "npm"))
     hit = deps.join(s.advisories, ["ecosystem", "name", "version"])
     label = F.upper(F.coalesce("label", F.lit("")))
     published = F.when(label == "CRITICAL", "critical").when(label == "HIGH", "critical").when(label.isin("MODERATE", "MEDIUM"), "warning").when(label == "LOW", "info").otherwise("warning")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.scanners import clones
+from ..operators.scanners.deps import runtime_names
+from ..session import checkpointed, table
+from ..sources import locks
 from . import views as V
 from .named import register
 
@@ -29,3 +32,71 @@ def clone_blocks(spark: SparkSession, d: str) -> DataFrame:
     ln = ln.select("repo_id", "path", F.col("doc_id").alias("file_ord"), "line", "text", (F.row_number().over(Window.partitionBy("path").orderBy("line")) - 1).alias("n"))
     kept, _ = clones.blocks(ln, 2, 0, code=False)
     return kept.select("repo_id", "path", F.col("n").cast("long").alias("first_line"), F.col("lines").cast("long").alias("lines"), "places")
+
+
+def lock_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Lockfiles (repo_id, path, content) written from order lines, one for each customer, of the kind that the customer's number says.
+
+    Package p1 needs p2 where a part and a supplier of the customer's lines have these numbers modulo 20; first lines of orders are declared, those returned (R) for run time.
+    """
+    lines = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("k"), (F.col("l_partkey") % 20).alias("src"), (F.col("l_suppkey") % 20).alias("dst"), (F.col("l_linenumber") == 1).alias("first"), (F.col("l_returnflag") == "R").alias("back")
+    )
+    name = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    nodes = lines.groupBy("k", "src").agg(F.sort_array(F.collect_set("dst")).alias("needs"), F.bool_or("back").alias("back"), F.bool_or(F.col("first") & F.col("back")).alias("run"), F.bool_or(F.col("first") & ~F.col("back")).alias("dev"))
+    each = F.array_sort(F.collect_list(F.struct("src", "needs", "back", "run", "dev")))
+    per = nodes.groupBy("k").agg(each.alias("all"))
+
+    def cat(of: str, line, join: str = "", keep=None) -> Column:
+        rows = F.col(of) if keep is None else F.filter(of, keep)
+        return F.array_join(F.transform(rows, line), join)
+
+    put = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    dep = lambda x: put("      '", name(x["src"]), "':\n        specifier: ^1.0.0\n        version: 1.0.", x["src"].cast("string"), "\n")
+    needs = lambda x: F.array_join(F.transform(x["needs"], lambda n: put("      ", name(n), ": 1.0.", n.cast("string"), "\n")), "")
+    pnpm = put(
+        "lockfileVersion: '9.0'\n\nimporters:\n\n  .:\n    dependencies:\n", cat("all", dep, keep=lambda x: x["run"]), "    devDependencies:\n", cat("all", dep, keep=lambda x: x["dev"]),
+        "\nsnapshots:\n\n", cat("all", lambda x: put("  '", name(x["src"]), "@1.0.", x["src"].cast("string"), "(q@1.0.0)':\n    dependencies:\n", needs(x), "\n")),
+    )
+    flag = lambda x: F.when(x["back"], "").otherwise(', "dev": true')
+    flat = put('{"lockfileVersion": 3, "packages": {"": {}, ', cat("all", lambda x: put('"node_modules/', name(x["src"]), '": {"version": "1.0.', x["src"].cast("string"), '"', flag(x), "}"), ", "), "}}")
+    below = lambda x: F.array_join(F.transform(x["needs"], lambda n: put('"', name(n), '": {"version": "1.1.', n.cast("string"), '", "dev": true}')), ", ")
+    deep = put('{"lockfileVersion": 1, "dependencies": {', cat("all", lambda x: put('"', name(x["src"]), '": {"version": "1.0.', x["src"].cast("string"), '"', flag(x), ', "dependencies": {', below(x), "}}"), ", "), "}}")
+    yarn = cat("all", lambda x: put('"', name(x["src"]), "@^1.0.0, ", name(x["src"]), '@~1.0.0":\n  version "1.0.', x["src"].cast("string"), '"\n  resolved "x"\n\n'))
+    kind = F.col("k") % 4
+    path = F.when(kind == 0, "pnpm-lock.yaml").when(kind == 1, "package-lock.json").when(kind == 2, "yarn.lock").otherwise("npm-shrinkwrap.json")
+    return per.select(F.col("k").alias("repo_id"), path.alias("path"), F.when(kind == 0, pnpm).when(kind == 1, flat).when(kind == 2, yarn).otherwise(deep).alias("content"))
+
+
+_LOCKS = """x AS (SELECT o_custkey AS k, l_partkey % 20 AS src, l_suppkey % 20 AS dst, l_linenumber = 1 AS first, l_returnflag = 'R' AS back FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+    own AS (SELECT k, src, bool_or(back) AS back, bool_or(first AND back) AS run FROM x GROUP BY 1, 2), edge AS (SELECT DISTINCT k, src, dst FROM x),
+    seen AS (SELECT k, src AS n FROM own WHERE run AND k % 4 = 0 UNION SELECT s.k, e.dst FROM seen s JOIN edge e ON e.k = s.k AND e.src = s.n),
+    known AS (SELECT k, src AS n, src, -1 AS dst, '1.0.' || src AS version, NOT back AS dev FROM own UNION ALL SELECT k, dst, src, dst, '1.1.' || dst, true FROM edge WHERE k % 4 = 3),
+    one AS (SELECT k, n, min_by(version, (src, dst)) AS version, bool_and(dev) AS dev FROM known GROUP BY 1, 2)"""
+
+
+@_query(
+    f"""WITH RECURSIVE {_LOCKS} SELECT one.k AS repo_id, 'p' || one.n AS name, one.version,
+    CASE WHEN one.k % 4 IN (1, 3) THEN NOT dev WHEN one.k % 4 = 0 AND EXISTS (SELECT 1 FROM own WHERE own.k = one.k AND run) THEN EXISTS (SELECT 1 FROM seen WHERE seen.k = one.k AND seen.n = one.n) END AS runtime FROM one"""
+)
+def lock_runtime(spark: SparkSession, d: str) -> DataFrame:
+    """Packages that lockfiles of four forms install, and whether a production install has them (null: unknown)."""
+    tree = lock_tree(spark, d)
+    nodes = checkpointed(locks.pnpm_nodes(tree))
+    needed, known = runtime_names(tree, nodes)
+    rows = locks.installed(tree, nodes).join(known.withColumn("known", F.lit(True)), "repo_id", "left").join(needed.withColumn("needed", F.lit(True)), ["repo_id", "name"], "left")
+    return rows.select("repo_id", "name", "version", F.when(F.col("known"), F.coalesce("needed", F.lit(False))).alias("runtime"))
+
+
+@_query(
+    f"""WITH RECURSIVE {_LOCKS}, want AS (SELECT DISTINCT o_custkey AS k, o_orderkey % 25 AS n, o_orderkey % 25 % 3 AS r FROM orders WHERE o_custkey % 5 <> 0)
+    SELECT want.k AS repo_id, 'p' || want.n AS name, CASE WHEN one.version IS NOT NULL THEN one.version ELSE '2.' || r || '.0' END AS version,
+    CASE WHEN one.version IS NULL THEN 'range' WHEN want.k % 4 = 0 THEN 'pnpm' WHEN want.k % 4 = 2 THEN 'yarn' ELSE 'npm' END AS source FROM want LEFT JOIN one ON one.k = want.k AND one.n = want.n WHERE one.version IS NOT NULL OR r > 0"""
+)
+def declared_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Versions of what each customer's package.json declares, by lockfile or else by the floor of the range. Orders modulo 25 are declared; a third of the ranges has no floor."""
+    o = table(spark, d, "orders").filter("o_custkey % 5 <> 0").select(F.col("o_custkey").alias("repo_id"), (F.col("o_orderkey") % 25).alias("n")).distinct()
+    range_ = F.when(F.col("n") % 3 == 0, "latest").otherwise(F.concat(F.lit("^2."), (F.col("n") % 3).cast("string"), F.lit(".0")))
+    deps = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("p"), F.col("n").cast("string")), range_)))
+    pkg = o.groupBy("repo_id").agg(F.to_json(F.struct(deps.alias("dependencies"))).alias("content")).select("repo_id", F.lit("package.json").alias("path"), "content")
+    return locks.declared_versions(lock_tree(spark, d).unionByName(pkg))

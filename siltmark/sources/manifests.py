@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .locks import listed, pnpm_nodes
+
 _DEP = "array<struct<name:string,version:string>>"
 
 
@@ -77,32 +79,10 @@ def manifest_deps(tree: DataFrame, direct: bool = False) -> DataFrame:
 _LOCK = "map<string,struct<version:string,dev:boolean,dependencies:map<string,string>,optionalDependencies:map<string,string>>>"
 
 
-def _nested(lock: DataFrame) -> DataFrame:
-    """(repo_id, name, version, dev) of a version 6 lockfile, whose packages hold their own dependencies to any depth: one level after the other."""
-    parts = []
-    level = lock.select("repo_id", F.get_json_object("content", "$.dependencies").alias("deps"))
-    shape = "map<string,struct<version:string,dev:boolean,dependencies:string>>"
-    while True:
-        level = level.filter("deps is not null").select("repo_id", F.explode(F.from_json("deps", shape)).alias("name", "v"))
-        parts.append(level.select("repo_id", "name", "v.version", "v.dev"))
-        level = level.select("repo_id", F.col("v.dependencies").alias("deps"))
-        if level.filter("deps is not null").isEmpty():
-            return reduce(DataFrame.unionByName, parts)
-
-
 def npm_installed(tree: DataFrame) -> DataFrame:
-    """(repo_id, name, version, dev) of every package that package-lock.json or a shrinkwrap installs; one that is not only for development counts as such."""
-    lock = tree.filter(F.col("path").isin("package-lock.json", "npm-shrinkwrap.json") & (F.length("content") > 0))
-    new = lock.select("repo_id", F.explode(F.from_json(F.get_json_object("content", "$.packages"), _LOCK)).alias("key", "v")).select("repo_id", F.regexp_extract("key", r"node_modules/((?:@[^/]+/)?[^/]+)$", 1).alias("name"), "v.version", "v.dev")
-    old = _nested(lock.filter(F.get_json_object("content", "$.packages").isNull()))
-    pnpm = tree.filter(F.col("path") == "pnpm-lock.yaml")
-    key = r"(?m)^  ['\"]?/?((?:@[^/\s'\"]+/)?[^@/\s'\"]+)[@/](\d+\.\d+\.\d+[^\s:'\"()]*)"
-    flat = pnpm.select("repo_id", F.explode(_pairs(F.col("content"), key)).alias("d")).select("repo_id", "d.name", "d.version", F.lit(None).cast("boolean").alias("dev"))
-    yarn = tree.filter(F.col("path") == "yarn.lock")
-    block = r"(?m)^\"?((?:@[^/\s\"]+/)?[^@\s\",]+)@[^\n]*:\n\s+version:?\s+\"?([^\"\s]+)"
-    y = yarn.select("repo_id", F.explode(_pairs(F.col("content"), block)).alias("d")).select("repo_id", "d.name", "d.version", F.lit(None).cast("boolean").alias("dev"))
-    both = new.unionByName(old).unionByName(flat).unionByName(y).filter("name <> '' and version is not null")
-    return both.groupBy("repo_id", "name", "version").agg(F.bool_and("dev").alias("dev"))
+    """(repo_id, name, version, dev) of every version of a package that a lockfile installs; dev is true where each place is only for development, else null."""
+    rows = listed(tree, pnpm_nodes(tree))
+    return rows.groupBy("repo_id", "name", "version").agg(F.bool_and(F.coalesce("dev", F.lit(False))).alias("dev")).withColumn("dev", F.when(F.col("dev"), True))
 
 
 def npm_graph(tree: DataFrame) -> tuple[DataFrame, DataFrame]:
