@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ...functions.lexer import tokens
 from ...functions.text import basename, dirname, path_norm
-from ...session import shared_folder
+from ...session import checkpointed
+from ...sources.yaml import yaml_nodes
 
 FINDINGS = "repo_id string, id string, category string, severity string, title string, location string, age_days int, detail string, evidence string, scanner string, ord long"
 TESTS = r"(?i)(^|/)(__tests__|tests?|specs?|fixtures?)/|\.(test|spec)\.[cm]?[jt]sx?$|(^|/)test_[^/]+\.py$|_test\.(py|go|rb)$|(^|/)conftest\.py$"
@@ -54,8 +55,12 @@ class Snapshot:
     @cached_property
     def tokens(self) -> DataFrame:
         """Tokens of all JavaScript and TypeScript files: read once and written to the session's checkpoint folder, whichever rules use them."""
-        shared_folder(self.files.sparkSession)
-        return tokens(self.matching(JS)).checkpoint()
+        return checkpointed(tokens(self.matching(JS)))
+
+    @cached_property
+    def workflow_nodes(self) -> DataFrame:
+        """YAML nodes of workflows and actions, read once and written to the session's checkpoint folder."""
+        return checkpointed(yaml_nodes(self.matching(rf"{WORKFLOW}|(?i)(^|/)action\.ya?ml$").select("repo_id", "path", "file_ord", "content")))
 
     @cached_property
     def js_lines(self) -> DataFrame:

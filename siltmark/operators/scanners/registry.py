@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import metrics
 from ..findings import SCANNERS, apply_mutes, drop_ignored, select_scanners
-from . import clones, code, dead, deps, docs, files
+from . import clones, code, dead, deps, docs, files, workflows
 from .base import FINDINGS, Snapshot
 
 Rule = Callable[[Snapshot], DataFrame | None]
@@ -18,8 +18,8 @@ RULES: dict[str, Rule] = {
     "env-lifecycle": code.env_lifecycle, "stale-branch": files.stale_branches, "todo-debt": code.todo_debt, "secrets": code.secrets, "dependency-funeral": deps.dependency_funeral,
     "vulnerable-deps": deps.vulnerable_deps, "outdated-deps": deps.outdated_deps, "lockfile-drift": files.lockfile_drift, "dead-code": dead.dead_code, "project-hygiene": files.project_hygiene,
     "leftover-debug": code.leftover_debug, "broken-doc-links": docs.broken_doc_links, "bus-factor": files.bus_factor, "repo-bloat": files.repo_bloat, "dockerfile": docs.dockerfile,
-    "skipped-tests": code.skipped_tests, "commented-code": code.commented_code, "insecure-code": code.insecure_code, "dead-links": docs.dead_links, "workflow-security": docs.workflow_security,
-    "eol-runtime": docs.eol_runtime, "docs-drift": docs.docs_drift, "config-conflict": files.config_conflicts, "license-risk": deps.license_risk, "ci-health": docs.ci_health,
+    "skipped-tests": code.skipped_tests, "commented-code": code.commented_code, "insecure-code": code.insecure_code, "dead-links": docs.dead_links, "workflow-security": workflows.workflow_security,
+    "eol-runtime": docs.eol_runtime, "docs-drift": docs.docs_drift, "config-conflict": files.config_conflicts, "license-risk": deps.license_risk, "ci-health": workflows.ci_health,
     "duplicate-code": clones.duplicate_code, "supply-chain": deps.supply_chain,
 }
 
