@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import scoring as S
+from ..operators import config
 from ..operators.scanners import clones
 from ..operators.scanners.deps import runtime_names
 from ..session import checkpointed, table
@@ -100,3 +102,27 @@ def declared_versions(spark: SparkSession, d: str) -> DataFrame:
     deps = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("p"), F.col("n").cast("string")), range_)))
     pkg = o.groupBy("repo_id").agg(F.to_json(F.struct(deps.alias("dependencies"))).alias("content")).select("repo_id", F.lit("package.json").alias("path"), "content")
     return locks.declared_versions(lock_tree(spark, d).unionByName(pkg))
+
+
+_WEIGHT = {"critical": "10.0::DOUBLE", "warning": "3.0::DOUBLE", "info": "CASE WHEN repo_id % 2 = 0 THEN (repo_id % 3)::DOUBLE ELSE 0.25::DOUBLE END"}
+_LOST = " + ".join(f"(CASE WHEN {s} <= {S.FULL[s]} THEN {s} * ({w}) ELSE ({w}) * ({S.FULL[s]} + power(greatest({s} - {S.FULL[s]}, 0)::DOUBLE, {S.TAIL[s]}::DOUBLE)) END)" for s, w in _WEIGHT.items())
+
+
+@_query(
+    f"""WITH findings AS ({V.FINDINGS}), kept AS (SELECT f.* FROM findings f JOIN orders ON o_orderkey = f.repo_id
+      WHERE NOT (repo_id % 2 = 0 AND (path LIKE 'src/d' || (o_custkey % 50)::VARCHAR || '/%' OR (category = 'todo' AND regexp_matches(path, '^src/[^/]*/f1[^/]*$')) OR id = o_orderkey::VARCHAR || '-2'))),
+    c AS (SELECT repo_id, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info FROM kept GROUP BY 1)
+    SELECT repo_id, critical, warning, info, greatest(0, floor(100 - ({_LOST}) + 0.5))::INT AS score FROM c"""
+)
+def configured_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores by each repository's own configuration: every second order has one that mutes a folder, a category in some files and a finding, and weighs info anew."""
+    o = table(spark, d, "orders").filter("o_orderkey % 2 = 0")
+    rule = lambda **x: F.to_json(F.struct(*(v.alias(k) for k, v in x.items())))
+    mutes = F.concat_ws(
+        ", ", rule(path=F.concat(F.lit("src/d"), (F.col("o_custkey") % 50).cast("string"), F.lit("/**"))), rule(category=F.lit("todo"), path=F.lit("src/*/f1*")), rule(id=F.concat(F.col("o_orderkey").cast("string"), F.lit("-2")))
+    )
+    text = F.concat(F.lit('{"mute": ['), mutes, F.lit('], "weights": {"info": '), (F.col("o_orderkey") % 3).cast("string"), F.lit("}}"))
+    files = o.select(F.col("o_orderkey").alias("repo_id"), F.lit(config.CONFIG_FILE).alias("path"), text.alias("content"))
+    configs = checkpointed(config.read_configs(files))
+    left = config.unmuted(V.findings(spark, d), configs)
+    return config.configured_scores(left, configs).select("repo_id", "critical", "warning", "info", "score")

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scoring import WEIGHTS
+from ..functions.scoring import CATEGORIES, WEIGHTS
 from ..functions.text import glob_regex
 
 # What is never part of a source tree.
@@ -86,7 +86,7 @@ def repo_names(remotes: DataFrame) -> DataFrame:
 
 
 def parse_config(text: str | None) -> dict:
-    """A repository's configuration; the whole of it is the default if it is not JSON or has another shape. Unknown keys are left out."""
+    """A repository's configuration; the whole of it is the default if it is not JSON or has another shape, as a mute rule without id, category and path, or with an unknown category. Unknown keys are left out."""
     default = {"ignore": [], "mute": [], "weights": dict(WEIGHTS)}
     try:
         raw = json.loads(text or "")
@@ -94,6 +94,7 @@ def parse_config(text: str | None) -> dict:
         ignore, mute, weights = raw.get("ignore", []), raw.get("mute", []), raw.get("weights", {})
         good = strings(ignore) and isinstance(mute, list) and isinstance(weights, dict)
         good = good and all(isinstance(m, dict) and all(isinstance(m[k], str) for k in ("id", "category", "path", "reason") if k in m) for m in mute)
+        good = good and all({"id", "category", "path"} & set(m) and m.get("category", CATEGORIES[0]) in CATEGORIES for m in mute)
         good = good and all(isinstance(weights[k], (int, float)) and not isinstance(weights[k], bool) and weights[k] >= 0 for k in WEIGHTS if k in weights)
         if not good:
             return default
