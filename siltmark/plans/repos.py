@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from ..operators import config
+from ..operators import config, search
+from ..operators.findings import SYNONYMS
 from ..operators.scanners import clones
 from ..operators.scanners.deps import runtime_names
 from ..session import checkpointed, table
@@ -126,3 +127,28 @@ def configured_scores(spark: SparkSession, d: str) -> DataFrame:
     configs = checkpointed(config.read_configs(files))
     left = config.unmuted(V.findings(spark, d), configs)
     return config.configured_scores(left, configs).select("repo_id", "critical", "warning", "info", "score")
+
+
+_SYNONYMS = ", ".join(f"('{c}', '{w}')" for c, words in SYNONYMS.items() for w in words.split())
+
+
+@_query(
+    f"""WITH t AS (SELECT p_partkey AS id, ['security', 'todo', 'hygiene', ''][(p_partkey % 4 + 1)::INT] AS category, lower(p_name || ' ' || p_type || '   ' || category) AS text FROM part), f AS (SELECT id, category, text, list_filter(regexp_split_to_array(text, '[^a-z0-9_]+'), lambda y: y <> '') AS words FROM t),
+    q AS (SELECT DISTINCT substr(p_type, 1, 4) || ' ' || substr(p_name, 1 + (p_partkey % 3)::INT, 5) || CASE WHEN p_partkey % 5 = 0 THEN ' secret' ELSE '' END AS query FROM part),
+    terms AS (SELECT query, term, count(*) AS times FROM (SELECT query, unnest(list_filter(regexp_split_to_array(lower(trim(query)), '[^a-z0-9_]+'), lambda y: y <> '')) AS term FROM q) GROUP BY 1, 2),
+    syn(category, word) AS (VALUES {_SYNONYMS}), cats AS (SELECT DISTINCT term, category FROM terms JOIN syn ON starts_with(word, term) OR starts_with(term, word)),
+    words AS (SELECT DISTINCT unnest(words) AS word FROM f),
+    best AS (SELECT term, word, max(CASE WHEN contains(word, term) THEN 3 WHEN starts_with(term, word) THEN 2 WHEN length(term) >= 4 AND levenshtein(word, term) <= 1 THEN 1 ELSE 0 END) AS points FROM (SELECT DISTINCT term FROM terms), words GROUP BY 1, 2),
+    hit AS (SELECT term, id, points FROM best JOIN (SELECT id, unnest(words) AS word FROM f) USING (word) WHERE points > 0 UNION ALL SELECT term, id, 2 FROM cats JOIN f USING (category)
+      UNION ALL SELECT c.term, f.id, 1 FROM cats c JOIN syn s USING (category) JOIN f ON contains(f.text, s.word)),
+    got AS (SELECT term, id, max(points) AS points FROM hit GROUP BY 1, 2)
+    SELECT query, id, sum(points * times)::BIGINT AS relevance FROM terms JOIN got USING (term) GROUP BY query, id HAVING count(*) = (SELECT count(*) FROM terms t WHERE t.query = terms.query)"""
+)
+def issue_search_many(spark: SparkSession, d: str) -> DataFrame:
+    """Queries made of parts' types and names, over all parts as findings, by one index."""
+    p = table(spark, d, "part")
+    category = F.element_at(F.array(*map(F.lit, ("security", "todo", "hygiene", ""))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    rows = p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("title"), category.alias("category"), *(F.lit("").alias(c) for c in ("detail", "location", "severity", "scanner")))
+    word = F.substr("p_name", (F.col("p_partkey") % 3 + 1).cast("int"), F.lit(5))
+    queries = p.select(F.concat(F.substr("p_type", F.lit(1), F.lit(4)), F.lit(" "), word, F.when(F.col("p_partkey") % 5 == 0, " secret").otherwise("")).alias("query"))
+    return search.search_all(search.build(rows, ("id",)), queries).select("query", "id", F.col("relevance").cast("long").alias("relevance"))
