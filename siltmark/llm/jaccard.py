@@ -284,17 +284,33 @@ def _leaders(lists: DataFrame, lead: DataFrame, percent: int) -> DataFrame:
     return _pairs(met, percent).groupBy("a").agg(F.max(F.struct("k", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
 
-def _all_across(lists: DataFrame, percent: int) -> DataFrame:
-    """All pairs that meet in a list, lie in different components and can link.
+#: Ratio of the sizes at the ends of a size band.
+BAND = 1.05
+
+
+def _band(n) -> object:
+    return F.floor(F.log(n.cast("double")) / float(np.log(BAND))).cast("int")
+
 
-    Sets that link have their first common shingle, in the order of rarity, no further from the start than what they may lack allows.
+def _candidates(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components that meet in a list and can link, once for each list.
+
+    Sets that link have their first common shingle, in the order of rarity, no further from the start than what they may lack allows: an entry at place pos of a set of n serves only partners of
+    at most (n - pos) * (100 + percent) / percent - n shingles. So entries meet by shingle and size band: the smaller set (of equal ones, the first) waits in its own band, the larger one looks
+    into those bands whose sizes its entry still serves. Classes that share only what is frequent, as a template, meet in no band.
     """
-    x = lists.select("e", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("shared").alias("sa"), F.col("pos").alias("pa"))
-    y = lists.select("e", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("shared").alias("sb"), F.col("pos").alias("pb"))
-    least = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
-    near = (F.col("pa") <= F.col("na") - least) & (F.col("pb") <= F.col("nb") - least)
-    met = x.join(y, "e").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near & _possible(percent, F.col("na"), F.col("nb"), F.col("sa"), F.col("sb")))
-    return met.select("a", "b").distinct()
+    serves = F.floor(((F.col("n") - F.col("pos")) * (100 + percent)).cast("double") / percent).cast("long") - F.col("n")
+    usable = lists.withColumn("serves", serves)
+    x = usable.filter("serves >= n").select("e", _band(F.col("n")).alias("band"), F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("shared").alias("sa"), F.col("serves").alias("va"))
+    low, high = F.ceil(F.lit(percent) * F.col("n") / 100).cast("long"), F.least("n", "serves")
+    y = usable.filter(high >= low).select("e", F.explode(F.sequence(_band(low), _band(high))).alias("band"), F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("shared").alias("sb"), F.col("serves").alias("vb"))
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    return x.join(y, ["e", "band"]).filter(smaller & (F.col("ca") != F.col("cb")) & (F.col("nb") <= F.col("va")) & (F.col("na") <= F.col("vb")) & _possible(percent, F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"))).select("a", "b")
+
+
+def _all_across(lists: DataFrame, percent: int) -> DataFrame:
+    """All pairs that meet in a list, lie in different components and can link."""
+    return _candidates(lists, percent).distinct()
 
 
 def _with_component(lists: DataFrame, comp: DataFrame) -> DataFrame:
