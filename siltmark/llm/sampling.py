@@ -14,20 +14,30 @@ def hash_bound(n: int, most: int) -> int:
     return 2**63 - 1 if n <= most else -(2**63) + (most << 64) // n
 
 
-def by_class(rows: DataFrame, most: Callable[[object, float, int], int], sample_bytes: int, id_col: str, text_col: str, class_col: str, most_classes: int = 1000) -> pd.DataFrame:
+#: Characters of all sampled texts together, and the least of a row for which a sample is worth taking.
+MOST_CHARS, LEAST_CHARS = 1 << 26, 1 << 10
+
+
+def by_class(rows: DataFrame, most: Callable[[object, float, int], int], sample_bytes: int, id_col: str, text_col: str, class_col: str, most_chars: int = MOST_CHARS) -> pd.DataFrame:
     """(text, label) of about most(class, its share of the rows, number of classes) rows of each class at the driver, in a fixed order.
 
     Rows are chosen by a 64-bit hash of id and text among all rows with a label and a text that is not empty; of rows that are equal in both, one. Of a text of more than
-    sample_bytes characters, so many from a place that the hash decides. Beyond the `most_classes` largest classes, rows are not used.
+    sample_bytes characters, so many from a place that the hash decides, and fewer where all rows together would have more than `most_chars`. Every class is sampled: where that would leave
+    less than LEAST_CHARS characters of a row, or there are more classes than such rows, it is an error.
     """
     label, text = F.col(class_col).alias("label"), F.col(text_col).alias("text")
     known = rows.select(F.col(id_col).alias("id"), text, label).filter(F.col("label").isNotNull() & (F.octet_length("text") > 0))
-    counts = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most_classes).collect()
+    sizes = known.groupBy("label").count()
+    counts = sizes.orderBy(F.desc("count"), "label").limit(most_chars // LEAST_CHARS + 1).collect()
     if not counts:
         return pd.DataFrame({"text": [], "label": []})
     n = sum(r["count"] for r in counts)
-    bounds = rows.sparkSession.createDataFrame([(r["label"], hash_bound(r["count"], most(r["label"], r["count"] / n, len(counts)))) for r in counts], known.select("label", F.lit(0).cast("long").alias("bound")).schema)
+    wanted = {r["label"]: min(r["count"], most(r["label"], r["count"] / n, len(counts))) for r in counts}
+    per_row = min(sample_bytes, most_chars // max(1, sum(wanted.values())))
+    if per_row < min(sample_bytes, LEAST_CHARS):
+        raise ValueError(f"{sum(wanted.values())} rows of {len(counts)} classes or more do not fit {most_chars} characters")
+    bounds = rows.sparkSession.createDataFrame([(r["label"], hash_bound(r["count"], wanted[r["label"]])) for r in counts], known.select("label", F.lit(0).cast("long").alias("bound")).schema)
     chosen = known.withColumn("h", F.xxhash64("id", "text", F.lit(5))).join(F.broadcast(bounds), "label").filter(F.col("h") <= F.col("bound"))
-    spare = F.length("text") - sample_bytes
-    part = F.when(spare > 0, F.substring("text", F.pmod("h", spare + 1).cast("int") + 1, F.lit(sample_bytes))).otherwise(F.col("text"))
+    spare = F.length("text") - per_row
+    part = F.when(spare > 0, F.substring("text", F.pmod("h", spare + 1).cast("int") + 1, F.lit(per_row))).otherwise(F.col("text"))
     return chosen.select("id", "label", "h", part.alias("text")).dropDuplicates(["h"]).select("text", "label").toPandas().sort_values(["label", "text"], kind="stable", ignore_index=True)
