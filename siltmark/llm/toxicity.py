@@ -82,10 +82,9 @@ def inputs(p: Params, t: Texts) -> np.ndarray:
     return out
 
 
-def windows_of(first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of so many words, each overlapping the next by half: (text, first word, number of words). A text without words has none."""
+def windows_of(first: np.ndarray, window: int, step: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of so many words that begin at every step-th word, the last one reaching the text's end: (text, first word, number of words). A text without words has none."""
     n = np.diff(first)
-    step = window // 2
     counts = np.where(n > 0, 1 + np.maximum(0, -(-(n - window) // step)), 0)
     owner = np.repeat(np.arange(len(n)), counts)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -198,7 +197,8 @@ def fit(
 ) -> Model:
     """Fit on a bounded sample of rows (doc_id, text, toxic): about so many toxic and clean ones, of at most `sample_bytes` characters each.
 
-    Each round picks the most suspicious window of each text (for a clean one also a random one) and learns from those.
+    Each round picks the most suspicious window of each text (for a clean one also a random one) from those that overlap by half and learns from those; how suspicious a text has to be is set
+    by all its windows, as it is scored.
     """
     marked = rows.select("doc_id", "text", (F.col("toxic") == 1).cast("int").alias("toxic"))
     got = by_class(marked, lambda label, *_: toxic_rows if label else clean_rows, sample_bytes, "doc_id", "text", "toxic")
@@ -210,7 +210,7 @@ def fit(
     y = got["label"].to_numpy(np.float32)
     data, offsets = text_bytes(pa.array(got["text"], pa.string()))
     t = read(data, offsets)
-    owner, at, size = windows_of(t.first, window)
+    owner, at, size = windows_of(t.first, window, window // 2)
     if not len(owner) or y.min() == y.max():
         return Model(p, window, 0.0, -4.0 if not len(y) or y.max() == 0 else 4.0, 0.02)
     word_owner = np.repeat(np.arange(len(y)), np.diff(t.first))
@@ -237,7 +237,10 @@ def fit(
             k = pick[i : i + 128]
             _learn(p, opt, t, at[k], size[k], y[owner[k]], window, 1 - 0.9 * r / rounds)
         suspicion = window_logits(p, inputs(p, t), at, size, window)
-    best, yy = suspicion[worst(suspicion)].astype(float), y[texts].astype(float)
+    owner, at, size = windows_of(t.first, window)
+    best, yy = np.full(len(y), -np.inf), y[texts].astype(float)
+    np.maximum.at(best, owner, window_logits(p, inputs(p, t), at, size, window))
+    best = best[texts].astype(float)
     # one logistic unit turns a text's largest logit into a probability, clean texts weighing 7 to 3 as they are more frequent than in the sample
     weight = np.where(yy > 0, 0.3 / max(yy.sum(), 1), 0.7 / max((1 - yy).sum(), 1))
     slope, shift = 1.0, 0.0
@@ -252,7 +255,7 @@ def fit(
 
 
 def text_scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Probability of each text: that of its most suspicious window."""
+    """Probability of each text: that of its most suspicious window, of all that there are."""
     t = read(data, offsets)
     owner, at, size = windows_of(t.first, model.window)
     best = np.full(len(offsets) - 1, -np.inf)
@@ -264,7 +267,7 @@ def text_scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Score every whole text by all its overlapping windows.
+    """Score every whole text by all its overlapping windows, one from each word.
 
     A null text, or one without words, gets a fixed low score. Repeated rows are each returned; an empty table gives no rows; other columns play no part.
     """

@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from siltmark.llm import langid, quality, toxicity
+from siltmark.llm import jaccard, langid, quality, toxicity
 from siltmark.llm.common import text_bytes
 
 TEXTS = ["", "a", "The quick brown fox jumps over it. " * 7, "x" * 65, "é ü 中文 straße", "one two\tthree\n" * 40, "Stop it, you fool! " * 3]
@@ -53,9 +53,7 @@ def test_toxicity_scores_match_a_loop_over_windows():
         n = len(t.word)
         assert n == len(text.split())
         logits = []
-        for at in [*range(0, max(n - window, 0) + window // 2, window // 2)] if n else []:
-            if at and at - window // 2 + window >= n:
-                break
+        for at in range(max(n - window, 0) + 1) if n else []:
             cols = [x[:, k] if k < n else np.zeros(toxicity.INPUTS) for k in range(at, at + window)]
             ahead = gru([p["if"] @ c + p["bf"] for c in cols], p["uf"])
             back = gru([p["ib"] @ c + p["bb"] for c in reversed(cols)], p["ub"])[::-1]
@@ -91,3 +89,25 @@ def test_quality_features_and_tails_match_a_loop_over_texts():
         assert np.allclose(x[k], row, atol=1e-5), text
         z = row @ model.weights - model.cuts
         assert np.allclose(above[k], 1 / (1 + np.exp(-z)), atol=1e-5)
+
+
+def test_documents_that_share_a_frequent_template_make_few_candidates(spark):
+    template = " ".join(f"t{k}" for k in range(88))
+    rows = [(k, template + " " + " ".join(f"u{k}x{j}" for j in range(26))) for k in range(400)]
+    rows += [(1000 + k, " ".join(f"n{k // 2}y{j}" for j in range(60)) + f" end{k}") for k in range(40)]  # pairs that do link
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    whole = jaccard._candidates
+
+    def counted(lists, percent):
+        out = whole(lists, percent)
+        seen.append(out.count())
+        return out
+
+    jaccard._candidates = counted
+    try:
+        got = {r.doc_id: r.component_id for r in jaccard.join(docs, rounds=()).collect()}
+    finally:
+        jaccard._candidates = whole
+    assert all(got[k] == k for k in range(400)) and all(got[1000 + k] == 1000 + k - k % 2 for k in range(40))
+    assert seen and sum(seen) < 20 * len(rows)
