@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import documents
 from ..functions import scoring as S
-from ..operators import config, search
+from ..operators import config, metrics, search
 from ..operators.findings import SYNONYMS
 from ..operators.scanners import clones
 from ..operators.scanners.deps import runtime_names
-from ..session import checkpointed, table
+from ..session import checkpointed, shared_folder, table
 from ..sources import locks
 from . import views as V
 from .named import register
@@ -152,3 +155,41 @@ def issue_search_many(spark: SparkSession, d: str) -> DataFrame:
     word = F.substr("p_name", (F.col("p_partkey") % 3 + 1).cast("int"), F.lit(5))
     queries = p.select(F.concat(F.substr("p_type", F.lit(1), F.lit(4)), F.lit(" "), word, F.when(F.col("p_partkey") % 5 == 0, " secret").otherwise("")).alias("query"))
     return search.search_all(search.build(rows, ("id",)), queries).select("query", "id", F.col("relevance").cast("long").alias("relevance"))
+
+
+_BY_NATION = f"""f AS (SELECT * REPLACE (repo_id % 25 AS repo_id), row_number() OVER (PARTITION BY repo_id % 25 ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, age_days DESC, ord, id) AS position FROM ({V.FINDINGS}))"""
+
+
+def _by_nation(spark: SparkSession, d: str) -> DataFrame:
+    """All findings, of 25 repositories."""
+    return V.findings(spark, d).withColumn("repo_id", (F.col("repo_id") % 25)).withColumn("evidence", F.lit(None).cast("string"))
+
+
+@_query(
+    f"""WITH {_BY_NATION}, r AS (SELECT repo_id, category, row_number() OVER (PARTITION BY repo_id ORDER BY min(position)) - 1 AS rule FROM f GROUP BY repo_id, category)
+    SELECT f.repo_id::VARCHAR || '.sarif' AS name, position - 1 AS nth, f.category AS rule_id, r.rule AS rule_index, CASE severity WHEN 'critical' THEN 'error' WHEN 'warning' THEN 'warning' ELSE 'note' END AS level, path AS uri, id AS finding_id FROM f JOIN r ON r.repo_id = f.repo_id AND r.category = f.category"""
+)
+def report_documents(spark: SparkSession, d: str) -> DataFrame:
+    """SARIF documents of 25 repositories, written as files, read again as JSON and taken apart into their results."""
+    f = _by_nation(spark, d)
+    folder = f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}"
+    documents.write_documents(documents.sarif_documents(f.select("repo_id").distinct(), f), folder)
+    shape = "struct<runs:array<struct<tool:struct<driver:struct<rules:array<struct<id:string>>>>,results:array<struct<ruleId:string,ruleIndex:bigint,level:string,partialFingerprints:struct<findingId:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>>>>>>>>>"
+    read = spark.read.text(f"{folder}/*.sarif", wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.from_json("value", shape)["runs"][0].alias("run"))
+    each = read.select("name", F.col("run.tool.driver.rules").alias("rules"), F.posexplode("run.results").alias("nth", "r"))
+    return each.select(
+        "name", F.col("nth").cast("long").alias("nth"), F.get("rules", F.col("r.ruleIndex").cast("int"))["id"].alias("rule_id"), F.col("r.ruleIndex").alias("rule_index"), F.col("r.level").alias("level"),
+        F.col("r.locations")[0]["physicalLocation"]["artifactLocation"]["uri"].alias("uri"), F.col("r.partialFingerprints.findingId").alias("finding_id"),
+    )
+
+
+@_query(
+    f"""WITH {_BY_NATION}, c AS (SELECT repo_id, count(*) AS n, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info FROM f GROUP BY 1),
+    t AS (SELECT repo_id, string_agg('| ' || severity || ' | finding in part ' || (split_part(split_part(path, '/f', 2), '.', 1)::BIGINT % 1000) || ' | `' || path || ':' || ord || '` |', chr(10) ORDER BY position) AS rows FROM f WHERE position <= 10 GROUP BY 1)
+    SELECT repo_id, '<!-- siltmark-report -->' || chr(10) || '### Grade **F** (0 of 100)' || chr(10) || chr(10) || '**' || n || '** findings: ' || critical || ' critical · ' || warning || ' warning · ' || info || ' info' || chr(10) || chr(10)
+      || '| Severity | Finding | Location |' || chr(10) || '| --- | --- | --- |' || chr(10) || rows || CASE WHEN n > 10 THEN chr(10) || chr(10) || 'and ' || (n - 10) || ' more' ELSE '' END AS body FROM c JOIN t USING (repo_id)"""
+)
+def comment_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """The whole comment of each of 25 repositories; each has so many findings that its grade is the lowest."""
+    f = _by_nation(spark, d)
+    return documents.comments(metrics.repo_scores(f), f).select("repo_id", "body")
