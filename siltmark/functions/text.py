@@ -140,3 +140,32 @@ def compact_count(n: Column) -> Column:
         return F.concat(F.when(x < 10, tenth).otherwise(F.floor(x + 0.5).cast("string")), F.lit(unit))
 
     return F.when(n < 1000, n.cast("string")).when(n < 1_000_000, short(n / 1000, "k")).otherwise(short(n / 1_000_000, "M"))
+
+
+# Shapes of ids.
+UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+LOGIN = r"^[a-zA-Z0-9](?:[a-zA-Z0-9]|-(?=[a-zA-Z0-9])){0,38}$"
+FULL_SHA = r"(?i)^[0-9a-f]{40}$"
+OPT_OUT, ANONYMOUS = "opt-out", "anonymous"
+
+
+def fits(value: Column, shape: str) -> Column:
+    """Whether a value has a shape (UUID, LOGIN, FULL_SHA); false for null."""
+    return F.coalesce(value.rlike(shape), F.lit(False))
+
+
+def visitor(header: Column) -> Column:
+    """The id to record for a request: a UUID in lower case, null for one that opted out, else `anonymous`; nothing else of what was sent is kept."""
+    raw = F.trim(F.coalesce(header, F.lit("")))
+    return F.when(raw == OPT_OUT, None).when(fits(raw, UUID), F.lower(raw)).otherwise(ANONYMOUS)
+
+
+def djb2(text: Column) -> Column:
+    """A 32-bit hash of a text's UTF-16 units, h = 33 h + unit from 5381, as a number from 0; null for null. For fingerprints that others compare, not for keys."""
+    units = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(.{4})"), 1), lambda x: F.conv(x, 16, 10).cast("long"))
+    return F.when(text.isNotNull(), F.aggregate(units, F.lit(5381).cast("long"), lambda h, c: (h * 33 + c).bitwiseAND(F.lit(0xFFFFFFFF))))
+
+
+def fingerprint(ids: Column) -> Column:
+    """djb2 of an array of ids, sorted and joined, in base 36."""
+    return F.lower(F.conv(djb2(F.array_join(F.sort_array(ids), "")).cast("string"), 10, 36))

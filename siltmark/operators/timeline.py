@@ -191,6 +191,29 @@ def due_watches(watches: DataFrame, as_of, limit: int, hours: int = 24) -> DataF
     return watches.filter(old).orderBy(F.asc_nulls_first("last_checked_ts"), "id").limit(limit)
 
 
+#: Hours between scans of a repository at least, and where none or another time of day is set.
+LEAST_HOURS, HOURS, DAILY = 0.25, 24.0, "03:00"
+
+
+def due_repos(repos: DataFrame, settings: DataFrame, as_of) -> DataFrame:
+    """Repositories (owner, url, scanned_ts, ...) to scan again, with place from 1 in each owner's order, the longest ago first.
+
+    settings: (owner, enabled, mode, interval_hours, daily_time), at most one row of an owner. By interval, a scan is due so many hours after the last; daily, once the time of day has passed (in the
+    session's time zone) and there was no scan since. Repositories without an address are never due, nor are those of an owner without settings; one without a scan counts as scanned in 1970.
+    """
+    own = settings.select(
+        "owner", F.coalesce("enabled", F.lit(False)).alias("_on"), F.when(F.col("mode") == "daily", "daily").otherwise("interval").alias("_mode"), F.when(F.col("interval_hours") >= LEAST_HOURS, F.col("interval_hours")).otherwise(HOURS).alias("_hours"),
+        F.when(F.coalesce(F.col("daily_time").rlike(r"^([01]\d|2[0-3]):[0-5]\d$"), F.lit(False)), F.col("daily_time")).otherwise(DAILY).alias("_time"),
+    )
+    now = F.lit(as_of).cast("timestamp")
+    last = F.coalesce("scanned_ts", F.timestamp_seconds(F.lit(0)))
+    target = F.to_timestamp(F.concat_ws(" ", F.date_format(now, "yyyy-MM-dd"), "_time"), "yyyy-MM-dd HH:mm")
+    waited = (F.unix_micros(now) - F.unix_micros(last)) >= F.col("_hours") * 3_600_000_000
+    due = F.col("_on") & (F.coalesce("url", F.lit("")) != "") & F.when(F.col("_mode") == "daily", (now >= target) & (last < target)).otherwise(waited)
+    place = F.row_number().over(Window.partitionBy("owner").orderBy(last, "url"))
+    return repos.join(own, "owner").filter(due).withColumn("place", place).select(*repos.columns, "place")
+
+
 def rate_limited(events: DataFrame, client: str = "client", at: str = "event_ts", most: int = 30, seconds: int = 3600) -> DataFrame:
     """Events with how many of their client fall in the window that ends with them, and whether that is too many."""
     w = Window.partitionBy(client).orderBy(F.col(at).cast("timestamp").cast("long")).rangeBetween(-seconds + 1, 0)

@@ -591,8 +591,8 @@ def rule_duplicate_code(spark: SparkSession, d: str) -> DataFrame:
     return RULES["duplicate-code"](_documents(spark, d))
 
 
-from . import repos, rules, streams  # noqa: E402
+from . import people, repos, rules, streams  # noqa: E402
 
-for _more in (repos, rules, streams):
+for _more in (people, repos, rules, streams):
     QUERIES.update(_more.QUERIES)
     SQL.update(_more.SQL)

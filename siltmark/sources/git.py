@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +79,37 @@ def history_additions(patches: DataFrame, most_lines: int | None = 100_000, most
     return added.select("repo_id", "commit", "commit_ts", "path", F.expr("substring(raw, 2)").alias("text"))
 
 
+def find_repositories(spark: SparkSession, root: str, only: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """(folder, origin, branch, head) of the repositories right below a folder: those with a .git folder that has a HEAD; of those named in `only` (all if it is empty), the first `limit` by name.
+
+    branch is main where HEAD names none; head is the commit that HEAD or its branch names, loose or packed, or null; origin is the address to push to or else to fetch from, or null.
+    """
+    def read(glob: str, column: str) -> DataFrame:
+        try:
+            raw = spark.read.text(f"{root.rstrip('/')}/*/.git/{glob}", wholetext=True, recursiveFileLookup=True)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], f"folder string, ref string, {column} string")
+        path = F.col("_metadata.file_path")
+        return raw.select(F.url_decode(F.regexp_extract(path, r"/([^/]+)/\.git/", 1)).alias("folder"), F.url_decode(F.regexp_extract(path, r"/\.git/(.*)$", 1)).alias("ref"), F.col("value").alias(column))
+
+    heads = read("HEAD", "text").select("folder", F.trim(F.regexp_replace("text", r"\s+$", "")).alias("_head"))
+    names = [n for n in (x.strip() for x in only or []) if n]
+    heads = heads.filter(F.col("folder").isin(*names)) if names else heads
+    heads = heads if limit is None or limit <= 0 else heads.orderBy("folder").limit(limit)
+    ref = F.nullif(F.regexp_extract("_head", r"^ref:\s*(\S+)$", 1), F.lit(""))
+    config = read("config", "text").select("folder", F.regexp_extract("text", r'(?ms)^\[remote "origin"\]\s*$(.*?)(?=^\[|\Z)', 1).alias("_c"))
+    address = lambda key: F.nullif(F.regexp_extract("_c", rf"(?m)^\s*{key}\s*=\s*(\S+)", 1), F.lit(""))
+    origins = config.select("folder", F.coalesce(address("pushurl"), address("url")).alias("origin"))
+    loose = read("refs/heads", "sha").select("folder", F.col("ref").alias("_ref"), F.trim(F.regexp_replace("sha", r"\s+$", "")).alias("_loose"))
+    packed = read("packed-refs", "text").select("folder", F.explode(F.split("text", "\n")).alias("l")).select("folder", F.regexp_extract("l", r"^[0-9a-f]{40} (\S+)$", 1).alias("_ref"), F.regexp_extract("l", r"^([0-9a-f]{40}) ", 1).alias("_packed")).filter("_ref <> ''")
+    out = heads.withColumn("_ref", ref).join(origins, "folder", "left").join(loose, ["folder", "_ref"], "left").join(packed, ["folder", "_ref"], "left")
+    direct = F.when(F.col("_head").rlike("^[0-9a-f]{40}$"), F.col("_head"))
+    branch = F.coalesce(F.nullif(F.regexp_extract(F.coalesce("_ref", F.lit("")), r"^refs/heads/(.+)$", 1), F.lit("")), F.lit("main"))
+    return out.select("folder", "origin", branch.alias("branch"), F.coalesce("_loose", "_packed", direct).alias("head"))
+
+
 def repo_names(remotes: DataFrame) -> DataFrame:
     """(repo_id, owner, name) from (repo_id, origin, folder): of the address, else local/<folder>."""
     at = r"[:/]([^/:]+)/([^/]+?)(?:\.git)?/?$"
