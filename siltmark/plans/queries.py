@@ -163,7 +163,14 @@ def dir_rollup(spark: SparkSession, d: str) -> DataFrame:
     return _long(M.tree_nodes(_as_repo(spark, d, "category")), "depth")
 
 
-@query()
+@query(
+    f"""{_F}, f AS (SELECT repo_id % 1000 AS repo_id, path, regexp_extract(path, '^(src/d[0-9]+)/', 1) AS folder, severity FROM findings),
+    n AS (SELECT repo_id, 'src' AS node, 'dir' AS kind, 1 AS depth, severity FROM f UNION ALL SELECT repo_id, folder, 'dir', 2, severity FROM f UNION ALL SELECT repo_id, path, 'file', 3, severity FROM f),
+    lone AS (SELECT repo_id FROM f GROUP BY 1 HAVING count(DISTINCT folder) = 1),
+    g AS (SELECT repo_id, node, kind, depth, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info, count(*) AS findings, sum({_WEIGHT}) AS weight FROM n GROUP BY 1, 2, 3, 4)
+    SELECT g.*, CASE WHEN critical > 0 THEN 'critical' WHEN warning > 0 THEN 'warning' ELSE 'info' END AS worst,
+      CASE WHEN depth = 2 AND repo_id IN (SELECT repo_id FROM lone) OR depth = 1 THEN node ELSE regexp_extract(node, '([^/]*)$', 1) END AS label FROM g WHERE NOT (depth = 1 AND repo_id IN (SELECT repo_id FROM lone))"""
+)
 def dir_rollup_compressed(spark: SparkSession, d: str) -> DataFrame:
     return M.compressed_tree(M.tree_nodes(_as_repo(spark, d, "1000")))
 
