@@ -16,9 +16,13 @@ _PARTS = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*(?:\"|$)|'(?
 _REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[A-Za-z]*")
 
 
-def looks_generated(path: str, content: str) -> bool:
-    """Bundled or minified output, which is not worth reading."""
-    return bool(re.search(r"\.min\.|\.bundle\.", path)) or len(content.encode()) > 512 * 1024 or len(content) / (content.count("\n") + 1) > 200
+#: Bytes beyond which a file is taken for output.
+MOST_BYTES = 512 * 1024
+
+
+def looks_generated(path: str, content: str, most_bytes: int | None = MOST_BYTES) -> bool:
+    """Bundled or minified output, which is not worth reading: by its name, its size (None: any) or its long lines."""
+    return bool(re.search(r"\.min\.|\.bundle\.", path)) or (most_bytes is not None and len(content.encode()) > most_bytes) or len(content) / (content.count("\n") + 1) > 200
 
 
 def split_code(code: str) -> list[tuple[str, str, int]]:
@@ -59,14 +63,14 @@ def with_calls(tokens: list[tuple[str, str, int]]) -> list[tuple[str, str, int]]
     return out
 
 
-def tokens(files: DataFrame) -> DataFrame:
+def tokens(files: DataFrame, most_bytes: int | None = MOST_BYTES) -> DataFrame:
     """(repo_id, path, file_ord, pos, kind, text, line) of files with content; generated files give none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for repo, path, order, content in zip(f.repo_id, f.path, f.file_ord, f.content, strict=True):
-                if content and not looks_generated(path, content):
+                if content and not looks_generated(path, content, most_bytes):
                     rows.extend((repo, path, order, k, kind, text, line) for k, (kind, text, line) in enumerate(with_calls(split_code(content))))
             yield pd.DataFrame(rows, columns=["repo_id", "path", "file_ord", "pos", "kind", "text", "line"])
 

@@ -102,8 +102,9 @@ LICENCE_TEXTS = (
 )
 
 
-def licence_of_text(text: Column) -> Column:
-    head, out = F.substring(text, 1, 4000), F.lit(None).cast("string")
+def licence_of_text(text: Column, most: int | None = 4000) -> Column:
+    """The licence that a text is recognised as, by so many of its first characters (None: all)."""
+    head, out = text if most is None else F.substring(text, 1, most), F.lit(None).cast("string")
     for pattern, name in reversed(LICENCE_TEXTS):
         out = F.when(head.rlike(pattern), name).otherwise(out)
     return out

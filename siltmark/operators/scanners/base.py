@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions.lexer import tokens
@@ -23,6 +23,14 @@ SQL_VERBS = ["select", "insert", "update", "delete", "drop"]
 # Folders that hold samples rather than the project itself.
 SAMPLES = "__fixtures__|fixtures|fixture|__tests__|__mocks__|test|tests|e2e|spec|testdata|playground|playgrounds|sandbox|example|examples|template|templates|node_modules"
 
+# How many findings of a repository and of a file a rule reports, how much it looks up, and how much it reads.
+LIMITS: dict[str, dict[str, int]] = {
+    "leftover-debug": {"findings": 50, "per_file": 8}, "insecure-code": {"findings": 60, "per_file": 6, "bytes": 400_000}, "skipped-tests": {"findings": 60, "per_file": 10}, "commented-code": {"findings": 40, "per_file": 5},
+    "dead-code": {"findings": 40}, "outdated-deps": {"lookups": 100}, "license-risk": {"findings": 25, "names": 300, "lookups": 60, "characters": 4000}, "supply-chain": {"findings": 20}, "broken-doc-links": {"findings": 50},
+    "dead-links": {"findings": 40, "lookups": 60}, "dockerfile": {"findings": 40}, "docs-drift": {"findings": 25}, "eol-runtime": {"findings": 30}, "bus-factor": {"findings": 30}, "repo-bloat": {"findings": 30}, "config-conflict": {"findings": 25},
+    "workflow-security": {"findings": 40}, "ci-health": {"findings": 20}, "duplicate-code": {"findings": 15}, "javascript": {"bytes": 512 * 1024},
+}
+
 
 @dataclass
 class Snapshot:
@@ -32,6 +40,8 @@ class Snapshot:
     ownership: (repo_id, path, authors, age_days); history: (repo_id, commit, commit_ts, path, text); registry: (ecosystem, name, latest, deprecated,
     published, downloads, unpacked_size, license); advisories: (ecosystem, name, version, vuln_id, summary, label, alias, fixed); url_status: (url, status), a null status
     being an address that cannot be reached.
+
+    limits: by rule, other limits than those of LIMITS; None for one of them: none, and None for all of it: none for any rule.
     """
 
     files: DataFrame
@@ -45,6 +55,19 @@ class Snapshot:
     advisories: DataFrame | None = None
     url_status: DataFrame | None = None
     options: dict = field(default_factory=dict)
+    limits: dict[str, dict[str, int | None]] | None = field(default_factory=dict)
+
+    def most(self, rule: str, what: str = "findings") -> int | None:
+        """A limit of a rule; None: there is none."""
+        return None if self.limits is None else self.limits.get(rule, {}).get(what, LIMITS.get(rule, {}).get(what))
+
+    def first(self, rows: DataFrame, rule: str, what: str, *order: str) -> DataFrame:
+        """As many rows of each repository, in an order, as a rule's limit allows."""
+        most = self.most(rule, what)
+        if most is None:
+            return rows
+        nth = F.row_number().over(Window.partitionBy("repo_id").orderBy(*order))
+        return rows.withColumn("_first", nth).filter(F.col("_first") <= most).drop("_first")
 
     @cached_property
     def tree(self) -> DataFrame:
@@ -55,7 +78,7 @@ class Snapshot:
     @cached_property
     def tokens(self) -> DataFrame:
         """Tokens of all JavaScript and TypeScript files: read once and written to the session's checkpoint folder, whichever rules use them."""
-        return checkpointed(tokens(self.matching(JS)))
+        return checkpointed(tokens(self.matching(JS), self.most("javascript", "bytes")))
 
     @cached_property
     def workflow_nodes(self) -> DataFrame:

@@ -123,11 +123,10 @@ def blocks(lines: DataFrame, size: int = WINDOW, least_chars: int = LEAST_CHARS,
     return kept, members.join(kept.select("repo_id", "key"), ["repo_id", "key"])
 
 
-def duplicate_code(s: Snapshot, most_files: int | None = None, most: int | None = 15) -> DataFrame:
+def duplicate_code(s: Snapshot, most_files: int | None = None) -> DataFrame:
     """Pasted blocks of code, at their first place, largest first, with how many places they have and where the next four are.
 
-    All files are read, but for those of a single line of over 2000 characters and of repositories with one file; most_files keeps only the first ones of each repository, and `most` blocks are
-    reported of each (None: all).
+    All files are read, but for those of a single line of over 2000 characters and of repositories with one file; most_files keeps only the first ones of each repository.
     """
     files = s.matching(".").filter(written_code(F.col("path")))
     if most_files is not None:
@@ -150,4 +149,4 @@ def duplicate_code(s: Snapshot, most_files: int | None = None, most: int | None
         place, "duplicate-code", "hygiene", id=F.concat(F.lit("duplicate-"), at()), severity=sev, title=text("{lines} lines are in {places} places"), location=at(),
         detail=F.concat(F.lit("The block is also at "), F.col("others"), more, F.lit(".")), evidence=F.substring("text", 1, 160), ord=F.col("rank"),
     )
-    return out if most is None else cap(out, most)
+    return cap(out, s.most("duplicate-code"))

@@ -109,11 +109,12 @@ def leftover_debug(s: Snapshot) -> DataFrame:
     rules = [(lang, _called(lang, names), sev, label) for lang, rs in DEBUG.items() for label, sev, names in rs]
     hits = _worst_of_line(_first_match(s.lines(ours.filter("lang <> 'js'")), rules))
     b = found(hits, "leftover-debug", "hygiene", id=F.concat(F.lit("debug-"), at()), severity=F.col("severity"), title=text("Leftover {label} in source"), location=at(), detail=text("A {label} is committed in source."), evidence=F.substring(F.trim("text"), 1, 120))
-    return cap(a.unionByName(b), 50, 8)
+    return cap(a.unionByName(b), s.most("leftover-debug"), s.most("leftover-debug", "per_file"))
 
 
-def insecure_code(s: Snapshot, most_bytes: int | None = 400_000, most: int | None = 60, per_file: int | None = 6) -> DataFrame:
-    """Risky calls, the worst of each line; not in comments nor, for JavaScript, inside strings or patterns. Tests count one step lower. Larger files than most_bytes are left out; None: none are."""
+def insecure_code(s: Snapshot) -> DataFrame:
+    """Risky calls, the worst of each line; not in comments nor, for JavaScript, inside strings or patterns. Tests count one step lower. Larger files than the limit are left out."""
+    most_bytes = s.most("insecure-code", "bytes")
     small = F.lit(True) if most_bytes is None else F.coalesce("size", F.lit(0)) <= most_bytes
     ours = s.tree.filter(~F.col("path").rlike(VENDOR) & small & (F.length("content") > 0)).withColumn("lang", language(F.col("path"))).filter("lang in ('js', 'py')")
     raw = s.lines(ours).select("repo_id", "path", "file_ord", "line", "text", "lang")
@@ -126,7 +127,7 @@ def insecure_code(s: Snapshot, most_bytes: int | None = 400_000, most: int | Non
     sev = F.when(~F.col("test"), F.col("severity")).when(F.col("severity") == "critical", "warning").otherwise("info")
     title = F.create_map(*(F.lit(x) for r in JS_RISKS + PY_RISKS for x in (r[0], r[3])))[F.col("label")]
     out = found(s.aged(hits), "insecure-code", "security", id=F.concat(F.lit("insecure-"), F.col("label"), F.lit("-"), at()), severity=sev, title=title, location=at(), detail=title, evidence=F.substring(F.trim("text"), 1, 160))
-    return cap(out, most, per_file)
+    return cap(out, s.most("insecure-code"), s.most("insecure-code", "per_file"))
 
 
 # Tests that are switched off, by language: calls (or decorators), severity, label; the first that fits a line counts.
@@ -153,7 +154,7 @@ def skipped_tests(s: Snapshot) -> DataFrame:
     first = Window.partitionBy("repo_id", "path", "line").orderBy("rule", "text")
     hits = hits.withColumn("_r", F.row_number().over(first)).filter("_r = 1")
     out = found(hits, "skipped-tests", "hygiene", id=F.concat(F.lit("skiptest-"), at()), severity=F.col("severity"), title=text("Disabled coverage: {label}"), location=at(), detail=text("A {label} is committed."), evidence=F.substring(F.trim("text"), 1, 120))
-    return cap(out, 60, 10)
+    return cap(out, s.most("skipped-tests"), s.most("skipped-tests", "per_file"))
 
 
 def commented_code(s: Snapshot) -> DataFrame:
@@ -169,7 +170,7 @@ def commented_code(s: Snapshot) -> DataFrame:
     island = F.col("line") - F.row_number().over(Window.partitionBy("repo_id", "path").orderBy("line"))
     runs = code.withColumn("island", island).groupBy("repo_id", "path", "file_ord", "island").agg(F.min("line").alias("line"), F.count("*").alias("n"), F.min_by("text", "line").alias("text")).filter("n >= 3")
     out = found(runs, "commented-code", "hygiene", id=F.concat(F.lit("commented-"), at()), severity="info", title=text("Commented-out code block ({n} lines)"), location=at(), detail=text("{n} lines of commented-out code start here."), evidence=F.substring(F.trim("text"), 1, 120))
-    return cap(out, 40, 5)
+    return cap(out, s.most("commented-code"), s.most("commented-code", "per_file"))
 
 
 MARKER = r"^[\s*>!-]*(TODO|FIXME|HACK|XXX)\b:?\s*(.*)$"

@@ -71,4 +71,4 @@ def _symbols(s: Snapshot) -> DataFrame:
     dead = defs.join(often, ["repo_id", "lang", "name"], "left_anti").join(listed, ["repo_id", "lang", "name"], "left_anti")
     kind = F.when(F.col("text").rlike(r"^class\b"), "class").otherwise("function")
     out = found(dead, "dead-code", "dead-code", id=F.concat(F.lit("dead-symbol-"), at()), severity="info", title=F.concat(F.lit("Unused "), kind, F.lit(" "), F.col("name")), location=at(), detail=text("The name {name} occurs once."), evidence=F.substring(F.trim("text"), 1, 140))
-    return cap(out, 40)
+    return cap(out, s.most("dead-code"))

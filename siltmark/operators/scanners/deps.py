@@ -64,7 +64,7 @@ def outdated_deps(s: Snapshot) -> DataFrame | None:
     if s.registry is None:
         return None
     deps = manifest_deps(s.tree, direct=True)
-    deps = deps.withColumn("n", F.row_number().over(Window.partitionBy("repo_id").orderBy("ord"))).filter("n <= 100")
+    deps = s.first(deps, "outdated-deps", "lookups", "ord")
     reg = s.registry.select("ecosystem", "name", F.regexp_replace("latest", "^v", "").alias("latest"), "published")
     known = deps.join(reg, ["ecosystem", "name"]).withColumn("gap", F.datediff(F.lit(s.as_of), "published")).withColumn("key", F.regexp_replace(F.lower("ecosystem"), r"crates\.io", "crates"))
     years = F.floor(F.col("gap") / YEAR).cast("string")
@@ -137,10 +137,10 @@ def declared_licence(json: str) -> Column:
 def license_risk(s: Snapshot) -> DataFrame:
     """Dependencies whose licence asks more than the project's own gives."""
     pkg = s.tree.filter("path = 'package.json'").select("repo_id", declared_licence("content").alias("own"))
-    file = s.tree.filter(F.col("path").rlike(r"(?i)^licen[sc]e(\.(md|txt))?$")).groupBy("repo_id").agg(F.min_by("content", "file_ord").alias("body")).select("repo_id", licence_of_text(F.col("body")).alias("of_file"))
+    file = s.tree.filter(F.col("path").rlike(r"(?i)^licen[sc]e(\.(md|txt))?$")).groupBy("repo_id").agg(F.min_by("content", "file_ord").alias("body")).select("repo_id", licence_of_text(F.col("body"), s.most("license-risk", "characters")).alias("of_file"))
     project = pkg.join(file, "repo_id", "left").select("repo_id", licence_class(F.coalesce("own", "of_file")).alias("project"))
     names = npm_names(s).filter("field in ('dependencies', 'devDependencies')").groupBy("repo_id", "name").agg(F.bool_or(F.col("field") == "dependencies").alias("shipped"), F.min(F.struct(F.col("field") != "dependencies", "pos")).alias("o"))
-    names = names.withColumn("n", F.row_number().over(Window.partitionBy("repo_id").orderBy("o"))).filter("n <= 300")
+    names = s.first(names.withColumn("n", F.row_number().over(Window.partitionBy("repo_id").orderBy("o"))), "license-risk", "names", "o")
     copy = s.tree.filter(F.col("path").rlike(r"^node_modules/(@[^/]+/)?[^/]+/package\.json$") & F.json_object_keys("content").isNotNull()).select("repo_id", F.regexp_extract("path", r"^node_modules/(.*)/package\.json$", 1).alias("name"), declared_licence("content").alias("copied"), F.lit(True).alias("there"))
     deps = names.join(copy, ["repo_id", "name"], "left")
     if s.registry is not None:
@@ -148,7 +148,7 @@ def license_risk(s: Snapshot) -> DataFrame:
     else:
         deps = deps.withColumn("listed", F.lit(None).cast("string"))
     asked = F.row_number().over(Window.partitionBy("repo_id", F.coalesce("there", F.lit(False))).orderBy("n"))
-    deps = deps.withColumn("asked", asked).withColumn("license", F.when(F.col("there"), F.col("copied")).otherwise(F.col("listed"))).filter("there or (listed is not null and asked <= 60)")
+    deps = deps.withColumn("asked", asked).withColumn("license", F.when(F.col("there"), F.col("copied")).otherwise(F.col("listed"))).filter(F.col("there") | (F.col("listed").isNotNull() & (F.lit(True) if s.most("license-risk", "lookups") is None else F.col("asked") <= s.most("license-risk", "lookups"))))
     deps = deps.join(project, "repo_id").withColumn("class", licence_class(F.col("license")))
     ours = F.col("project").isin("strong-copyleft", "network-copyleft", "weak-copyleft")
     c, shipped = F.col("class"), F.col("shipped")
@@ -157,7 +157,7 @@ def license_risk(s: Snapshot) -> DataFrame:
     bad = deps.withColumn("kind", kind).filter("kind is not null")
     says = F.create_map(*(F.lit(x) for kv in VERDICTS.items() for x in kv))[F.col("kind")]
     out = found(bad, "license-risk", "dependency", id=text("license-{kind}-{name}"), severity=sev, title=F.concat(F.col("name"), F.lit(": "), says, F.lit(" ("), F.coalesce("license", F.lit("none")), F.lit(")")), location=F.lit("package.json"), detail=text("{name} is {class}; the project is {project}."), evidence=F.concat(F.col("name"), F.lit(": "), F.coalesce("license", F.lit("(no license field)"))), ord=F.col("n"))
-    return cap(out, 25)
+    return cap(out, s.most("license-risk"))
 
 
 LIFECYCLE = ("preinstall", "install", "postinstall", "prepare", "prepublish", "prepublishOnly")
@@ -179,7 +179,7 @@ def supply_chain(s: Snapshot) -> DataFrame:
     rows = F.concat(*(entries(F.coalesce(f, F.create_map().cast("map<string,string>")), f) for f in fields))
     dep = pkg.select("repo_id", "path", "file_ord", F.explode(rows).alias("d")).select("repo_id", "path", "file_ord", "d.*").filter(F.col("version").rlike(r"(?i)^(git\+)?http://"))
     b = found(dep, "supply-chain", "security", id=text("supply-dep-git-http-{path}-{field}-{name}"), severity="warning", title=text("Dependency \"{name}\" installed over cleartext HTTP"), location=text("{path}#{field}.{name}"), detail="Anyone on the way can change it.", evidence=F.substring("version", 1, 160))
-    return cap(a.unionByName(b), 20)
+    return cap(a.unionByName(b), s.most("supply-chain"))
 
 
 __all__ = ["dependency_funeral", "fixed_version", "license_risk", "module_specs", "outdated_deps", "supply_chain", "vulnerable_deps"]

@@ -64,7 +64,7 @@ def bus_factor(s: Snapshot) -> DataFrame | None:
     own = s.ownership.withColumn("path", F.regexp_replace("path", r"\\", "/")).filter((F.col("authors") == 1) & (F.col("age_days") >= YEAR) & F.col("path").rlike(SOURCE))
     own = own.join(s.tree.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
     out = found(own, "bus-factor", "hygiene", id=text("busfactor-{path}"), severity="info", title=F.concat(F.lit("Single-author file untouched for "), human_age(F.col("age_days"), 1)), location=F.col("path"), detail=text("Only one person has ever changed {path}."), ord=-F.col("age_days"))
-    return cap(out, 30)
+    return cap(out, s.most("bus-factor"))
 
 
 def repo_bloat(s: Snapshot) -> DataFrame:
@@ -77,7 +77,7 @@ def repo_bloat(s: Snapshot) -> DataFrame:
     what = F.when(F.col("kind") == "artifact", "Binary artifact committed: ").when(F.col("kind") == "large", "Large file committed: ").otherwise("Heavy media asset: ")
     title = F.concat(what, F.col("path"), F.when(F.col("size").isNotNull(), F.concat(F.lit(" ("), human, F.lit(")"))).otherwise(""))
     out = found(big, "repo-bloat", "hygiene", id=text("bloat-{path}"), severity=F.when(F.col("kind") == "media", "info").otherwise("warning"), title=title, location=F.col("path"), detail=text("{path} makes every clone larger."), ord=-F.coalesce(F.col("size"), F.lit(-1)))
-    return cap(out, 30)
+    return cap(out, s.most("repo-bloat"))
 
 
 # Manifests, whether they declare dependencies, and their lockfiles.
@@ -162,7 +162,7 @@ def config_conflicts(s: Snapshot) -> DataFrame:
     rows.append(ci.select("repo_id", "dir", F.lit("ci").alias("kind"), F.lit("info").alias("severity"), F.concat(provider, F.lit(" configuration beside Actions")).alias("title"), "path", F.lit(6).alias("k")))
     all_ = reduce(DataFrame.unionByName, rows)
     place = F.when(F.col("dir") == "", "root").otherwise(F.col("dir"))
-    out = cap(found(all_, "config-conflict", "hygiene", id=F.concat(F.lit("config-conflict-"), F.col("kind"), F.lit("-"), place), severity=F.col("severity"), title=F.col("title"), location=F.col("path"), detail=F.col("title"), ord=F.col("k")), 25)
+    out = cap(found(all_, "config-conflict", "hygiene", id=F.concat(F.lit("config-conflict-"), F.col("kind"), F.lit("-"), place), severity=F.col("severity"), title=F.col("title"), location=F.col("path"), detail=F.col("title"), ord=F.col("k")), s.most("config-conflict"))
     ages = s.aged(out.withColumn("_p", F.regexp_replace("location", r":\d+$", "")).withColumn("_l", F.lit(1)), "_p", "_l").drop("_p", "_l")
     return ages.filter((F.col("ord") != 6) | (F.col("age_days") >= YEAR)).select(out.columns)
 

@@ -59,6 +59,15 @@ def scan_configured(s: Snapshot, only: list[str] | None = None, rules: dict[str,
     return left, configured_scores(left, configs, files.select("repo_id")), errors
 
 
+def truncated(s: Snapshot, only: list[str] | None = None) -> DataFrame:
+    """(repo_id, scanner, found, left_out): how many findings each rule has without any limit, and how many of them its limits leave out, where they do."""
+    count = lambda findings, name: findings.groupBy("repo_id", "scanner").agg(F.count("*").alias(name))
+    every = count(scan(replace(s, limits=None), only)[0], "found")
+    shown = count(scan(s, only)[0], "shown")
+    out = every.join(shown, ["repo_id", "scanner"], "left").withColumn("left_out", F.col("found") - F.coalesce("shown", F.lit(0)))
+    return out.filter("left_out > 0").select("repo_id", "scanner", "found", "left_out")
+
+
 def report(s: Snapshot, findings: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Score, grade and lines of code of every repository in the snapshot, those without findings too."""
     repos = s.files.select(F.col("repo_id").cast("string").alias("repo_id")).distinct()

@@ -83,7 +83,7 @@ def workflow_security(s: Snapshot) -> DataFrame:
     title = F.concat_ws(": ", _titled(), "action")
     order = F.when(F.col("rule").isin("pr-target-checkout", "no-permissions"), 9_000_000).otherwise(F.col("line") * 10)
     out = found(s.aged(hits), "workflow-security", "security", id=F.concat_ws("-", "rule", "path", F.col("line").cast("string")), severity=severity, title=title, location=at(), detail=_titled(), evidence=F.nullif(F.substring("bare", 1, 200), F.lit("")), ord=F.col("file_ord") * 10_000_000 + order)
-    return cap(out, 40)
+    return cap(out, s.most("workflow-security"))
 
 
 def ci_health(s: Snapshot) -> DataFrame:
@@ -113,4 +113,4 @@ def ci_health(s: Snapshot) -> DataFrame:
     b = found(never, "ci-health", "hygiene", id=F.lit("ci-tests-not-run"), severity="warning", title=F.lit("There are tests that no workflow runs"), location=F.col("path"), detail="No workflow calls a test runner.", ord=F.lit(10**15))
     gates = trig.groupBy("repo_id").agg(F.bool_or(F.col("trigger") == "push").alias("push"), F.bool_or(F.col("trigger").isin("pull_request", "merge_group")).alias("gated"), F.array_join(F.sort_array(F.collect_set("trigger")), ", ").alias("all"))
     c = found(flows.join(gates.filter("push and not gated"), "repo_id"), "ci-health", "hygiene", id=F.lit("ci-no-pr-trigger"), severity="info", title=F.lit("Pull requests start no workflow"), location=F.col("path"), detail="Changes are checked only after they have landed.", evidence=F.concat(F.lit("triggers: "), F.col("all")), ord=F.lit(10**15 + 1))
-    return cap(a.unionByName(b).unionByName(c), 20)
+    return cap(a.unionByName(b).unionByName(c), s.most("ci-health"))
