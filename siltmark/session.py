@@ -48,6 +48,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete files or folders, wherever Spark can reach them; those that are not there are passed over."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for p in paths:
+        at = path(p)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.timeline import keep_last
+from ..session import delete
 
 BUCKETS = 64
 _ORDER = ("_folded", "_writer", "_batch")
@@ -86,13 +87,6 @@ def append_batch(points: DataFrame, folder: str, writer: str, number: int) -> No
     rows.select(*(c if c in ("repo_id", "scan_ts") else F.col(f"_x.{c}").alias(c) for c in points.columns)).write.mode("overwrite").parquet(f"{folder}/deltas/writer={writer}/batch={number}")
 
 
-def _delete(spark: SparkSession, paths: list[str]) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for p in paths:
-        at = path(p)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def compact(spark: SparkSession, folder: str, schema, buckets: int = BUCKETS, keep: int | None = 50) -> int:
     """Fold all batches that are there into their buckets; the generation it made, or the newest one if there was nothing to fold.
 
@@ -117,7 +111,7 @@ def compact(spark: SparkSession, folder: str, schema, buckets: int = BUCKETS, ke
         gone = [f"{folder}/deltas/writer={r.writer}/batch={r.batch}" for r in (old.collect() if old is not None else []) if r.batch <= folded.get(r.writer, -1)]
         before = spark.read.schema("gen long, bucket int, at long").json(f"{folder}/manifest/*").filter(F.col("bucket").isNotNull() & (F.col("gen") < gen)).select("bucket", "at").distinct().collect()
         gone += [f"{folder}/base/gen={r.at}/bucket={r.bucket}" for r in before if r.at not in (held.get(r.bucket), now.get(r.bucket))]
-        _delete(spark, gone)
+        delete(spark, gone)
     return gen + 1
 
 
