@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltmark.llm import decontam, jaccard, langid, packing, substring
 from siltmark.llm.queries import tokenizer_files
-from siltmark.session import shared_folder, ship, table
+from siltmark.session import delete, shared_folder, ship, table
 
 #: A text whose language gets less than this much of its positions' probability is rejected, as is one without letters.
 LEAST_SCORE = 0.3
@@ -66,11 +66,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written and read again in the checkpoint folder."""
+    """All stages over documents; each stage's rows are written and read again in the checkpoint folder, and deleted once the next stage's are there."""
     ship(spark)
     out = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{out}/{k}-{name}")
         docs = spark.read.parquet(f"{out}/{k}-{name}")
+        if k:
+            delete(spark, [f"{out}/{k - 1}-{STAGES[k - 1][0]}"])
     return docs
