@@ -29,33 +29,49 @@ class Model:
     grades: list[float]
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """(texts, WIDTH): hashed three-byte counts (logarithms, unit length) and a few shapes of the whole text."""
-    n = len(offsets) - 1
+#: Bytes of text that are hashed at a time.
+BLOCK = 1 << 20
+
+
+def _three(data: np.ndarray) -> np.ndarray:
+    """Buckets of all three bytes in a row."""
     low = data.astype(np.uint32)
-    three = np.zeros(len(data), np.uint32)
-    if len(data) > 2:
-        three[:-2] = low[:-2] * np.uint32(0x9E3779B1) + low[1:-1] * np.uint32(0x85EBCA6B) + low[2:] * np.uint32(0xC2B2AE35)
-    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
-    three[left < 3] = 0  # the bytes behind a text are another's
+    three = low[:-2] * np.uint32(0x9E3779B1) + low[1:-1] * np.uint32(0x85EBCA6B) + low[2:] * np.uint32(0xC2B2AE35)
     three ^= three >> np.uint32(15)
     three *= np.uint32(0x2C1B3C6D)
-    doc = np.repeat(np.arange(n), np.diff(offsets))
+    return (three >> np.uint32(20)).astype(np.int64)
+
+
+def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(texts, WIDTH): hashed three-byte counts (logarithms, unit length) and a few shapes of the whole text. Long texts are read a block at a time."""
+    n = len(offsets) - 1
+    size = np.diff(offsets)
+    counts, capitals, marks = np.zeros((n, HASHED)), np.zeros(n), np.zeros(n)
+    for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        for at in range(a, b, BLOCK):
+            part = data[at : min(b, at + BLOCK + 2)]
+            counts[k] += np.bincount(_three(part), minlength=HASHED)
+            own = part[:BLOCK]
+            capitals[k] += np.count_nonzero((own >= 65) & (own <= 90))
+            marks[k] += np.count_nonzero((own >= 33) & (own <= 47))
+    counts[:, 0] += np.minimum(size, 2)  # the last two bytes begin no three
     x = np.zeros((n, WIDTH), np.float32)
-    x[:, :HASHED] = np.log1p(np.bincount(doc * HASHED + (three >> np.uint32(20)).astype(np.int64), minlength=n * HASHED).reshape(n, HASHED))
+    x[:, :HASHED] = np.log1p(counts)
     x[:, :HASHED] /= np.maximum(np.linalg.norm(x[:, :HASHED], axis=1, keepdims=True), 1e-6)
     _, _, word, first = words_of(data, offsets, lower=True)
     words = np.diff(first)
     owner = np.repeat(np.arange(n), words)
-    size = np.maximum(np.diff(offsets), 1)
+    size = np.maximum(size, 1)
     share = lambda flags, of, total: np.bincount(of, weights=flags, minlength=n) / np.maximum(total, 1)
     again = np.zeros(len(word), bool)
     again[1:] = (word[1:] == word[:-1]) & (owner[1:] == owner[:-1])
-    pairs = np.unique(np.stack([owner.astype(np.uint64), word]), axis=1)[0].astype(np.int64)
+    order = np.lexsort((word, owner))
+    new = np.ones(len(word), bool)
+    new[1:] = (word[order][1:] != word[order][:-1]) | (owner[order][1:] != owner[order][:-1])
     x[:, HASHED] = share(again, owner, words)
-    x[:, HASHED + 1] = np.bincount(pairs, minlength=n) / np.sqrt(np.maximum(words, 1)) / 10
-    x[:, HASHED + 2] = share((data >= 65) & (data <= 90), doc, size)
-    x[:, HASHED + 3] = share((data >= 33) & (data <= 47), doc, size)
+    x[:, HASHED + 1] = np.bincount(owner[order[new]], minlength=n) / np.sqrt(np.maximum(words, 1)) / 10
+    x[:, HASHED + 2] = capitals / size
+    x[:, HASHED + 3] = marks / size
     x[:, HASHED + 4] = np.log1p(words) / 10
     return x
 
@@ -96,9 +112,9 @@ def train(x: np.ndarray, y: np.ndarray, grades: int, rounds: int = 400, rate: fl
     return w, np.cumsum(np.concatenate([a[:1], np.exp(a[1:])]))
 
 
-def fit(rows: DataFrame, sample_rows: int = 2000, sample_bytes: int = 1 << 15) -> Model:
-    """Fit on a bounded sample of rows (doc_id, text, grade): about `sample_rows` in all, as the grades are distributed but 100 of each, of at most `sample_bytes` characters each."""
-    got = by_class(rows.select("doc_id", "text", F.col("grade").cast("double").alias("grade")), lambda _, share, __: max(100, round(sample_rows * share)), sample_bytes, "doc_id", "text", "grade")
+def fit(docs: DataFrame, grades: DataFrame, sample_rows: int = 2000, sample_bytes: int = 1 << 15) -> Model:
+    """Fit on a bounded sample of docs (doc_id, text) with grades (doc_id, grade; one row an id): about `sample_rows` in all, as the grades are distributed but 100 of each, of at most `sample_bytes` characters each."""
+    got = by_class(docs, lambda _, share, __: max(100, round(sample_rows * share)), sample_bytes, "doc_id", "text", "grade", grades.select("doc_id", F.col("grade").cast("double").alias("grade")))
     grades = sorted({float(g) for g in got["label"]})
     if len(grades) < 2:
         return Model(np.zeros(WIDTH, np.float32), np.zeros(0), grades or [0.0])
@@ -134,4 +150,4 @@ def grade(docs: DataFrame, model: Model, at_least: float | None = None, chance:
 def select(docs: DataFrame, labels: DataFrame, grade_col: str = "quality", **options) -> DataFrame:
     """Fit on rated rows whose id's crc32 modulo 5 is not 0, then grade every document."""
     rated = labels.filter(F.col(grade_col).isNotNull() & (remainder(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.max(grade_col).alias("grade"))
-    return grade(docs, fit(docs.select("doc_id", "text").join(rated, "doc_id")), **options)
+    return grade(docs, fit(docs, rated), **options)
