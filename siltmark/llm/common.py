@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,6 +26,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark) -> None:
+    """Let the driver find the shuffles and checkpoints that nothing refers to any more, so that executors delete their files now and not when its memory next runs full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def total(df: DataFrame, column) -> int:
     """Sum of a numeric column over all rows, as a plain int."""
     return int(df.agg(F.sum(column)).first()[0] or 0)
@@ -140,6 +147,19 @@ def cut_at_spaces(data: np.ndarray, offsets: np.ndarray, most: int) -> tuple[np.
     return cuts, np.searchsorted(cuts, offsets)
 
 
+def _long_words(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool, seed: int, block: int = 1 << 18) -> np.ndarray:
+    """What words_of sums up for each word, a block of a word at a time."""
+    out = np.zeros(len(starts), np.uint64)
+    for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        h = 0
+        for at in range(a, b, block):
+            piece = part[at : min(b, at + block)]
+            byte = _BYTES[seed][_LOWER[piece] if lower else piece]
+            h += int((byte * powers(seed, False, len(piece))).sum(dtype=np.uint64)) * pow(_BASES[seed], at - a, 2**64)
+        out[k] = h % 2**64
+    return out
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool, seed: int = 0, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words [^space]+ of the texts: (starts, ends, hash, first), first[i] being the first word of text i (one more entry than texts).
 
@@ -165,7 +185,11 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool, seed: int = 0,
         if len(joined):
             points = np.sort(np.concatenate([points, joined, joined]))
         s, e = points[0::2], points[1::2]
-        if len(s):
+        if len(s) and hi - lo > 4 * block:  # a word of that length is in it
+            hashes.append(_with_length(_long_words(part, s, e, lower, seed), e - s, seed))
+            starts.append((s + lo).astype(kind))
+            ends.append((e + lo).astype(kind))
+        elif len(s):
             # each byte counts by its place in its word
             size = e - s
             byte = np.zeros(int(e[-1]) + 1, np.uint64)

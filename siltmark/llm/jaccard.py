@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_of, checkpointed, mix, places, text_bytes, total, windows_hash, words_of
+from .common import blocks_of, checkpointed, mix, places, release, text_bytes, total, windows_hash, words_of
 from .components import connected
 from .exchange import BLOCKS, FEWEST, answered, blocks, chunked, distinct_with_owners, held_elsewhere, replies
 
@@ -346,6 +346,7 @@ def link(classes: DataFrame, percent: int, rounds: tuple[str, ...]) -> DataFrame
 def _rows(given: DataFrame, words: int, percent: int, chunks: int, buckets: int, rounds: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets of all rows, those with a digest, (digest, low, first_id, component) of each class that may have partners): low is the smallest id of its component, first_id its own."""
     sets = checkpointed(find_sets(given, words, percent, chunks, buckets))
+    release(given.sparkSession)  # the texts that were dealt
     maybe = sets.filter("digest is not null")
     same = maybe.groupBy("digest").agg(F.min("row").alias("row"), F.min("doc_id").alias("first_id"))
     # a class is named by its smallest id, so that it leads its lists; where another class has that name or there is none, by its row
@@ -355,6 +356,7 @@ def _rows(given: DataFrame, words: int, percent: int, chunks: int, buckets: int,
     carriers = maybe.filter("shingles is not null").select("digest", "row", F.col("n_shingles").alias("n"), "shingles")
     classes = checkpointed(carriers.join(to_class.select("digest", "row", "rep"), ["digest", "row"]).select("rep", "n", "shingles"))
     comp = link(classes, percent, rounds).select(F.col("id").alias("rep"), "component")
+    release(given.sparkSession)  # the lists
     own = to_class.join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     low = own.groupBy("component").agg(F.min("first_id").alias("low"))
     return sets, maybe, own.join(low, "component").select("digest", "low", "first_id", "component")
