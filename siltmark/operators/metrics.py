@@ -108,6 +108,11 @@ def scanner_groups(findings: DataFrame) -> DataFrame:
     return out.withColumn("position", rank).withColumn("worst", F.element_at(F.array(*map(F.lit, S.SEVERITIES)), F.col("worst_rank") + 1)).drop("worst_rank")
 
 
+def lines_of_code(lines: DataFrame, *by: str) -> DataFrame:
+    """(by, files, loc) of lines (path, text, ...): files, and lines that are not blank."""
+    return lines.groupBy(*by).agg(F.countDistinct("path").alias("files"), F.count_if(F.trim("text") != "").alias("loc"))
+
+
 def tree_nodes(findings: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Counts, weight, worst severity and depth of the root, every folder and every file: each finding counts once for each of its prefixes.
 

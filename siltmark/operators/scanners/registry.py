@@ -71,5 +71,5 @@ def truncated(s: Snapshot, only: list[str] | None = None) -> DataFrame:
 def report(s: Snapshot, findings: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Score, grade and lines of code of every repository in the snapshot, those without findings too."""
     repos = s.files.select(F.col("repo_id").cast("string").alias("repo_id")).distinct()
-    loc = s.lines(s.matching(r"\.\w+$")).filter(F.trim("text") != "").groupBy(F.col("repo_id").cast("string").alias("repo_id")).agg(F.count("*").alias("lines_of_code"))
+    loc = metrics.lines_of_code(s.lines(s.matching(r"\.\w+$")).withColumn("repo_id", F.col("repo_id").cast("string")), "repo_id").select("repo_id", F.col("loc").alias("lines_of_code"))
     return metrics.repo_scores(findings, weights, repos).join(loc, "repo_id", "left").fillna(0, ["lines_of_code"])

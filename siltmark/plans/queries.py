@@ -453,7 +453,7 @@ def rate_limit_hits(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_L} SELECT coalesce(lang, 'txt') AS language, count(DISTINCT doc_id) AS files, count(*) FILTER (trim(text) <> '') AS loc FROM lines GROUP BY 1")
 def loc_by_language(spark: SparkSession, d: str) -> DataFrame:
     ln = V.lines(spark, d)
-    return ln.groupBy(F.coalesce("lang", F.lit("txt")).alias("language")).agg(F.countDistinct("doc_id").alias("files"), F.count_if(F.trim("text") != "").alias("loc"))
+    return M.lines_of_code(ln.withColumn("language", F.coalesce("lang", F.lit("txt"))), "language")
 
 
 @query(
@@ -462,7 +462,7 @@ def loc_by_language(spark: SparkSession, d: str) -> DataFrame:
 )
 def language_shares(spark: SparkSession, d: str) -> DataFrame:
     ln = V.lines(spark, d)
-    profile = ln.groupBy("repo_id", F.coalesce("lang", F.lit("txt")).alias("language")).agg(F.countDistinct("doc_id").alias("files"), F.count_if(F.trim("text") != "").alias("loc"))
+    profile = M.lines_of_code(ln.withColumn("language", F.coalesce("lang", F.lit("txt"))), "repo_id", "language")
     return _rounded(M.language_shares(profile, 2), "share")
 
 
@@ -480,8 +480,9 @@ def line_clones(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH l AS ({V.LINKS}), r AS (SELECT *, row_number() OVER (PARTITION BY link ORDER BY page_id, pos) AS n FROM l) SELECT link, page_id, pos FROM r WHERE n = 1")
 def first_mention(spark: SparkSession, d: str) -> DataFrame:
-    first = V.links(spark, d).groupBy("link").agg(F.min(F.struct("page_id", "pos")).alias("f"))
-    return _long(first.select("link", "f.page_id", "f.pos"), "pos")
+    from ..operators.scanners.docs import first_mentions
+
+    return _long(first_mentions(V.links(spark, d), ["link"], "page_id", "pos").select("link", "page_id", "pos"), "pos")
 
 
 @query("""SELECT count(*) AS pages, count(*) FILTER (NOT regexp_matches(lower(coalesce(nullif(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), ''), 'none')), '(^|\\.)(example\\.(com|org|net)|test|invalid|local|internal|localhost)$|^[^.]*$')) AS public FROM pages""")
