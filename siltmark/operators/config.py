@@ -9,8 +9,8 @@ from ..functions import scoring as S
 from ..sources.git import parse_config
 from . import metrics
 
-# Format: the file at a repository's root.
-CONFIG_FILE = ".repo-anti-rot.json"
+#: The file at a repository's root, unless another name is given.
+CONFIG_FILE = ".siltmark.json"
 _SHAPE = "struct<ignore:array<string>,mute:array<struct<id:string,category:string,path:string,reason:string>>,weights:struct<critical:double,warning:double,info:double>>"
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ...session import checkpointed
 from .. import metrics
-from ..config import configured_scores, kept_files, read_configs, unmuted
+from ..config import CONFIG_FILE, configured_scores, kept_files, read_configs, unmuted
 from ..findings import SCANNERS, apply_mutes, drop_ignored, select_scanners
 from . import clones, code, dead, deps, docs, files, workflows
 from .base import FINDINGS, Snapshot
@@ -50,9 +50,9 @@ def scan(s: Snapshot, only: list[str] | None = None, mutes: list[dict] | None =
     return apply_mutes(drop_ignored(all_, lines), mutes or []), errors
 
 
-def scan_configured(s: Snapshot, only: list[str] | None = None, rules: dict[str, Rule] | None = None) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+def scan_configured(s: Snapshot, only: list[str] | None = None, rules: dict[str, Rule] | None = None, config_file: str = CONFIG_FILE) -> tuple[DataFrame, DataFrame, dict[str, str]]:
     """(findings, scores, errors) of a scan in which each repository's own configuration file says what is left out, what is muted and what findings weigh; all repositories in one job."""
-    configs = checkpointed(read_configs(s.files).withColumn("repo_id", F.col("repo_id").cast("string")))
+    configs = checkpointed(read_configs(s.files, config_file).withColumn("repo_id", F.col("repo_id").cast("string")))
     files = s.files.withColumn("repo_id", F.col("repo_id").cast("string"))
     findings, errors = scan(replace(s, files=kept_files(files, configs)), only, None, rules)
     left = unmuted(findings, configs)
