@@ -34,3 +34,16 @@ def test_empty_index_and_no_queries(spark):
     queries = spark.createDataFrame([("todo",)], "query string")
     assert SE.search_all(SE.build(df.limit(0)), queries).collect() == []
     assert SE.search_all(SE.build(df), queries.limit(0)).collect() == []
+
+
+def test_findings_of_one_text_are_looked_up_once_and_all_returned(spark, monkeypatch):
+    """Many findings of few texts: what queries meet grows with the texts; a text of many findings is handed out in parts."""
+    monkeypatch.setattr(SE, "CHUNK", 40)
+    texts = [("security", "leaked token"), ("todo", "todo in the code"), ("", "unused export"), (None, "stale")]
+    df = spark.createDataFrame([(f"r{k % 5}", f"i{k}", *texts[k % 4 if k < 300 else 0], "", "", "info", "") for k in range(600)], "repo_id string, id string, category string, title string, detail string, location string, severity string, scanner string")
+    index = SE.build(df)
+    assert index.postings.count() == 14 and index.members.count() == 600
+    queries = ["tok", "todo code", "secret", "unuse", "stale", "e"]
+    got = SE.search_all(index, spark.createDataFrame([(q,) for q in queries], "query string")).collect()
+    want = {(q, r.repo_id, r.id, r.relevance) for q in queries for r in FI.search(df, q).collect()}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
