@@ -116,7 +116,8 @@ class Snapshot:
         """Add age_days of a line by blame, 0 where unknown."""
         if self.blame is None:
             return found.withColumn("age_days", F.lit(0))
-        ages = self.blame.groupBy("repo_id", F.col("path").alias(path), F.col("line").alias(line)).agg(F.max("age_days").alias("age_days"))
+        # blame has a row for every line: it is never broadcast
+        ages = self.blame.groupBy("repo_id", F.col("path").alias(path), F.col("line").alias(line)).agg(F.max("age_days").alias("age_days")).hint("merge")
         return found.drop("age_days").join(ages, ["repo_id", path, line], "left").withColumn("age_days", F.greatest(F.lit(0), F.coalesce("age_days", F.lit(0))))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics, timeline
 from ..operators.scanners import RULES, Snapshot
-from ..session import table
+from ..session import dealt, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,13 +47,16 @@ def _files(k: Column) -> dict[str, Column]:
 
 
 def snapshot(spark: SparkSession, d: str) -> Snapshot:
-    """One repository for each customer, named by its number, with all adapters."""
-    c, k = table(spark, d, "customer").select(F.col("c_custkey").alias("k")), F.col("k")
-    parts = [F.struct(F.lit(p).alias("path"), F.lit(i).cast("long").alias("file_ord"), x.alias("content")) for i, (p, x) in enumerate(_files(k).items())]
+    """One repository for each customer, named by its number, with all adapters.
+
+    Customers are dealt over the cluster before each becomes files, and meet the files' places by a join: Spark then knows that there are many more bytes than in the table, and broadcasts none of them.
+    """
+    c, k, nth = dealt(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), "k"), F.col("k"), F.col("id")
     licence = F.concat(F.lit('{"license": "'), F.element_at(F.array(*map(F.lit, ("MIT", "AGPL-3.0", "GPL-3.0", "UNLICENSED"))), (k % 4 + 1).cast("int")), F.lit('"}'))
-    parts.append(F.struct(F.concat(F.lit("node_modules/dep"), (k % 9).cast("string"), F.lit("/package.json")).alias("path"), F.lit(99).cast("long").alias("file_ord"), licence.alias("content")))
+    every = [(F.lit(p), i, x) for i, (p, x) in enumerate(_files(k).items())] + [(F.concat(F.lit("node_modules/dep"), (k % 9).cast("string"), F.lit("/package.json")), 99, licence)]
+    one = F.coalesce(*(F.when(nth == i, F.struct(p.alias("path"), F.lit(ord_).cast("long").alias("file_ord"), x.alias("content"))) for i, (p, ord_, x) in enumerate(every)))
     repo = k.cast("string").alias("repo_id")
-    files = c.select(repo, F.inline(F.array(*parts))).filter("content is not null").withColumn("size", F.octet_length("content").cast("long"))
+    files = c.crossJoin(F.broadcast(spark.range(len(every)))).select(repo, F.inline(F.array(one))).filter("content is not null").withColumn("size", F.octet_length("content").cast("long"))
     o = table(spark, d, "orders")
     names = lambda stem, n, *values: [(stem + str(j), *(v(j) for v in values)) for j in range(n)]
     return Snapshot(

@@ -61,6 +61,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *by: str, rows: int = 20_000) -> DataFrame:
+    """The rows dealt over the cluster by keys, about so many a task. For small rows of which each becomes much: a short file of them is read by one task, which would do all that follows."""
+    n = df.count()
+    parts = max(1, min(df.sparkSession.sparkContext.defaultParallelism, n // 200), -(-n // rows))
+    return df.repartition(parts, *by)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the package to the Python workers, once a context; needed where they cannot import it by themselves."""
     context = spark.sparkContext
