@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions.scoring import severity_rank
+from ...session import checkpointed
 from ..findings import cap
 from .base import CREDENTIALS, JS, TESTS, Snapshot, at, found, text
 
@@ -203,17 +204,20 @@ DYNAMIC = {
     "py": r"(os\.environ|environ)\[\s*[^\"'\]\s]|(os\.)?getenv\(\s*[^\"'\s)]", "go": r"os\.(Getenv|LookupEnv)\(\s*[^\"\s)]", "rb": r"ENV\[\s*[^\"'\]\s]", "php": r"getenv\(\s*\$|\$_ENV\[\s*\$|\benv\(\s*\$",
     "js": r"process\.env\[\s*[^\"'\]\s]|=\s*process\.env\s*([;,)\n]|$)|\.\.\.\s*process\.env",
 }
+#: What a line has that reads a variable in any of these ways.
+ENV_MARKS = r"process[.]env|environ|getenv|Getenv|LookupEnv|ENV|env[(]"
 EXAMPLE_FILES = (".env.example", ".env.sample", ".env.template", ".env.dist")
 PLATFORM = r"^(GITHUB_|RUNNER_|INPUT_|CI_|VERCEL_|NETLIFY_)|^(CI|NODE_ENV|NO_COLOR|FORCE_COLOR|TERM|TZ|LANG|LC_ALL|HOME|PATH|PWD|SHELL|USER|HOSTNAME|TMPDIR)$"
 
 
 def env_lifecycle(s: Snapshot) -> DataFrame:
     """Variables that code reads and no example file names, and the other way round; the latter only where no variable is read by a computed name."""
-    ours = s.tree.filter(F.length("content") > 0).withColumn("lang", language(F.col("path"))).filter("lang is not null and content rlike 'process[.]env|environ|getenv|Getenv|LookupEnv|ENV|env[(]'")
+    ours = s.tree.filter((F.length("content") > 0) & F.col("content").rlike(ENV_MARKS)).withColumn("lang", language(F.col("path"))).filter("lang is not null")
     js = s.tokens
     # code without comments and strings, one row a line; names in brackets are kept by the tokens
     code = js.filter("kind <> 'comment'").groupBy("repo_id", "path", "file_ord", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "").alias("text")).withColumn("lang", F.lit("js"))
     ln = code.unionByName(s.lines(ours.filter("lang <> 'js'")).select("repo_id", "path", "file_ord", "line", "text", "lang"))
+    ln = checkpointed(ln.filter(F.col("text").rlike(ENV_MARKS)))  # few lines, which six branches read
     parts = []
     for lang, patterns in READS.items():
         for p in patterns:

@@ -23,3 +23,25 @@ def test_lines_of_blame_are_not_broadcast(spark):
     s = rules.snapshot(spark, D)
     plan = RULES["todo-debt"](s)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_lines_that_read_the_environment_are_made_once(spark):
+    plan = RULES["env-lifecycle"](rules.snapshot(spark, D))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastNestedLoopJoin") <= 6
+
+
+def test_an_answer_is_parsed_once(spark):
+    from siltmark.sources import host
+
+    df = host.repositories(spark.createDataFrame([(1, "{}")], "id long, payload string"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("parseJson") + df._jdf.queryExecution().optimizedPlan().toString().count("parse_json") == 1
+
+
+def test_findings_of_one_id_have_one_order(spark):
+    from siltmark import sinks
+
+    rows = [("r", "a-1", "info", 3, 1, f"src/f{k}.ts:1", "todo", "t") for k in (3, 1, 2)]
+    names = "repo_id string, id string, severity string, age_days int, ord int, location string, category string, title string"
+    for order in (rows, rows[::-1]):
+        got = sinks.ordered(spark.createDataFrame(order, names)).orderBy("position").collect()
+        assert [r.location for r in got] == [f"src/f{k}.ts:1" for k in (1, 2, 3)]
