@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import timeline as TL
-from ..session import table
+from ..session import dealt, table
 from ..sources import host
 from .named import register
 
@@ -21,7 +21,7 @@ QUERIES, SQL, _query = register()
 )
 def host_repositories(spark: SparkSession, d: str) -> DataFrame:
     """Answers written from parts: some are errors or no JSON, counts are texts, licences unknown, topics no list."""
-    p, k = table(spark, d, "part"), F.col("p_partkey")
+    p, k = dealt(table(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_type"), "p_partkey"), F.col("p_partkey")
     q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     topics = F.when(k % 6 == 0, F.lit('"none"')).otherwise(F.concat(F.lit("[1"), F.repeat(F.lit(', "t"'), (k % 12).cast("int")), F.lit(", null]")))
     fields = {

@@ -42,7 +42,8 @@ def repositories(answers: DataFrame, payload: str = "payload") -> DataFrame:
     """
     rest = [c for c in answers.columns if c != payload]
     v = F.col("_v")
-    whole = answers.withColumn("_v", F.try_parse_json(payload))
+    # a generated column is worked out once a row: a plain one would be parsed again for every field
+    whole = answers.select(*rest, F.explode(F.array(F.try_parse_json(payload))).alias("_v"))
     count = lambda path: F.coalesce(_number(v, path), F.lit(0.0))
     out = whole.select(
         *rest, _text(v, "$.owner.login").alias("owner"), _text(v, "$.name").alias("name"), _text(v, "$.full_name").alias("full_name"), _text(v, "$.description").alias("description"), _text(v, "$.html_url").alias("html_url"),
