@@ -73,10 +73,11 @@ def hotspot_files(findings: DataFrame, limit: int = 6, weights: dict[str, float]
     w = {**S.WEIGHTS, **(weights or {})}
     files = findings.withColumn("path", S.location_path(F.col("location"))).filter("path is not null")
     spots = files.groupBy("repo_id", "path").agg(F.sum(S.severity_value(F.col("severity"), w)).alias("weight"), F.count("*").alias("findings"), *(F.count_if(F.col("severity") == s).alias(s) for s in S.SEVERITIES))
-    most = spots.groupBy("repo_id").agg(F.max("findings").alias("most"))
-    spots = spots.join(most, "repo_id").filter((F.col("findings") > 1) | (F.col("most") == 1)).drop("most")
-    order = Window.partitionBy("repo_id").orderBy(F.desc("weight"), F.desc("findings"), "path")
-    return spots.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    # files with several findings come first, so whether a repository has any shows in the ranked ones: the findings are read once, and tasks keep `limit` files of each repository before any meet
+    order = Window.partitionBy("repo_id").orderBy(F.desc(F.col("findings") > 1), F.desc("weight"), F.desc("findings"), "path")
+    ranked = spots.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    most = F.max("findings").over(Window.partitionBy("repo_id"))
+    return ranked.withColumn("most", most).filter((F.col("findings") > 1) | (F.col("most") == 1)).drop("most")
 
 
 def top_findings(findings: DataFrame, limit: int, by: list[str] | None = None) -> DataFrame:
