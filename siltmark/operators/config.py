@@ -54,24 +54,16 @@ def kept_files(files: DataFrame, configs: DataFrame) -> DataFrame:
     return files.join(gone, ["repo_id", "path"], "left_anti")
 
 
-def muted(findings: DataFrame, configs: DataFrame) -> DataFrame:
-    """(repo_id, id, category, location) of findings that a mute rule of their repository fits: every field that the rule has."""
+def unmuted(findings: DataFrame, configs: DataFrame) -> DataFrame:
+    """Findings that no mute rule of their repository fits in every field that the rule has. Findings meet rules by repository, once; patterns are tried only on paths that begin with their fixed folders."""
     rules = configs.select("repo_id", F.explode("mute").alias("m")).select("repo_id", "m.id", "m.category", "m.path").distinct()
     rules = rules.filter("id is not null or category is not null or path is not null").select(
-        "repo_id", F.col("id").alias("_id"), F.col("category").alias("_category"), F.coalesce(fixed_folder(F.col("path")), F.lit("")).alias("folder"), pattern(F.col("path")).alias("pattern")
+        F.col("repo_id").alias("_repo"), F.col("id").alias("_id"), F.col("category").alias("_category"), F.coalesce(fixed_folder(F.col("path")), F.lit("")).alias("_folder"), pattern(F.col("path")).alias("_pattern")
     )
     where = F.regexp_replace(F.replace(F.regexp_replace(F.trim(F.coalesce("location", F.lit(""))), r"^(.+):(\d+)$", "$1"), F.lit("\\"), F.lit("/")), r"^\./", "")
-    keys = findings.select("repo_id", "id", "category", "location").join(configs.select("repo_id"), "repo_id", "left_semi").distinct().withColumn("_path", where)
-    near = keys.withColumn("folder", F.explode(folders(F.col("_path")))).join(rules, ["repo_id", "folder"])
-    fits = (F.col("_id").isNull() | F.col("_id").eqNullSafe(F.col("id"))) & (F.col("_category").isNull() | F.col("_category").eqNullSafe(F.col("category"))) & (F.col("pattern").isNull() | F.regexp_like("_path", F.col("pattern")))
-    return near.filter(F.coalesce(fits, F.lit(False))).select("repo_id", "id", "category", "location").distinct()
-
-
-def unmuted(findings: DataFrame, configs: DataFrame) -> DataFrame:
-    """Findings that no mute rule of their repository fits."""
-    gone = muted(findings, configs)
-    same = [findings[c].eqNullSafe(gone[c]) for c in ("id", "category", "location")]
-    return findings.join(gone, [findings["repo_id"] == gone["repo_id"], *same], "left_anti")
+    same = (F.col("_id").isNull() | F.col("_id").eqNullSafe(F.col("id"))) & (F.col("_category").isNull() | F.col("_category").eqNullSafe(F.col("category")))
+    fits = same & F.startswith(F.col("_path"), F.col("_folder")) & (F.col("_pattern").isNull() | F.regexp_like("_path", F.col("_pattern")))
+    return findings.withColumn("_path", where).join(rules, (F.col("repo_id") == F.col("_repo")) & F.coalesce(fits, F.lit(False)), "left_anti").drop("_path")
 
 
 def configured_scores(findings: DataFrame, configs: DataFrame, repos: DataFrame | None = None) -> DataFrame:
