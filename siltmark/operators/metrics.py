@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
+from ..session import checkpointed
 
 
 def severity_counts(findings: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -121,29 +122,32 @@ def tree_nodes(findings: DataFrame, weights: dict[str, float] | None = None) ->
     """
     w = {**S.WEIGHTS, **(weights or {})}
     path = F.nullif(S.location_path(F.col("location")), F.lit("."))
-    base = findings.groupBy("repo_id", path.alias("path")).agg(*(F.count_if(F.col("severity") == s).alias(s) for s in S.SEVERITIES), F.count("*").alias("findings"), F.sum(S.severity_value(F.col("severity"), w)).alias("weight"))
-    # prefixes are made for distinct paths only
-    base = base.withColumn("parts", F.split("path", "/"))
-    prefixes = F.transform(F.sequence(F.lit(0), F.size("parts")), lambda n: F.array_join(F.slice("parts", 1, n), "/"))
+    each = findings.select("repo_id", "severity", path.alias("path"))
+    sums = [*(F.count_if(F.col("severity") == s).alias(s) for s in S.SEVERITIES), F.count("*").alias("findings"), F.sum(S.severity_value(F.col("severity"), w)).alias("weight")]
+    # a file's row is its own; what lies above files is summed in the tasks that read findings, so only folders meet there, however many files they hold
+    parts = F.split("path", "/")
+    files = each.filter("path is not null").groupBy("repo_id", "path").agg(*sums).select("repo_id", F.col("path").alias("node"), F.lit("file").alias("kind"), F.size(parts).alias("depth"), *S.SEVERITIES, "findings", "weight")
+    prefixes = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     nodes = F.when(F.col("path").isNull(), F.array(F.lit(""), F.lit("(other)"))).otherwise(prefixes)
-    out = base.select("repo_id", "path", F.posexplode(nodes).alias("depth", "node"), *S.SEVERITIES, "findings", "weight")
-    kind = F.when(F.col("node") == "", "root").when(F.col("path").isNull(), "bucket").when(F.col("node") == F.col("path"), "file").otherwise("dir")
-    out = out.withColumn("kind", kind).groupBy("repo_id", "node", "kind", "depth").agg(*(F.sum(c).alias(c) for c in (*S.SEVERITIES, "findings", "weight")))
+    above = each.select("repo_id", "severity", "path", F.posexplode(nodes).alias("depth", "node"))
+    kind = F.when(F.col("node") == "", "root").when(F.col("path").isNull(), "bucket").otherwise("dir")
+    out = files.unionByName(above.withColumn("kind", kind).groupBy("repo_id", "node", "kind", "depth").agg(*sums))
     return out.withColumn("worst", F.when(F.col("critical") > 0, "critical").when(F.col("warning") > 0, "warning").when(F.col("info") > 0, "info"))
 
 
 def compressed_tree(nodes: DataFrame) -> DataFrame:
-    """Folders with one child, a folder too, are joined with it: each remaining folder's label spans what it swallowed."""
+    """Folders with one child, a folder too, are joined with it: each remaining folder's label spans what it swallowed. Files meet only what their folder knows, one row a folder."""
     folders = nodes.filter("kind in ('dir', 'file')").withColumn("parent", F.regexp_replace(F.regexp_extract("node", r"^(.*/)?[^/]*$", 1), "/$", ""))
-    only = folders.groupBy("repo_id", "parent").agg(F.count("*").alias("children"), F.max("kind").alias("child_kind"), F.min("kind").alias("least_kind"))
-    single = only.filter("children = 1 and child_kind = 'dir' and least_kind = 'dir' and parent <> ''").select("repo_id", F.col("parent").alias("node"), F.lit(True).alias("merged"))
-    kept = folders.join(single, ["repo_id", "node"], "left").filter("merged is null").drop("merged")
+    merged = (F.count("*") == 1) & (F.max("kind") == "dir") & (F.min("kind") == "dir") & (F.col("parent") != "")
+    holders = checkpointed(folders.groupBy("repo_id", "parent").agg(merged.alias("merged")))
     # the label starts after the nearest ancestor that stays
-    up = F.transform(F.sequence(F.lit(0), F.size(F.split("node", "/")) - 1), lambda n: F.array_join(F.slice(F.split("node", "/"), 1, n), "/"))
-    above = kept.select("repo_id", "node", F.explode(up).alias("up")).join(kept.select("repo_id", F.col("node").alias("up"), F.lit(True).alias("there")), ["repo_id", "up"], "left")
-    nearest = above.groupBy("repo_id", "node").agg(F.max(F.when(F.col("there") | (F.col("up") == ""), F.length("up"))).alias("at"))
-    label = F.expr("substring(node, if(at = 0, 1, at + 2))")
-    return kept.join(nearest, ["repo_id", "node"]).withColumn("label", label).drop("at", "parent")
+    parts = F.split("parent", "/")
+    up = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    stays = holders.filter("not merged").select("repo_id", F.col("parent").alias("up"), F.length("parent").alias("at"))
+    nearest = holders.select("repo_id", "parent", F.explode(up).alias("up")).join(stays, ["repo_id", "up"], "left").groupBy("repo_id", "parent").agg(F.coalesce(F.max("at"), F.lit(0)).alias("at"))
+    dirs = folders.filter("kind = 'dir'").join(holders.filter("merged").select("repo_id", F.col("parent").alias("node")), ["repo_id", "node"], "left_anti")
+    kept = folders.filter("kind = 'file'").unionByName(dirs).join(nearest, ["repo_id", "parent"])
+    return kept.withColumn("label", F.expr("substring(node, if(at = 0, 1, at + 2))")).drop("at", "parent")
 
 
 def shared_findings(findings: DataFrame) -> DataFrame:

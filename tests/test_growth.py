@@ -36,3 +36,23 @@ def test_muted_findings_are_read_once_and_counted_where_they_lie(spark, tmp_path
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     # findings by repository, rules without repeats, and those by repository
     assert counted.count("FileScan") == 2 and counted.count("Exchange hashpartitioning") == 3
+
+
+def test_tree_reads_files_once_and_sums_folders_before_they_meet(spark, tmp_path):
+    at = ["a/b/c/x:1", "a/b/c/x:2", "a/b/c/y", "d/e/z:3", "d//q", "/r", "top", ".", None, "d/e/f/g/h:1"]
+    rows = [("r", f"i{k}", "todo", ("info", "critical", "warning")[k % 3], p) for k, p in enumerate(at)]
+    spark.createDataFrame(rows, FIND).write.parquet(f"{tmp_path}/f")
+    nodes = metrics.tree_nodes(spark.read.parquet(f"{tmp_path}/f"))
+    got = {(r.node, r.kind, r.depth): (r.findings, r.weight) for r in nodes.collect()}
+    want = {}
+    for _, _, _, severity, p in rows:
+        p = None if p in (None, ".") else p.split(":")[0]
+        parts = p.split("/") if p else []
+        names = [("", "root"), ("(other)", "bucket")] if p is None else [(n, "root" if n == "" else "file" if n == p else "dir") for n in ("/".join(parts[:k]) for k in range(len(parts) + 1))]
+        for depth, (n, kind) in enumerate(names):
+            count, weight = want.get((n, kind, depth), (0, 0.0))
+            want[n, kind, depth] = count + 1, weight + {"info": 0.25, "critical": 10.0, "warning": 3.0}[severity]
+    assert got == want
+    labels = {r.node: r.label for r in metrics.compressed_tree(metrics.tree_nodes(spark.read.parquet(f"{tmp_path}/f"))).collect()}
+    assert labels == {"a/b/c": "a/b/c", "a/b/c/x": "x", "a/b/c/y": "y", "d": "d", "d/": "", "d//q": "q", "d/e": "e", "d/e/z": "z", "d/e/f/g": "f/g", "d/e/f/g/h": "h", "/r": "/r", "top": "top"}
+    assert plan(metrics.compressed_tree(nodes)).count("FileScan") == 2
