@@ -87,7 +87,8 @@ _LOCKS = """x AS (SELECT o_custkey AS k, l_partkey % 20 AS src, l_suppkey % 20 A
 )
 def lock_runtime(spark: SparkSession, d: str) -> DataFrame:
     """Packages that lockfiles of four forms install, and whether a production install has them (null: unknown)."""
-    tree = lock_tree(spark, d)
+    # five readers of the texts: they are made once, not joined and gathered from order lines by each
+    tree = checkpointed(lock_tree(spark, d))
     nodes = checkpointed(locks.pnpm_nodes(tree))
     needed, known = runtime_names(tree, nodes)
     rows = locks.installed(tree, nodes).join(known.withColumn("known", F.lit(True)), "repo_id", "left").join(needed.withColumn("needed", F.lit(True)), ["repo_id", "name"], "left")
@@ -105,7 +106,7 @@ def declared_versions(spark: SparkSession, d: str) -> DataFrame:
     range_ = F.when(F.col("n") % 3 == 0, "latest").otherwise(F.concat(F.lit("^2."), (F.col("n") % 3).cast("string"), F.lit(".0")))
     deps = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("p"), F.col("n").cast("string")), range_)))
     pkg = o.groupBy("repo_id").agg(F.to_json(F.struct(deps.alias("dependencies"))).alias("content")).select("repo_id", F.lit("package.json").alias("path"), "content")
-    return locks.declared_versions(lock_tree(spark, d).unionByName(pkg))
+    return locks.declared_versions(checkpointed(lock_tree(spark, d)).unionByName(pkg))
 
 
 _WEIGHT = {"critical": "10.0::DOUBLE", "warning": "3.0::DOUBLE", "info": "CASE WHEN repo_id % 2 = 0 THEN (repo_id % 3)::DOUBLE ELSE 0.25::DOUBLE END"}
