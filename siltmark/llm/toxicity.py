@@ -92,57 +92,82 @@ def windows_of(first: np.ndarray, window: int, step: int = 1) -> tuple[np.ndarra
     return owner, at, np.minimum(window, first[owner + 1] - at)
 
 
-def _steps(projected: np.ndarray, u: np.ndarray, at: np.ndarray):
-    """States for inputs that are columns of `projected` (last column: no word); at: (steps, n)."""
+def _steps(u: np.ndarray, columns: Iterator[np.ndarray], heads: np.ndarray) -> Iterator[np.ndarray]:
+    """What heads (k, hidden) say of the state after each step, for projected inputs (3 * hidden, n). Gates divide by 1 + exp(-x), and tanh(x) is 1 - 2 / (1 + exp(2 x)): signs and factors are in the weights."""
     h = u.shape[1]
-    n = at.shape[1]
-    state, a, new = np.zeros((h, n), np.float32), np.empty((3 * h, n), np.float32), np.empty((h, n), np.float32)
-    half, one = np.float32(0.5), np.float32(1)
-    for row in at:
-        np.take(projected, row, axis=1, out=a, mode="clip")
-        g = u @ state
-        zr, m = a[: 2 * h], a[2 * h :]
-        zr += g[: 2 * h]
-        zr *= half
-        np.tanh(zr, out=zr)
-        zr += one
-        zr *= half
-        m += zr[h:] * g[2 * h :]
-        np.tanh(m, out=m)
-        np.subtract(state, m, out=new)
-        new *= zr[:h]
-        new += m
-        state, new = new, state
-        yield state
+    u = np.concatenate([-u[: 2 * h], np.float32(2) * u[2 * h :], heads])
+    one, two = np.float32(1), np.float32(-2)
+    state = None
+    with np.errstate(over="ignore"):  # an infinite divisor is right
+        for a in columns:
+            if state is None:
+                n = a.shape[1]
+                state, m, zr, g = np.zeros((h, n), np.float32), *(np.empty((k, n), np.float32) for k in (h, 2 * h, len(u)))
+                g[:] = 0
+            else:
+                np.matmul(u, state, out=g)
+                yield g[3 * h :]
+            np.add(a[: 2 * h], g[: 2 * h], out=zr)
+            np.exp(zr, out=zr)
+            zr += one
+            np.divide(g[2 * h : 3 * h], zr[h:], out=m)
+            m += a[2 * h :]
+            np.exp(m, out=m)
+            m += one
+            np.divide(two, m, out=m)
+            m += one
+            state -= m
+            state /= zr[:h]
+            state += m
+    yield heads @ state
 
 
 def project(p: Params, x: np.ndarray, which: str) -> np.ndarray:
-    x = np.concatenate([x, np.zeros((len(x), 1), np.float32)], axis=1)
-    return p["i" + which] @ x + p["b" + which][:, None]
+    """What _steps takes, of each word; the last column is that of no word."""
+    w, b = p["i" + which].copy(), p["b" + which].copy()
+    for part in (w, b):
+        part[: 2 * len(b) // 3] *= np.float32(-1)
+        part[2 * len(b) // 3 :] *= np.float32(2)
+    return w @ np.concatenate([x, np.zeros((len(x), 1), np.float32)], axis=1) + b[:, None]
 
 
 def window_logits(p: Params, x: np.ndarray, at: np.ndarray, size: np.ndarray, window: int, batch: int = 4096) -> np.ndarray:
     """One logit for each window: attention over its positions, then a linear unit."""
     out = np.empty(len(at), np.float32)
+    for some in (np.flatnonzero(size == window), np.flatnonzero(size != window)):
+        for i in range(0, len(some), batch):
+            k = some[i : i + batch]
+            out[k] = _logits(p, x, at[k], size[k], window)
+    return out
+
+
+def _logits(p: Params, x: np.ndarray, at: np.ndarray, size: np.ndarray, window: int) -> np.ndarray:
+    """Of windows in the order of their words. Where most words begin a window, each step takes a slice of the words as it lies, and what begins elsewhere is left out at the end."""
     h = p["uf"].shape[1]
     heads = np.stack([p["attend"], p["out"]])
-    for i in range(0, len(at), batch):
-        a, n = at[i : i + batch], size[i : i + batch]
-        t = np.arange(window)[:, None]
-        lo, hi = int(a.min()), int((a + n).max())  # windows are in the order of their words
-        forward, backward = project(p, x[:, lo:hi], "f"), project(p, x[:, lo:hi], "b")
-        ids = np.where(t < n, a - lo + t, hi - lo)
-        ahead = np.empty((window, 2, len(a)), np.float32)
-        for k, s in enumerate(_steps(forward, p["uf"], ids)):
-            np.matmul(heads[:, :h], s, out=ahead[k])
-        top, below = np.zeros(len(a), np.float32), np.zeros(len(a), np.float32)
-        for k, s in zip(range(window - 1, -1, -1), _steps(backward, p["ub"], ids[::-1]), strict=True):
-            e = heads[:, h:] @ s + ahead[k]
-            w = np.exp(np.clip(e[0], -30, 30)) * (n > k)
-            top += w * e[1]
-            below += w
-        out[i : i + batch] = top / below + p["bias"][0]
-    return out
+    whole, n = bool((size == window).all()), int(at[-1] - at[0]) + 1
+    if whole and n <= 1.5 * len(at):
+        words = slice(int(at[0]), int(at[-1]) + window)
+        column = lambda of, k: of[:, k : k + n]
+    else:  # only words of these windows, wherever they lie
+        n, steps = len(at), np.arange(window)[:, None]
+        words, ids = np.unique(np.where(steps < size, at + steps, at), return_inverse=True)
+        ids = np.where(steps < size, ids.reshape(window, n), len(words))
+        column = lambda of, k: np.take(of, ids[k], axis=1, mode="clip")
+    forward, backward = project(p, x[:, words], "f"), project(p, x[:, words], "b")
+    ahead = np.empty((window, 2, n), np.float32)
+    for k, e in enumerate(_steps(p["uf"], (column(forward, k) for k in range(window)), heads[:, :h])):
+        ahead[k] = e
+    top, below = np.zeros(n, np.float32), np.zeros(n, np.float32)
+    for k, e in zip(range(window - 1, -1, -1), _steps(p["ub"], (column(backward, k) for k in range(window - 1, -1, -1)), heads[:, h:]), strict=True):
+        e = e + ahead[k]
+        w = np.exp(np.clip(e[0], -30, 30))
+        if not whole:
+            w *= size > k
+        top += w * e[1]
+        below += w
+    logits = top / below + p["bias"][0]
+    return logits if n == len(at) else logits[at - at[0]]
 
 
 def _learn(p: Params, opt: Adam, t: Texts, at: np.ndarray, size: np.ndarray, y: np.ndarray, window: int, scale: float) -> None:
