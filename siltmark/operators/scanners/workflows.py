@@ -59,26 +59,28 @@ def _titled(rule: str = "rule") -> Column:
 
 def workflow_security(s: Snapshot) -> DataFrame:
     """Actions and runners that others control, outsiders' text in scripts, foreign code with own rights, and tokens with all rights."""
-    n = s.workflow_nodes.filter(F.col("path").rlike(WORKFLOW))
-    row = [*_FILE, "line", "bare", "rule"]
-    own = n.withColumn("bare", F.col("source"))
-    ref = F.regexp_extract("value", r"^\s*(\S+)", 1)
-    version, name = F.regexp_extract(ref, r"@([^@]*)$", 1), F.regexp_replace(ref, r"@[^@]*$", "")
-    kind = F.when(version == "", "action-unpinned").when(name.rlike(FIRST_PARTY), "action-tag-first-party").otherwise("action-tag")
-    uses = own.filter((_last() == "uses") & (ref != "") & ~ref.startswith("./") & ~ref.startswith("docker://") & ~version.rlike(r"(?i)^[0-9a-f]{40}$")).withColumn("rule", kind).withColumn("action", name)
-    machine = own.filter(F.array_contains("keys", "runs-on") & F.col("value").contains("self-hosted")).select(*_FILE, "line", "bare", F.lit("self-hosted-runner").alias("rule")).distinct()
-    lines = run_lines(n).filter(F.col("text").contains("${{") & reduce(lambda a, b: a | b, (F.col("text").contains(x) for x in INJECTABLE)))
-    script = lines.select(*_FILE, "line", F.col("shown").alias("bare"), F.lit("script-injection").alias("rule"))
-    foreign = (_last() == "ref") & F.coalesce(F.col("value").rlike(r"github\.event\.pull_request\.head|github\.head_ref"), F.lit(False))
-    top = lambda key: F.bool_or((F.size("keys") == 1) & (F.get("keys", 0) == key))
-    whole = own.groupBy(*_FILE).agg(
-        F.bool_or(F.col("source").rlike(r"\bpull_request_target\b") | F.coalesce(F.col("value").rlike(r"\bpull_request_target\b"), F.lit(False))).alias("target"),
-        F.max(F.when(foreign, F.struct("line", "bare"))).alias("head"), top("jobs").alias("jobs"), top("permissions").alias("permissions"),
-    )
-    a = whole.filter("target and head is not null").select(*_FILE, F.col("head.line").alias("line"), F.col("head.bare").alias("bare"), F.lit("pr-target-checkout").alias("rule"))
-    b = whole.filter("jobs and not permissions").select(*_FILE, F.lit(1).alias("line"), F.lit("").alias("bare"), F.lit("no-permissions").alias("rule"))
-    none = F.lit(None).cast("string").alias("action")
-    hits = reduce(DataFrame.unionByName, (x.select(*row, none) for x in (machine, script, a, b)), uses.select(*row, "action"))
+    files = s.workflow_files.filter(F.col("path").rlike(WORKFLOW))
+    hit = lambda line, bare, rule, action=F.lit(None).cast("string"): F.struct(line.cast("int").alias("line"), bare.alias("bare"), rule.alias("rule"), action.alias("action"))
+    last = lambda x: F.element_at(x["keys"], -1)
+    ref = lambda x: F.regexp_extract(x["value"], r"^\s*(\S+)", 1)
+    version, name = (lambda x: F.regexp_extract(ref(x), r"@([^@]*)$", 1)), (lambda x: F.regexp_replace(ref(x), r"@[^@]*$", ""))
+    kind = lambda x: F.when(version(x) == "", "action-unpinned").when(name(x).rlike(FIRST_PARTY), "action-tag-first-party").otherwise("action-tag")
+    loose = lambda x: (last(x) == "uses") & (ref(x) != "") & ~ref(x).startswith("./") & ~ref(x).startswith("docker://") & ~version(x).rlike(r"(?i)^[0-9a-f]{40}$")
+    uses = F.transform(F.filter("nodes", loose), lambda x: hit(x["line"], x["source"], kind(x), name(x)))
+    own = F.filter("nodes", lambda x: F.array_contains(x["keys"], "runs-on") & x["value"].contains("self-hosted"))
+    machine = F.array_distinct(F.transform(own, lambda x: hit(x["line"], x["source"], F.lit("self-hosted-runner"))))
+    # what a file says as a whole is worked out where it lies
+    target = F.exists("nodes", lambda x: x["source"].rlike(r"\bpull_request_target\b") | F.coalesce(x["value"].rlike(r"\bpull_request_target\b"), F.lit(False)))
+    foreign = F.filter("nodes", lambda x: (last(x) == "ref") & F.coalesce(x["value"].rlike(r"github\.event\.pull_request\.head|github\.head_ref"), F.lit(False)))
+    head = F.array_max(F.transform(foreign, lambda x: hit(x["line"], x["source"], F.lit("pr-target-checkout"))))
+    top = lambda key: F.exists("nodes", lambda x: (F.size(x["keys"]) == 1) & (F.get(x["keys"], 0) == key))
+    a = F.when(head.isNotNull() & target, F.array(head))
+    b = F.when(top("jobs") & ~top("permissions"), F.array(hit(F.lit(1), F.lit(""), F.lit("no-permissions"))))
+    none = F.array().cast("array<struct<line:int,bare:string,rule:string,action:string>>")
+    whole = files.select(*_FILE, F.inline(F.concat(uses, machine, F.coalesce(a, none), F.coalesce(b, none))))
+    scripts = files.select(*_FILE, F.inline(F.filter("nodes", lambda x: x["value"].contains("${{"))))
+    lines = run_lines(scripts).filter(F.col("text").contains("${{") & reduce(lambda a, b: a | b, (F.col("text").contains(x) for x in INJECTABLE)))
+    hits = whole.unionByName(lines.select(*_FILE, F.col("line").cast("int").alias("line"), F.col("shown").alias("bare"), F.lit("script-injection").alias("rule"), F.lit(None).cast("string").alias("action")))
     severity = F.create_map(*(F.lit(x) for kv in SEVERITY.items() for x in kv))[F.col("rule")]
     title = F.concat_ws(": ", _titled(), "action")
     order = F.when(F.col("rule").isin("pr-target-checkout", "no-permissions"), 9_000_000).otherwise(F.col("line") * 10)

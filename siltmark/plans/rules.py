@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,13 +51,18 @@ def snapshot(spark: SparkSession, d: str) -> Snapshot:
     """One repository for each customer, named by its number, with all adapters.
 
     Customers are dealt over the cluster before each becomes files, and meet the files' places by a join: Spark then knows that there are many more bytes than in the table, and broadcasts none of them.
+    Paths belong to the places, so a rule's condition on them is met there, and only the files that it asks for are written out.
     """
-    c, k, nth = dealt(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), "k"), F.col("k"), F.col("id")
+    c, k, nth = dealt(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), "k"), F.col("k"), F.col("nth")
     licence = F.concat(F.lit('{"license": "'), F.element_at(F.array(*map(F.lit, ("MIT", "AGPL-3.0", "GPL-3.0", "UNLICENSED"))), (k % 4 + 1).cast("int")), F.lit('"}'))
-    every = [(F.lit(p), i, x) for i, (p, x) in enumerate(_files(k).items())] + [(F.concat(F.lit("node_modules/dep"), (k % 9).cast("string"), F.lit("/package.json")), 99, licence)]
-    one = F.coalesce(*(F.when(nth == i, F.struct(p.alias("path"), F.lit(ord_).cast("long").alias("file_ord"), x.alias("content"))) for i, (p, ord_, x) in enumerate(every)))
+    every = _files(k)
+    last = len(every)
+    places = [(i, p, i, None) for i, p in enumerate(every)] + [(last, f"node_modules/dep{r}/package.json", 99, r) for r in range(9)]
+    places = spark.createDataFrame(pa.Table.from_pylist([dict(zip(("nth", "path", "file_ord", "remainder"), p, strict=True)) for p in places]))
+    content = F.coalesce(*(F.when(nth == i, x) for i, x in enumerate([*every.values(), licence])))
     repo = k.cast("string").alias("repo_id")
-    files = c.crossJoin(F.broadcast(spark.range(len(every)))).select(repo, F.inline(F.array(one))).filter("content is not null").withColumn("size", F.octet_length("content").cast("long"))
+    files = c.join(F.broadcast(places), F.col("remainder").isNull() | (k % 9 == F.col("remainder"))).select(repo, "path", "file_ord", F.inline(F.array(F.struct(content.alias("content")))))
+    files = files.filter("content is not null").withColumn("size", F.octet_length("content").cast("long"))
     o = table(spark, d, "orders")
     names = lambda stem, n, *values: [(stem + str(j), *(v(j) for v in values)) for j in range(n)]
     return Snapshot(

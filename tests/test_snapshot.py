@@ -45,3 +45,26 @@ def test_findings_of_one_id_have_one_order(spark):
     for order in (rows, rows[::-1]):
         got = sinks.ordered(spark.createDataFrame(order, names)).orderBy("position").collect()
         assert [r.location for r in got] == [f"src/f{k}.ts:1" for k in (1, 2, 3)]
+
+
+def test_only_files_that_a_rule_asks_for_are_written_out(spark):
+    """The condition on paths is met before customers meet the places, not by texts that were made."""
+    plan = rules.snapshot(spark, D).matching(r"\.py$")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan[: plan.index("Join Inner")]
+
+
+def test_workflows_are_judged_where_they_lie(spark):
+    """Only what is found is dealt: for its age (with the lines of blame) and for the limit of its repository."""
+    plan = RULES["workflow-security"](rules.snapshot(spark, D))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4 and "SortAggregate" not in plan
+
+
+def test_nodes_of_files_are_those_of_their_texts_in_parts_of_any_size(spark, monkeypatch):
+    from siltmark.sources import yaml
+
+    texts = ["on: push\njobs:\n  t: [a, b]\n", "", None, "x: 1\n", "- é\n- b: &k {c: 1}\n- *k\n", "# none\n"]
+    files = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, content string").coalesce(1)
+    for most in (1, 3, 20_000):
+        monkeypatch.setattr(yaml, "_SENT", most)
+        got = {r.id: [[list(n[0]), *n[1:]] for n in r.nodes] for r in yaml.yaml_files(files).collect()}
+        assert got == {k: yaml.nodes(t) for k, t in enumerate(texts) if t}
