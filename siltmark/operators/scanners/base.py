@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ...functions.lexer import tokens
+from ...functions.lexer import token_files
 from ...functions.text import basename, dirname, path_norm
 from ...session import checkpointed
 from ...sources.yaml import yaml_files
@@ -75,10 +75,20 @@ class Snapshot:
         path = path_norm(F.col("path"))
         return self.files.select("repo_id", path.alias("path"), dirname(path).alias("dir"), basename(path).alias("base"), "file_ord", "size", "content")
 
+    @cached_property
+    def token_files(self) -> DataFrame:
+        """(repo_id, path, file_ord, tokens): all JavaScript and TypeScript files with the tokens of each: read once and written to the session's checkpoint folder, whichever rules use them."""
+        return checkpointed(token_files(self.matching(JS), self.most("javascript", "bytes")))
+
     @cached_property
     def tokens(self) -> DataFrame:
-        """Tokens of all JavaScript and TypeScript files: read once and written to the session's checkpoint folder, whichever rules use them."""
-        return checkpointed(tokens(self.matching(JS), self.most("javascript", "bytes")))
+        """Those tokens, one a row."""
+        return self.token_files.select("repo_id", "path", "file_ord", F.posexplode("tokens").alias("pos", "t")).select("repo_id", "path", "file_ord", "pos", "t.*")
+
+    @cached_property
+    def code_files(self) -> DataFrame:
+        """(repo_id, path, file_ord, t): those files with their tokens without comments and calls. Places in t are looked up from its lambdas, so t is a column of its own."""
+        return self.token_files.select("repo_id", "path", "file_ord", F.filter("tokens", lambda x: ~x["kind"].isin("comment", "call")).alias("t"))
 
     @cached_property
     def workflow_files(self) -> DataFrame:

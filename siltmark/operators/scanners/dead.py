@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.text import dirname, resolve
@@ -23,14 +23,14 @@ def dead_code(s: Snapshot) -> DataFrame:
 def _exports(s: Snapshot) -> DataFrame:
     files = s.matching(JS)
     enough = s.tree.filter(F.col("path").rlike(JS)).groupBy("repo_id").agg(F.count("*").alias("n")).filter("n >= 2").select("repo_id")
-    tok = s.tokens.filter("kind not in ('comment', 'call')")
-    w = Window.partitionBy("repo_id", "path").orderBy("pos")
-    t = tok.select("repo_id", "path", "file_ord", "line", "pos", "kind", "text", *(F.lag("text", k).over(w).alias(f"b{k}") for k in (1, 2, 3)), F.lead("text", 1).over(w).alias("a1"))
-    names = t.filter("kind = 'name'").groupBy("repo_id", "path", F.col("text").alias("name")).agg(F.count("*").alias("times"))
-    declared = t.filter("kind = 'name' and ((b1 in ('function', 'class', 'const', 'let', 'var') and b2 = 'export') or (b1 in ('function', 'class') and b2 in ('async', 'abstract') and b3 = 'export') or (b1 = '*' and b2 = 'function' and b3 = 'export'))").select("repo_id", "path", "file_ord", "line", F.col("text").alias("name"))
+    # only files that say "export" have exports; what is declared is seen from the tokens before a name
+    exporting = s.code_files.filter(F.exists("t", lambda x: x["text"].contains("export")))
+    names = exporting.select("repo_id", "path", F.explode(F.transform(F.filter("t", lambda x: x["kind"] == "name"), lambda x: x["text"])).alias("name")).groupBy("repo_id", "path", "name").agg(F.count("*").alias("times"))
+    b = lambda i, n: F.get("t", i - n)["text"]
+    says = lambda i: (b(i, 1).isin("function", "class", "const", "let", "var") & (b(i, 2) == "export")) | (b(i, 1).isin("function", "class") & b(i, 2).isin("async", "abstract") & (b(i, 3) == "export")) | ((b(i, 1) == "*") & (b(i, 2) == "function") & (b(i, 3) == "export"))
+    declared = exporting.select("repo_id", "path", "file_ord", F.inline(F.filter("t", lambda x, i: (x["kind"] == "name") & says(i)))).select("repo_id", "path", "file_ord", "line", F.col("text").alias("name"))
     # brace lists: the text of each list, and whether it is an import, a re-export or an export
-    line_of = tok.groupBy("repo_id", "path", "file_ord").agg(F.array_sort(F.collect_list(F.struct("pos", "line", "text"))).alias("t"))
-    code = line_of.select("repo_id", "path", "file_ord", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("code"))
+    code = s.code_files.select("repo_id", "path", "file_ord", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("code"))
     lists = code.select("repo_id", "path", "file_ord", F.explode(F.regexp_extract_all("code", F.lit(r"((?:import|export)(?: type)?(?: [\w$]+ ,)? \{[^{}]*\}(?: from)?)"), 1)).alias("l"))
     items = lists.select("repo_id", "path", "file_ord", F.col("l").startswith("import").alias("imp"), F.col("l").endswith("from").alias("re"), F.explode(F.split(F.regexp_extract("l", r"\{([^{}]*)\}", 1), ",")).alias("item")).filter("trim(item) <> ''")
     first = F.regexp_extract("item", r"^\s*(?:type )?([\w$]+)", 1)
@@ -61,10 +61,12 @@ def _symbols(s: Snapshot) -> DataFrame:
     often = files.select("repo_id", "lang", F.explode(F.regexp_extract_all("content", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), 1)).alias("name")).groupBy("repo_id", "lang", "name").agg(F.count("*").alias("times")).filter("times > 1").select("repo_id", "lang", "name")
     listed = files.filter("lang = 'python'").select("repo_id", "lang", F.explode(F.regexp_extract_all(F.regexp_extract("content", r"(?s)__all__\s*=\s*[\[(](.*?)[\])]", 1), F.lit(r"['\"]([A-Za-z_]\w*)['\"]"), 1)).alias("name")).distinct()
     tests = F.col("path").rlike(r"(?i)(^|/)(test_[^/]*\.py|[^/]*_test\.py|conftest\.py)$|(^|/)tests?/.*\.py$|_test\.go$")
-    ln = s.lines(files.filter(~tests & ~generated))
-    above = F.last(F.when(F.trim("text") != "", F.trim("text")), ignorenulls=True).over(Window.partitionBy("repo_id", "path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
+    # lines with something in them, and with each definition the one before it
+    written = F.filter(F.transform(F.split("content", r"\r?\n", -1), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"))), lambda x: F.trim(x["text"]) != "")
     py, go = r"^(?:async\s+)?(def|class)\s+([A-Za-z_]\w*)", r"^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*[(\[]"
-    defs = ln.withColumn("above", above).withColumn("name", F.when(F.col("lang") == "python", F.regexp_extract("text", py, 2)).otherwise(F.regexp_extract("text", go, 1))).filter("name <> ''")
+    each = F.transform("w", lambda x, i: F.when(x["text"].rlike(rf"{py}|{go}"), F.struct(x["line"].alias("line"), x["text"].alias("text"), F.trim(F.get("w", i - 1)["text"]).alias("above"))))
+    defs = files.filter(~tests & ~generated).select("repo_id", "path", "file_ord", "lang", written.alias("w")).select("repo_id", "path", "file_ord", "lang", F.inline(F.array_compact(each)))
+    defs = defs.withColumn("name", F.when(F.col("lang") == "python", F.regexp_extract("text", py, 2)).otherwise(F.regexp_extract("text", go, 1))).filter("name <> ''")
     ok_py = ~F.col("name").rlike(r"^__.*__$|^[Tt]est|^main$") & ~F.coalesce(F.col("above").startswith("@"), F.lit(False))
     ok_go = ~F.col("name").rlike(r"^[A-Z]|^main$|^init$")
     defs = defs.filter(F.when(F.col("lang") == "python", ok_py).otherwise(ok_go))

@@ -20,12 +20,11 @@ YEAR = 365
 
 def module_specs(s: Snapshot) -> DataFrame:
     """(repo_id, path, spec, form, line) of modules that JavaScript imports, re-exports or requires."""
-    tok = s.tokens.filter("kind not in ('comment', 'call')")
-    w = Window.partitionBy("repo_id", "path").orderBy("pos")
-    back = lambda n: F.lag("text", n).over(w)
-    t = tok.select("repo_id", "path", "line", "kind", "text", back(1).alias("p1"), back(2).alias("p2"))
-    form = F.when(F.col("p1") == "from", "from").when(F.col("p1") == "import", "side").when((F.col("p1") == "(") & F.col("p2").isin("require", "import"), "call")
-    return t.filter("kind = 'string'").withColumn("form", form).filter("form is not null").select("repo_id", "path", F.expr("substring(text, 2, length(text) - 2)").alias("spec"), "form", "line")
+    back = lambda i, n: F.get("t", i - n)["text"]
+    form = lambda i: F.when(back(i, 1) == "from", "from").when(back(i, 1) == "import", "side").when((back(i, 1) == "(") & back(i, 2).isin("require", "import"), "call")
+    spec = lambda x: F.substring(x["text"], F.lit(2), F.length(x["text"]) - 2)
+    each = F.transform("t", lambda x, i: F.when(x["kind"] == "string", F.struct(spec(x).alias("spec"), form(i).alias("form"), x["line"].alias("line"))))
+    return s.code_files.select("repo_id", "path", F.inline(F.filter(each, lambda x: x["form"].isNotNull())))
 
 
 def dependency_funeral(s: Snapshot) -> DataFrame:

@@ -68,3 +68,24 @@ def test_nodes_of_files_are_those_of_their_texts_in_parts_of_any_size(spark, mon
         monkeypatch.setattr(yaml, "_SENT", most)
         got = {r.id: [[list(n[0]), *n[1:]] for n in r.nodes] for r in yaml.yaml_files(files).collect()}
         assert got == {k: yaml.nodes(t) for k, t in enumerate(texts) if t}
+
+
+def test_exports_and_definitions_are_seen_where_their_files_lie(spark):
+    """Neither tokens nor lines are dealt to see what stands before them."""
+    plan = RULES["dead-code"](rules.snapshot(spark, D))._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("lag(", "lead(", "last(", "collect_list("))
+
+
+def test_many_tokens_of_one_file_are_looked_through_once(spark):
+    """A token's neighbours are looked up in an array that is made once, so time follows the length of the file."""
+    import time
+
+    from siltmark.operators.scanners import Snapshot, deps
+
+    code = "".join(f"import a{k} from 'm{k}';\n" for k in range(20_000))
+    files = spark.createDataFrame([("r", "a.ts", 0, len(code), code)], "repo_id string, path string, file_ord long, size long, content string")
+    s = Snapshot(files=files, limits=None)
+    assert s.tokens.count() == 100_000
+    start = time.time()
+    assert deps.module_specs(s).filter("form = 'from'").count() == 20_000
+    assert time.time() - start < 30
