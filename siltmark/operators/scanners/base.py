@@ -106,16 +106,20 @@ class Snapshot:
 
         Marks in quotes: $ for a template with a part worked out at run time, q for words of SQL, k for the name of a credential, h for a weak hash, 0 for a zero.
         """
-        t, says = F.col("text"), F.lower("text")
-        marks = F.concat(
-            F.when((F.col("kind") == "template") & t.contains("${"), "$").otherwise(""), F.when(says.rlike(rf"\b({'|'.join(SQL_VERBS)})\b"), "q").otherwise(""), F.when(says.rlike("|".join(CREDENTIALS)), "k").otherwise(""),
-            F.when(says.rlike(r"^.(md5|sha1).$"), "h").otherwise(""), F.when(says.rlike(r"^.0.$"), "0").otherwise(""),
-        )
-        quote = F.when(F.col("kind") == "template", "`").otherwise('"')
-        shown = F.when(F.col("kind").isin("string", "template"), F.concat(quote, marks, quote)).when(F.col("kind") == "regex", "/re/").otherwise(t)
-        each = self.tokens.filter("kind not in ('comment', 'call')").select("repo_id", "path", "file_ord", "line", "pos", shown.alias("s"))
-        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), " ")
-        return each.groupBy("repo_id", "path", "file_ord", "line").agg(joined.alias("text"))
+        def shown(x: Column) -> Column:
+            kind, t, says = x["kind"], x["text"], F.lower(x["text"])
+            marks = F.concat(
+                F.when((kind == "template") & t.contains("${"), "$").otherwise(""), F.when(says.rlike(rf"\b({'|'.join(SQL_VERBS)})\b"), "q").otherwise(""), F.when(says.rlike("|".join(CREDENTIALS)), "k").otherwise(""),
+                F.when(says.rlike(r"^.(md5|sha1).$"), "h").otherwise(""), F.when(says.rlike(r"^.0.$"), "0").otherwise(""),
+            )
+            quote = F.when(kind == "template", "`").otherwise('"')
+            return F.when(kind.isin("string", "template"), F.concat(quote, marks, quote)).when(kind == "regex", "/re/").otherwise(t)
+
+        # a file's tokens in one text, with as many line ends between two of them as lines lie between them: nothing that is shown holds one
+        before = lambda x, i: x["line"] - F.coalesce(F.get("t", i - 1)["line"], F.lit(1))
+        space = lambda x, i: F.when(before(x, i) > 0, F.repeat(F.lit("\n"), before(x, i))).when(i > 0, " ").otherwise("")
+        whole = F.array_join(F.transform("t", lambda x, i: F.concat(space(x, i), shown(x))), "")
+        return self.code_files.select("repo_id", "path", "file_ord", F.posexplode(F.split(whole, "\n", -1)).alias("n", "text")).filter("text <> ''").select("repo_id", "path", "file_ord", (F.col("n") + 1).alias("line"), "text")
 
     def matching(self, pattern: str, contains: str | None = None) -> DataFrame:
         """Files with some content whose path fits, before anything else is done with them."""

@@ -48,6 +48,8 @@ JS_RISKS = [
     ("localstorage-secret", "warning", rf"(?i)\blocalStorage \. setItem \( ([\"`]\$?q?k|[^)]*\b{_SECRET_NAME})", "A credential is kept in the browser's storage"),
     ("document-write-dynamic", "warning", r"\bdocument \. write \( (`\$|[^)]*\+)", "A page is written from values"),
 ]
+#: What a line says in which one of them is found: the name that each pattern asks for begins on its line.
+JS_WORDS = r"(?i)eval|Function|exec|query|execute|raw|innerHTML|dangerouslySetInnerHTML|rejectUnauthorized|NODE_TLS_REJECT_UNAUTHORIZED|createHash|random|verify|localStorage|document"
 PY_RISKS = [
     ("py-shell-true", "critical", r"\bsubprocess\s*\.\s*\w+\s*\(.*\bshell\s*=\s*True\b", "A command goes through a shell"),
     ("py-os-system", "critical", r"\bos\s*\.\s*system\s*\((?!\s*(\"[^\"]*\"|'[^']*')\s*\))(?!\s*\))", "A shell command is put together from values"),
@@ -120,9 +122,9 @@ def insecure_code(s: Snapshot) -> DataFrame:
     ours = s.tree.filter(~F.col("path").rlike(VENDOR) & small & (F.length("content") > 0)).withColumn("lang", language(F.col("path"))).filter("lang in ('js', 'py')")
     raw = s.lines(ours).select("repo_id", "path", "file_ord", "line", "text", "lang")
     py = _first_match(raw.filter("lang = 'py'"), [("py", p, sev, rid) for rid, sev, p, _ in PY_RISKS])
-    kept = ours.filter("lang = 'js'").select("repo_id", "path")
-    js = _hits(s.js_lines.withColumnRenamed("text", "code").withColumn("lang", F.lit("js")), [("js", p, sev, rid) for rid, sev, p, _ in JS_RISKS]).join(kept, ["repo_id", "path"], "left_semi")
-    js = js.join(raw.filter("lang = 'js'").select("repo_id", "path", "line", "text"), ["repo_id", "path", "line"])
+    js = _hits(s.js_lines.withColumnRenamed("text", "code").withColumn("lang", F.lit("js")), [("js", p, sev, rid) for rid, sev, p, _ in JS_RISKS])
+    # lines as they are written, of the files that count: only those that can be hit are dealt
+    js = js.join(raw.filter("lang = 'js'").filter(F.col("text").rlike(JS_WORDS)).select("repo_id", "path", "line", "text"), ["repo_id", "path", "line"])
     columns = ["repo_id", "path", "file_ord", "line", "text", "rule", "severity", "label"]
     hits = _worst_of_line(js.select(columns).unionByName(py.select(columns))).withColumn("test", F.col("path").rlike(TESTS)).filter("not (test and label in ('new-function', 'eval-dynamic'))")
     sev = F.when(~F.col("test"), F.col("severity")).when(F.col("severity") == "critical", "warning").otherwise("info")

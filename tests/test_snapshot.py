@@ -89,3 +89,18 @@ def test_many_tokens_of_one_file_are_looked_through_once(spark):
     start = time.time()
     assert deps.module_specs(s).filter("form = 'from'").count() == 20_000
     assert time.time() - start < 30
+
+
+def test_lines_of_code_are_made_where_their_files_lie(spark):
+    """Lines of tokens are not gathered, and files are read once a language beside the tokens."""
+    plan = RULES["insecure-code"](rules.snapshot(spark, D))._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list(" not in plan and plan.count("BroadcastNestedLoopJoin") <= 2
+
+
+def test_lines_of_tokens_keep_their_numbers(spark):
+    from siltmark.operators.scanners import Snapshot
+
+    code = "\n// one\neval(x); `a\n${b}\nselect`; y\r\n\n  z /* c\n d */ w // end"
+    s = Snapshot(files=spark.createDataFrame([("r", "a.ts", 0, len(code), code), ("r", "b.ts", 1, 0, "")], "repo_id string, path string, file_ord long, size long, content string"))
+    assert sorted((r.path, r.line, r.text) for r in s.js_lines.collect()) == [("a.ts", 3, "eval ( x ) ; `$q`"), ("a.ts", 5, "; y"), ("a.ts", 7, "z"), ("a.ts", 8, "w")]
+    assert [(r.id, r.evidence) for r in RULES["insecure-code"](s).collect()] == [("insecure-eval-dynamic-a.ts:3", "eval(x); `a")]
