@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,18 +25,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark) -> None:
-    """Let the driver find the shuffles and checkpoints that nothing refers to any more, so that executors delete their files now and not when its memory next runs full.
-
-    Python's objects are given up in the background, so the driver looks twice.
-    """
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.5)
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def total(df: DataFrame, column) -> int:
     """Sum of a numeric column over all rows, as a plain int."""
     return int(df.agg(F.sum(column)).first()[0] or 0)

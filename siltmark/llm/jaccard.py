@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_of, checkpointed, mix, places, release, text_bytes, total, windows_hash, words_of
+from ..session import release
+from .common import blocks_of, checkpointed, mix, places, text_bytes, total, windows_hash, words_of
 from .components import connected
 from .exchange import BLOCKS, FEWEST, answered, blocks, chunked, distinct_with_owners, held_elsewhere, replies
 

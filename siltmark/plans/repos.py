@@ -13,7 +13,7 @@ from ..operators import config, metrics, search
 from ..operators.findings import SYNONYMS
 from ..operators.scanners import clones
 from ..operators.scanners.deps import runtime_names
-from ..session import checkpointed, shared_folder, table
+from ..session import checkpointed, release, shared_folder, table
 from ..sources import locks
 from . import views as V
 from .named import register
@@ -171,16 +171,16 @@ def _by_nation(spark: SparkSession, d: str) -> DataFrame:
     SELECT f.repo_id::VARCHAR || '.sarif' AS name, position - 1 AS nth, f.category AS rule_id, r.rule AS rule_index, CASE severity WHEN 'critical' THEN 'error' WHEN 'warning' THEN 'warning' ELSE 'note' END AS level, path AS uri, id AS finding_id FROM f JOIN r ON r.repo_id = f.repo_id AND r.category = f.category"""
 )
 def report_documents(spark: SparkSession, d: str) -> DataFrame:
-    """SARIF documents of 25 repositories, written as files, read again as JSON and taken apart into their results."""
+    """SARIF documents of 25 repositories, written as packed files, read again line by line as JSON and taken apart into their results."""
     f = _by_nation(spark, d)
     folder = f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}"
-    documents.write_documents(documents.sarif_documents(f.select("repo_id").distinct(), f), folder)
-    shape = "struct<runs:array<struct<tool:struct<driver:struct<rules:array<struct<id:string>>>>,results:array<struct<ruleId:string,ruleIndex:bigint,level:string,partialFingerprints:struct<findingId:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>>>>>>>>>"
-    read = spark.read.text(f"{folder}/*.sarif", wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.from_json("value", shape)["runs"][0].alias("run"))
-    each = read.select("name", F.col("run.tool.driver.rules").alias("rules"), F.posexplode("run.results").alias("nth", "r"))
-    return each.select(
-        "name", F.col("nth").cast("long").alias("nth"), F.get("rules", F.col("r.ruleIndex").cast("int"))["id"].alias("rule_id"), F.col("r.ruleIndex").alias("rule_index"), F.col("r.level").alias("level"),
-        F.col("r.locations")[0]["physicalLocation"]["artifactLocation"]["uri"].alias("uri"), F.col("r.partialFingerprints.findingId").alias("finding_id"),
+    documents.write_documents(documents.sarif_documents(f.select("repo_id").distinct(), f), folder, packed=True)
+    release(spark)
+    shape = "struct<ruleId:string,ruleIndex:bigint,level:string,partialFingerprints:struct<findingId:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>>>>>"
+    rules, results = documents.read_sarif(spark, folder, shape)
+    return results.join(F.broadcast(rules), "name").select(
+        "name", "nth", F.get("rules", F.col("result.ruleIndex").cast("int")).alias("rule_id"), F.col("result.ruleIndex").alias("rule_index"), F.col("result.level").alias("level"),
+        F.col("result.locations")[0]["physicalLocation"]["artifactLocation"]["uri"].alias("uri"), F.col("result.partialFingerprints.findingId").alias("finding_id"),
     )
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import zipfile
 from pathlib import Path
 
@@ -48,6 +50,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver find the shuffles and checkpoints that nothing refers to any more, so that executors delete their files now and not when its memory next runs full.
+
+    Python's objects are given up in the background, so the driver looks twice.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def delete(spark: SparkSession, paths: list[str]) -> None:
     """Delete files or folders, wherever Spark can reach them; those that are not there are passed over."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
