@@ -282,7 +282,7 @@ def write_documents(parts: DataFrame | Parts, folder: str, packed: bool = False)
     rows = parts.made(dealt).select("name", (F.concat(F.when(inner, parts.between).otherwise(""), text) if parts.between else text).alias("text"), inner.alias("inner"))
     pieces = rows.mapInArrow(_pieces(folder, job, len(parts.between.encode()), packed), PIECE)
     try:
-        joined = pieces.repartition("name").sortWithinPartitions("name", "position")
+        joined = pieces.repartition(spark.sparkContext.defaultParallelism, "name").sortWithinPartitions("name", "position")
         joined.write.format(FORMAT).option("path", folder).option("between", parts.between).option("packed", str(packed).lower()).mode("append").save()
     finally:
         _clean(folder, job)
